@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marketpulse.plans import market, regimes, texts
+from marketpulse.plans import market, moods, regimes, texts, trading
 
-_ALL = {**market.QUERIES, **regimes.QUERIES, **texts.QUERIES}
+_ALL = {**market.QUERIES, **regimes.QUERIES, **texts.QUERIES, **moods.QUERIES, **trading.QUERIES}
 
 
 def queries() -> dict:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from marketpulse.plans import market, moods, regimes, texts, trading
+from marketpulse.plans import crowds, market, moods, regimes, texts, trading
 
-_ALL = {**market.QUERIES, **regimes.QUERIES, **texts.QUERIES, **moods.QUERIES, **trading.QUERIES}
+_ALL = {
+    **market.QUERIES, **regimes.QUERIES, **texts.QUERIES, **moods.QUERIES, **trading.QUERIES, **crowds.QUERIES,
+}
 
 
 def queries() -> dict:

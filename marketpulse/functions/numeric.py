@@ -58,12 +58,17 @@ def softmax(scores: Column) -> Column:
     return F.transform(powers, lambda p: p / total)
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Text with a fixed number of digits, rounded from the exact binary value (not from its decimal text)."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
+
+
 def human_number(x: Column) -> Column:
     """1500000 -> 1.5M, 2300 -> 2.3K, 12 -> 12."""
     return (
-        F.when(x >= 1e6, F.format_string("%.1fM", x / 1e6))
-        .when(x >= 1e3, F.format_string("%.1fK", x / 1e3))
-        .otherwise(F.format_string("%.0f", x))
+        F.when(x >= 1e6, F.concat(fixed(x / 1e6, 1), F.lit("M")))
+        .when(x >= 1e3, F.concat(fixed(x / 1e3, 1), F.lit("K")))
+        .otherwise(fixed(x, 0))
     )
 
 

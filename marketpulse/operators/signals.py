@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketpulse.functions import frames as fr
-from marketpulse.functions.numeric import num
+from marketpulse.functions.numeric import fixed, num
 from marketpulse.functions.scoring import to_index
 from marketpulse.operators.series import last_rows, over_series
 
@@ -55,19 +55,15 @@ def _steps(x: Column, cuts: list[tuple[float, str]], rest: str) -> Column:
     return out.otherwise(rest)
 
 
-def _fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.round(F.round(x, 6), digits))
-
-
 def reason_of(action: Column, index: Column, score: Column, confidence: Column) -> Column:
     mood = _steps(index, [(25, "extreme fear"), (40, "fear"), (60, "neutral"), (75, "greed")], "extreme greed")
     tone = _steps(score, [(-0.3, "very negative"), (-0.1, "negative"), (0.1, "neutral"), (0.3, "positive")],
                   "very positive")
     sure = F.when(confidence > 0.7, "high").when(confidence > 0.5, "moderate").otherwise("low")
     return F.concat(
-        F.lit("Market shows "), mood, F.lit(" (FGI: "), _fixed(index, 1), F.lit(") with "), tone,
-        F.lit(" sentiment (score: "), _fixed(score, 2), F.lit("). "), action, F.lit(" signal generated with "), sure,
-        F.lit(" confidence ("), _fixed(confidence, 2), F.lit(")."),
+        F.lit("Market shows "), mood, F.lit(" (FGI: "), fixed(index, 1), F.lit(") with "), tone,
+        F.lit(" sentiment (score: "), fixed(score, 2), F.lit("). "), action, F.lit(" signal generated with "), sure,
+        F.lit(" confidence ("), fixed(confidence, 2), F.lit(")."),
     )
 
 

@@ -173,11 +173,11 @@ SQL_SIGNALS = with_(*SIGNAL_CTES) + f"""
 SELECT symbol, ts, action, {rnd('strength')}, {rnd('confidence')}, {rnd('position_size')},
   {rnd('fgi', 6, 'fear_greed_index')}, {rnd('s', 6, 'sentiment_score')},
   'Market shows ' || CASE WHEN fgi < 25 THEN 'extreme fear' WHEN fgi < 40 THEN 'fear' WHEN fgi < 60 THEN 'neutral'
-    WHEN fgi < 75 THEN 'greed' ELSE 'extreme greed' END || ' (FGI: ' || printf('%.1f', round(fgi::DECIMAL(18, 6), 1)::DOUBLE) || ') with ' ||
+    WHEN fgi < 75 THEN 'greed' ELSE 'extreme greed' END || ' (FGI: ' || printf('%.1f', fgi) || ') with ' ||
   CASE WHEN s < -0.3 THEN 'very negative' WHEN s < -0.1 THEN 'negative' WHEN s < 0.1 THEN 'neutral'
-    WHEN s < 0.3 THEN 'positive' ELSE 'very positive' END || ' sentiment (score: ' || printf('%.2f', round(s::DECIMAL(18, 6), 2)::DOUBLE) || '). '
+    WHEN s < 0.3 THEN 'positive' ELSE 'very positive' END || ' sentiment (score: ' || printf('%.2f', s) || '). '
   || action || ' signal generated with ' || CASE WHEN confidence > 0.7 THEN 'high' WHEN confidence > 0.5 THEN 'moderate'
-    ELSE 'low' END || ' confidence (' || printf('%.2f', round(confidence::DECIMAL(18, 6), 2)::DOUBLE) || ').' AS reasoning
+    ELSE 'low' END || ' confidence (' || printf('%.2f', confidence) || ').' AS reasoning
 FROM sig"""
 
 

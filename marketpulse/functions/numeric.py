@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,11 +53,18 @@ def tanh_score(features: Column, weights: Column) -> Column:
     return F.tanh(F.aggregate(products, num(0), lambda s, v: s + v))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, for use inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(scores: Column) -> Column:
     """Softmax of an array, shifted by its largest value."""
-    powers = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    total = F.aggregate(powers, num(0), lambda s, v: s + v)
-    return F.transform(powers, lambda p: p / total)
+    shifted = let(F.struct(scores.alias("x"), F.array_max(scores).alias("top")),
+                  lambda b: F.transform(b["x"], lambda s: F.exp(s - b["top"])))
+    return let(shifted, lambda p: let(
+        F.struct(p.alias("p"), F.aggregate(p, num(0), lambda s, v: s + v).alias("total")),
+        lambda b: F.transform(b["p"], lambda v: v / b["total"])))
 
 
 def fixed(x: Column, digits: int) -> Column:

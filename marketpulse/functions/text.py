@@ -5,6 +5,7 @@ Word classes are written out as [\\p{L}\\p{N}_] because \\w is ASCII in Java.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 from functools import reduce
 
@@ -44,9 +45,14 @@ ASSETS = ("BTC", "ETH", "BNB", "SOL", "ADA", "XRP", "DOGE", "DOT", "MATIC", "AVA
 DELETED = ("[deleted]", "[removed]", "")
 
 
+def is_ascii(text: Column) -> Column:
+    """As many bytes as characters: no emoji, no pattern needed."""
+    return F.octet_length(text) == F.length(text)
+
+
 def strip_emoji(text: Column, keep: str = KEPT_EMOJI) -> Column:
     """Drop emoji that carry no sentiment."""
-    return F.regexp_replace(text, f"(?![{keep}])[{EMOJI_BLOCKS}]", "")
+    return F.regexp_replace(text, f"[{EMOJI_BLOCKS}&&[^{keep}]]", "")
 
 
 def clean_post(text: Column, urls: bool = True, mentions: bool = True, hashtags: bool = False,
@@ -54,7 +60,7 @@ def clean_post(text: Column, urls: bool = True, mentions: bool = True, hashtags:
     out = F.regexp_replace(text, URL, "") if urls else text
     out = F.regexp_replace(out, f"@{WORD}+", "") if mentions else out
     out = F.regexp_replace(out, f"#{WORD}+", "") if hashtags else F.regexp_replace(out, "#", "")
-    out = F.regexp_replace(strip_emoji(out), r"[^\p{L}\p{N}_\s$.,!?@#-]", " ")
+    out = F.regexp_replace(strip_emoji(out), r"[^\p{L}\p{N}_\s$.,!?@#-]+", " ")
     out = F.regexp_replace(out, r"\s+", " ")
     return F.trim(F.lower(out) if lowercase else out)
 
@@ -69,6 +75,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
+def bare_words(text: Column) -> Column:
+    """Words in lower case without outer ASCII punctuation; words of punctuation only stay as they are."""
+    def bare(word: Column) -> Column:
+        inner = F.btrim(word, F.lit(string.punctuation))
+        return F.when(inner == "", word).otherwise(inner)
+    return F.transform(words(F.lower(text)), bare)
+
+
 def tokens(cleaned: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
     """Words without stop words and one-letter words."""
     return F.filter(words(cleaned), lambda t: (F.length(t) > 1) & ~F.lower(t).isin(list(stopwords)))
@@ -76,9 +90,10 @@ def tokens(cleaned: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
 
 def emoji_sentiment(text: Column) -> Column:
     """(positive - negative) / all counted emoji; 0 without any."""
-    good = F.regexp_count(text, F.lit(f"[{POSITIVE_EMOJI}]"))
-    bad = F.regexp_count(text, F.lit(f"[{NEGATIVE_EMOJI}]"))
-    return F.coalesce(F.try_divide((good - bad).cast("double"), good + bad), num(0))
+    good = F.length(text) - F.length(F.translate(text, POSITIVE_EMOJI, ""))
+    bad = F.length(text) - F.length(F.translate(text, NEGATIVE_EMOJI, ""))
+    return F.when(is_ascii(text), num(0)).otherwise(
+        F.coalesce(F.try_divide((good - bad).cast("double"), good + bad), num(0)))
 
 
 def hashtags(text: Column) -> Column:
@@ -144,7 +159,8 @@ def route_asset(text: Column, assets: Sequence[str] = ASSETS, default: str | Non
     listed = F.array(*[F.lit(a) for a in assets])
     tagged = F.get(F.filter(cashtags(text), lambda t: F.array_contains(listed, t)), F.lit(0))
     hits = word_hits(F.lower(text), [a.lower() for a in assets], match)
-    named = F.get(F.filter(listed, lambda a: F.array_contains(hits, F.lower(a))), F.lit(0))
+    # The intersection keeps the order of the list.
+    named = F.upper(F.get(F.array_intersect(F.array(*[F.lit(a.lower()) for a in assets]), hits), F.lit(0)))
     return F.coalesce(tagged, named, F.lit(default))
 
 

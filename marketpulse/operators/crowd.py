@@ -124,7 +124,8 @@ def _chain(candidates: DataFrame, hours: float) -> DataFrame:
 
     Each time gets its successor by one forward as-of join; reachable times are then
     marked by pointer doubling, log2(chain length) rounds, each written out. The
-    chain has at most one time per ``hours``, so the number of rounds is known.
+    chain has at most one time per ``hours``, so the number of rounds is known. Round i
+    adds the chain positions 2^i ... 2^(i+1) - 1, so nothing is added twice.
     """
     span = int(hours * 3600 * SECOND)
     times = materialise(candidates.select("asset", "_t").distinct(), "times")
@@ -140,7 +141,7 @@ def _chain(candidates: DataFrame, hours: float) -> DataFrame:
     reached = times.groupBy("asset").agg(F.min("_t").alias("_t"))
     for i in range(rounds):
         step = reached.join(jump, ["asset", "_t"]).select("asset", F.col("_next").alias("_t"))
-        reached = materialise(reached.unionByName(step).distinct(), "reached")
+        reached = materialise(reached.unionByName(step), "reached")
         if i + 1 < rounds:
             far = jump.select("asset", F.col("_t").alias("_next"), F.col("_next").alias("_far"))
             jump = materialise(jump.join(far, ["asset", "_next"]).select(

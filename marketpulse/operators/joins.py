@@ -1,8 +1,9 @@
 """Joins on time, on series pairs and on small lookups.
 
-No broadcast hints here: Catalyst broadcasts a side when its known size is below
-``spark.sql.autoBroadcastJoinThreshold``; above it the join is sorted or hashed
-and AQE splits skewed partitions.
+Broadcasts: Catalyst broadcasts a side when its known size is below
+``spark.sql.autoBroadcastJoinThreshold``. Where the size of a lookup is unknown to it,
+``checked`` counts the rows first. A larger side is joined by sort or hash, and AQE
+splits its skewed partitions.
 """
 
 from __future__ import annotations
@@ -143,8 +144,13 @@ def lagged_pairs(pairs: DataFrame, max_lag: int = 24, pair=("market1", "market2"
     return out.select(*pair, F.inline("_lags")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
+def checked(dim: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """A lookup table, marked for broadcast only if it has at most ``max_rows`` rows."""
+    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
+
+
 def lookup_dim(df: DataFrame, dim: DataFrame, on) -> DataFrame:
-    return df.join(dim, on, "left")
+    return df.join(checked(dim), on, "left")
 
 
 def expand_users(posts: DataFrame, users: DataFrame, key: str = "author_id") -> DataFrame:

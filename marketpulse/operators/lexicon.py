@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketpulse.functions.numeric import clip, div, num
-from marketpulse.functions.text import lookup, word_hits, words
+from marketpulse.functions.text import bare_words, lookup, word_hits, words
+from marketpulse.operators.joins import checked
 
 # Fear and greed words with their weights.
 FEAR_WORDS = {
@@ -89,11 +90,6 @@ def fear_greed_score(posts: DataFrame, match: str = "word", fear=None, greed=Non
     })
 
 
-def _bare(word: Column) -> Column:
-    """A word in lower case without outer punctuation."""
-    return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-
-
 def _boost(word: Column) -> Column:
     plain = F.regexp_replace(word, "'", "")
     return (
@@ -105,18 +101,17 @@ def valence_hits(texts: DataFrame, lexicon: DataFrame, key: list[str], col: str
     """Words of each text that are in the lexicon, with their adjusted valence ``v``.
 
     The three words before a hit boost or negate it. Words travel with their
-    neighbours, so nothing is shuffled to find them; a lexicon under the broadcast
-    threshold joins on the map side as well.
+    neighbours, so nothing is shuffled to find them; a lexicon that is small enough to
+    broadcast joins on the map side as well.
     """
-    bare = F.transform(words(F.col(col)), _bare)
     near = F.transform(
         F.col("_w"),
         lambda t, i: F.struct(t.alias("token"), *[
             F.get(F.col("_w"), i - k).alias(f"b{k}") for k in (1, 2, 3)
         ]),
     )
-    rows = texts.select(*key, bare.alias("_w")).select(*key, F.inline(near))
-    hits = rows.join(lexicon, "token")
+    rows = texts.select(*key, bare_words(F.col(col)).alias("_w")).select(*key, F.inline(near))
+    hits = rows.join(checked(lexicon), "token")
     sign = F.signum("valence")
     shift = _sum([F.coalesce(_boost(F.col(f"b{k}")), num(0)) * DISTANCE[k - 1] for k in (1, 2, 3)])
     negated = _any([

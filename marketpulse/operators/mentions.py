@@ -54,6 +54,7 @@ CONFIDENCE = {"cashtag": 0.95, "stock": 0.85, "crypto": 0.9, "exchange": 0.85, "
               "percentage": 0.95}
 UNITS = {"K": 1e3, "M": 1e6, "B": 1e9, "T": 1e12}
 
+SPANS = "array<struct<text:string,start:int,end:int>>"
 MENTION = "struct<text:string,type:string,start:int,end:int,confidence:double,value:double,attrs:map<string,string>>"
 
 
@@ -63,15 +64,16 @@ def spans(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # One walk over (gap, match) pairs; the gap after the last match has no partner.
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("match")), lambda p: p["match"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"),
-                     F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
     def step(state, p):
         begin = state["at"] + p["gap"]
         end = begin + F.length(p["match"])
         one = F.struct(p["match"].alias("text"), begin.alias("start"), end.alias("end"))
         return F.struct(end.alias("at"), F.array_append(state["out"], one).alias("out"))
-    return F.aggregate(pairs, start, step, lambda state: state["out"])
+    walked = F.aggregate(pairs, start, step, lambda state: state["out"])
+    # Most texts have no match: one scan then, not two.
+    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(SPANS))
 
 
 def _words(listed) -> str:
@@ -117,27 +119,17 @@ def _stocks(text: Column) -> Column:
     )
 
 
-def _coins(text: Column) -> Column:
-    return F.transform(
-        spans(text, "(?i)" + _words(COIN_PATTERN)),
-        lambda s: _mention(s, "crypto", CONFIDENCE["crypto"], attrs={
-            "crypto": F.try_element_at(lookup(COINS), F.lower(s["text"])), "symbol": F.upper(s["text"]),
-        }),
-    )
-
-
-def _exchanges(lowered: Column) -> Column:
-    return F.transform(
-        spans(lowered, _words(EXCHANGES)),
-        lambda s: _mention(s, "exchange", CONFIDENCE["exchange"], F.initcap(s["text"]), attrs={"exchange": s["text"]}),
-    )
-
-
-def _terms(lowered: Column) -> Column:
-    return F.transform(
-        spans(lowered, _words(TERMS)),
-        lambda s: _mention(s, "financial_term", CONFIDENCE["term"], attrs={"term": s["text"]}),
-    )
+def _named(text: Column) -> Column:
+    """Coins, exchanges and terms: one pattern for all words, told apart by lists."""
+    found = spans(text, "(?i)" + _words([*COIN_PATTERN, *EXCHANGES, *TERMS]))
+    coins = [c.lower() for c in COIN_PATTERN]
+    low = lambda s: F.lower(s["text"])
+    return F.transform(found, lambda s: F.when(low(s).isin(coins), _mention(
+        s, "crypto", CONFIDENCE["crypto"], attrs={
+            "crypto": F.try_element_at(lookup(COINS), low(s)), "symbol": F.upper(s["text"])},
+    )).when(low(s).isin(EXCHANGES), _mention(
+        s, "exchange", CONFIDENCE["exchange"], F.initcap(s["text"]), attrs={"exchange": low(s)},
+    )).otherwise(_mention(s, "financial_term", CONFIDENCE["term"], low(s), attrs={"term": low(s)})))
 
 
 def _numbers(text: Column) -> Column:
@@ -164,9 +156,11 @@ def _percentages(text: Column) -> Column:
 
 def all_mentions(text: Column) -> Column:
     """Mentions of every kind, overlaps included."""
-    lowered = F.lower(text)
-    return F.concat(_cashtags(text), _stocks(text), _coins(text), _exchanges(lowered), _terms(lowered),
-                    _numbers(text), _percentages(text))
+    def if_any(mark: str, found: Column) -> Column:
+        """The pattern needs a character that most texts do not have."""
+        return F.when(F.contains(text, F.lit(mark)), found).otherwise(F.array().cast(f"array<{MENTION}>"))
+    return F.concat(if_any("$", _cashtags(text)), _stocks(text), _named(text), if_any("$", _numbers(text)),
+                    if_any("%", _percentages(text)))
 
 
 def dedupe_spans(found: Column) -> Column:

@@ -86,6 +86,7 @@ def _rank_by_return(classified: DataFrame, group: str) -> DataFrame:
 def regime_kmeans(bars: DataFrame, seed: int = 42, **series) -> DataFrame:
     """Three clusters of the standardised features, named by their mean return."""
     rows = regime_features(bars, **series).dropna(subset=list(CLUSTER_FEATURES))
+    rows = materialise(rows.select("symbol", "ts", *CLUSTER_FEATURES), "features")
     vectors = VectorAssembler(inputCols=list(CLUSTER_FEATURES), outputCol="_raw").transform(rows)
     scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(vectors)
     scaled = scaler.transform(vectors)
@@ -100,6 +101,7 @@ def regime_kmeans(bars: DataFrame, seed: int = 42, **series) -> DataFrame:
 def regime_mixture(bars: DataFrame, seed: int = 42, **series) -> DataFrame:
     """Three Gaussian components over (return, volatility); confidence is the posterior."""
     rows = regime_features(bars, **series).dropna(subset=["ret", "volatility_20"])
+    rows = materialise(rows.select("symbol", "ts", "ret", "volatility_20"), "features")
     vectors = VectorAssembler(inputCols=["ret", "volatility_20"], outputCol="_x").transform(rows)
     model = GaussianMixture(
         k=3, seed=seed, featuresCol="_x", predictionCol="state_id", probabilityCol="_p"

@@ -36,15 +36,22 @@ def over_time(df: DataFrame, step: Callable[[DataFrame, WindowSpec], DataFrame],
 
 def rolling_time_mean(df: DataFrame, col: str, hours: Sequence[int] = (1, 4, 24), by=("asset",), ts: str = "ts",
                       prefix: str = "mean") -> DataFrame:
-    """(by..., ts, <prefix>_1h, ...): mean of the rows in (ts - h hours, ts]."""
+    """(by..., ts, <prefix>_1h, ...): mean of the rows in (ts - h hours, ts].
+
+    Running totals up to the row minus running totals up to h hours before it: the cost
+    does not depend on how many rows a frame holds.
+    """
     moments = df.where(F.col(col).isNotNull()).groupBy(*by, ts).agg(
         F.sum(col).alias("_sum"), F.count(col).alias("_n")
     )
 
     def step(d, w):
+        def upto(c: str, end: int) -> Column:
+            return F.coalesce(F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, end)), F.lit(0))
+
         def mean(h: int) -> Column:
-            f = w.rangeBetween(-(h * 3600 * SECOND - 1), 0)
-            return div(F.sum("_sum").over(f), F.sum("_n").over(f))
+            edge = -h * 3600 * SECOND
+            return div(upto("_sum", 0) - upto("_sum", edge), upto("_n", 0) - upto("_n", edge))
         return d.withColumns({f"{prefix}_{h}h": mean(h) for h in hours})
     return over_time(moments, step, max(hours) * 3600, by, ts).drop("_sum", "_n")
 
@@ -56,8 +63,12 @@ def time_momentum(df: DataFrame, col: str = "score", back: int = 900, within: in
     Expects one row per (key, ts).
     """
     def step(d, w):
-        f = w.rangeBetween(-within * SECOND, -back * SECOND)
-        return d.withColumn(out, F.coalesce(F.col(col) - F.last(col).over(f), num(0)))
+        before = F.last(F.struct(F.col("_t").alias("at"), F.col(col).alias("value"))).over(
+            w.rangeBetween(Window.unboundedPreceding, -back * SECOND))
+        d = d.withColumn("_before", before)
+        near = F.col("_before.at") >= F.col("_t") - within * SECOND
+        moved = F.when(near, F.col(col) - F.col("_before.value"))
+        return d.withColumn(out, F.coalesce(moved, num(0))).drop("_before")
     return over_time(df, step, within, by, ts)
 
 

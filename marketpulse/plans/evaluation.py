@@ -150,7 +150,8 @@ def q_correlated_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
     side = F.when(F.col("l_linenumber") % 2 == 0, "sell").otherwise("buy")
-    return src.table(spark, sf, "lineitem").select(
+    lines = src.spread(src.table(spark, sf, "lineitem"), "l_orderkey")
+    return lines.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_id"), (F.col("l_suppkey") % 50).alias("book_id"),
         side.alias("side"), (F.col("l_quantity") * 1000).cast("double").alias("size"))
 
@@ -285,7 +286,7 @@ def q_forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_text_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    rows = src.table(spark, sf, "documents").join(src.table(spark, sf, "labels"), "doc_id").select(
+    rows = src.spread(src.table(spark, sf, "documents"), "doc_id").join(src.table(spark, sf, "labels"), "doc_id").select(
         "doc_id", "text", F.col("quality").alias("label"))
     _, accuracy, predicted = mo.fit_text_classifier(rows)
     return predicted.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n")).withColumn(
@@ -314,7 +315,7 @@ SELECT doc_id, {rnd('s', 6, 'model_score')}, {rnd('abs(s)', 6, 'model_confidence
 def q_embedding_score(spark: SparkSession, sf: str) -> DataFrame:
     """tanh score of each embedding with equal weights, and its largest softmax share."""
     v = F.transform("embedding", lambda x: x.cast("double"))
-    d = src.table(spark, sf, "embeddings").withColumn("v", v)
+    d = src.spread(src.table(spark, sf, "embeddings"), "vec_id").withColumn("v", v)
     ones = F.transform("v", lambda x: num(0.5))
     out = d.select("vec_id", tanh_score(F.col("v"), ones).alias("score"),
                    F.array_max(softmax(F.col("v"))).alias("top_share"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -200,7 +202,8 @@ SELECT post_id, {_fg_fields('fg', 'fg')}, {_fg_fields('sub', 'sub')} FROM sub"""
 
 def valence_ctes(source: str, keys: str, name: str) -> list[str]:
     """CTE ``name`` with one row per lexicon hit of the texts of ``source``."""
-    bare = r"lower(regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'))"
+    punct = literal(string.punctuation)
+    bare = f"CASE WHEN trim(w, {punct}) = '' THEN w ELSE trim(w, {punct}) END"
     up, dn = _strings(lex.BOOSTERS_UP), _strings(lex.BOOSTERS_DOWN)
 
     def boost(k: int, factor: float) -> str:
@@ -209,7 +212,8 @@ def valence_ctes(source: str, keys: str, name: str) -> list[str]:
     shift = " + ".join(boost(k, f) for k, f in zip((1, 2, 3), lex.DISTANCE))
     negated = " OR ".join(f"replace(coalesce(b{k}, ''), '''', '') IN ({_strings(lex.NEGATIONS)})" for k in (1, 2, 3))
     return [rf"""{name}_w AS (
-  SELECT {keys}, list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), lambda w: {bare}) AS ws
+  SELECT {keys}, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS nw,
+    list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''), lambda w: {bare}) AS ws
   FROM {source})""", f"""{name}_p AS (
   SELECT {keys}, ws, unnest(generate_series(1, len(ws))) AS i FROM {name}_w)""", f"""{name}_n AS (
   SELECT {keys}, ws[i] AS token, CASE WHEN i > 1 THEN ws[i - 1] END AS b1, CASE WHEN i > 2 THEN ws[i - 2] END AS b2,
@@ -224,7 +228,7 @@ LEX_CTES = [*valence_ctes("posts", "post_id", "hits"), """sums AS (
     sum(CASE WHEN v < 0 THEN v - 1 ELSE 0 END) AS dn, count(*) FILTER (v <> 0) AS n FROM hits GROUP BY 1)""",
     f"""parts AS (
   SELECT post_id, text, lang, coalesce({_COMPOUND}, 0) AS compound, coalesce(up, 0) AS up, abs(coalesce(dn, 0)) AS dn,
-    (len(ws) - coalesce(n, 0))::DOUBLE AS plain
+    (nw - coalesce(n, 0))::DOUBLE AS plain
   FROM posts JOIN hits_w USING (post_id) LEFT JOIN sums USING (post_id))""", """lexed AS (
   SELECT *, coalesce(up / nullif(up + dn + plain, 0), 0) AS positive, coalesce(dn / nullif(up + dn + plain, 0), 0) AS negative,
     coalesce(plain / nullif(up + dn + plain, 0), 1) AS neutral FROM parts)""", """lexscore AS (

@@ -37,6 +37,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than cores.
+
+    A file with one row group is one task however many cores there are. A large
+    table has more splits than cores and is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def bars_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return build_bars(
         table(spark, sf, "events"), symbol="event_type", ts="ts", price="value", tie="event_id", unit="hour"
@@ -97,7 +107,7 @@ def price_sentiment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
     slot = (F.col("doc_id") % 12).cast("int")
     lang = F.create_map(*[F.lit(v) for item in PHRASE_LANGS.items() for v in item])
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), slot + 1)
@@ -110,4 +120,5 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LEXICON.items()), "token string, valence double")
+    rows = ", ".join(f"('{t}', double({v}))" for t, v in LEXICON.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS lexicon(token, valence)")

@@ -30,8 +30,9 @@ def signal_path(spark, sf: str):
     from marketpulse.sources import adapters
 
     cleaned = posts.preprocess(adapters.posts(spark, sf)).where("is_valid")
-    scored = lexicon.ensemble_score(cleaned, adapters.lexicon(spark))
-    per_asset = scored.withColumn("symbol", tx.route_asset(F.col("text"))).groupBy("symbol", F.col("source")).agg(
+    routed = cleaned.select("post_id", "source", "text", tx.route_asset(F.col("text")).alias("symbol"))
+    scored = lexicon.ensemble_score(routed, adapters.lexicon(spark))
+    per_asset = scored.groupBy("symbol", "source").agg(
         F.avg("compound").alias("sentiment_score"), F.count(F.lit(1)).alias("source_count"))
     return signals.signals(per_asset.withColumn("ts", F.lit("2024-01-01").cast("timestamp")), min_confidence=0.0)
 

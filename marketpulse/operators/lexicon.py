@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketpulse.functions.numeric import clip, div, num
-from marketpulse.functions.text import bare_words, lookup, word_hits, words
+from marketpulse.functions.text import bare_words, is_ascii, lookup, word_hits, words
 from marketpulse.operators.joins import checked
 
 # Fear and greed words with their weights.
@@ -97,28 +97,31 @@ def _boost(word: Column) -> Column:
     )
 
 
-def valence_hits(texts: DataFrame, lexicon: DataFrame, key: list[str], col: str = "text") -> DataFrame:
-    """Words of each text that are in the lexicon, with their adjusted valence ``v``.
+def _neighbours(bare: Column) -> Column:
+    """Each word with the three words before it."""
+    return F.transform(bare, lambda t, i: F.struct(t.alias("token"), *[
+        F.get(F.col("_w"), i - k).alias(f"b{k}") for k in (1, 2, 3)
+    ]))
 
-    The three words before a hit boost or negate it. Words travel with their
-    neighbours, so nothing is shuffled to find them; a lexicon that is small enough to
-    broadcast joins on the map side as well.
-    """
-    near = F.transform(
-        F.col("_w"),
-        lambda t, i: F.struct(t.alias("token"), *[
-            F.get(F.col("_w"), i - k).alias(f"b{k}") for k in (1, 2, 3)
-        ]),
-    )
-    rows = texts.select(*key, bare_words(F.col(col)).alias("_w")).select(*key, F.inline(near))
-    hits = rows.join(checked(lexicon), "token")
-    sign = F.signum("valence")
+
+def _adjusted() -> Column:
+    """Valence of a hit after boosting or negation by the words before it."""
     shift = _sum([F.coalesce(_boost(F.col(f"b{k}")), num(0)) * DISTANCE[k - 1] for k in (1, 2, 3)])
     negated = _any([
         F.coalesce(F.regexp_replace(F.col(f"b{k}"), "'", "").isin(NEGATIONS), F.lit(False)) for k in (1, 2, 3)
     ])
-    boosted = F.col("valence") + sign * shift
-    return hits.select(*key, F.when(negated, boosted * NEGATE).otherwise(boosted).alias("v"))
+    boosted = F.col("valence") + F.signum("valence") * shift
+    return F.when(negated, boosted * NEGATE).otherwise(boosted)
+
+
+def valence_hits(texts: DataFrame, lexicon: DataFrame, key: list[str], col: str = "text") -> DataFrame:
+    """Words of each text that are in the lexicon, with their adjusted valence ``v``.
+
+    Words travel with their neighbours, so nothing is shuffled to find them; a lexicon
+    that is small enough to broadcast joins on the map side as well.
+    """
+    rows = texts.select(*key, bare_words(F.col(col)).alias("_w")).select(*key, F.inline(_neighbours(F.col("_w"))))
+    return rows.join(checked(lexicon), "token").select(*key, _adjusted().alias("v"))
 
 
 def _normalise(total: Column) -> Column:
@@ -132,28 +135,34 @@ def compound(texts: DataFrame, lexicon: DataFrame, key: list[str], col: str = "t
 
 
 def lexicon_score(posts: DataFrame, lexicon: DataFrame, key: str = "post_id", col: str = "text") -> DataFrame:
-    """positive, negative, neutral shares, compound in [-1, 1] and confidence of each post."""
-    hits = valence_hits(posts, lexicon, [key], col)
-    sums = hits.groupBy(key).agg(
-        F.sum("v").alias("_total"),
-        F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(num(0))).alias("_up"),
-        F.sum(F.when(F.col("v") < 0, F.col("v") - 1).otherwise(num(0))).alias("_down"),
-        F.count_if(F.col("v") != 0).alias("_hits"),
+    """positive, negative, neutral shares, compound in [-1, 1] and confidence of each post.
+
+    The text itself is left behind: words are scored and summed where the text is read,
+    and only one row of sums per post is shuffled, with the other columns of the post.
+    """
+    keep = [key, *[c for c in posts.columns if c not in (key, col)]]
+    text = F.col(col)
+    rows = posts.select(
+        *keep, (F.length(F.trim(text)) == 0).alias("_empty"), F.size(words(text)).alias("_n"), bare_words(text).alias("_w"),
+    ).select(*keep, "_empty", "_n", F.inline_outer(_neighbours(F.col("_w"))))
+    scored = rows.join(checked(lexicon), "token", "left").withColumn("v", _adjusted())
+    v = F.col("v")
+    sums = scored.groupBy(*keep, "_empty", "_n").agg(
+        F.sum(v).alias("_total"),
+        F.coalesce(F.sum(F.when(v > 0, v + 1)), num(0)).alias("_up"),
+        F.abs(F.coalesce(F.sum(F.when(v < 0, v - 1)), num(0))).alias("_down"),
+        F.count_if(v != 0).alias("_hits"),
     )
-    joined = posts.join(sums, key, "left")
-    size = F.size(words(F.col(col)))
-    up, down = F.coalesce("_up", num(0)), F.abs(F.coalesce("_down", num(0)))
-    plain = (size - F.coalesce("_hits", F.lit(0))).cast("double")
-    everything = up + down + plain
-    empty = F.length(F.trim(F.col(col))) == 0
-    out = joined.withColumns({
-        "positive": F.coalesce(div(up, everything), num(0)),
-        "negative": F.coalesce(div(down, everything), num(0)),
+    plain = (F.col("_n") - F.col("_hits")).cast("double")
+    everything = F.col("_up") + F.col("_down") + plain
+    out = sums.withColumns({
+        "positive": F.coalesce(div(F.col("_up"), everything), num(0)),
+        "negative": F.coalesce(div(F.col("_down"), everything), num(0)),
         "neutral": F.coalesce(div(plain, everything), num(1)),
         "compound": _normalise(F.col("_total")),
     })
     best = F.greatest("positive", "negative", "neutral")
-    return out.withColumn("confidence", F.when(empty, num(0)).otherwise(best)).drop("_total", "_up", "_down", "_hits")
+    return out.withColumn("confidence", F.when(F.col("_empty"), num(0)).otherwise(best)).select(*keep, *FIELDS)
 
 
 FIELDS = ("positive", "negative", "neutral", "compound", "confidence")
@@ -162,7 +171,7 @@ FIELDS = ("positive", "negative", "neutral", "compound", "confidence")
 def ensemble_score(posts: DataFrame, lexicon: DataFrame, lexicon_weight: float = 0.7, words_weight: float = 0.3,
                    key: str = "post_id", match: str = "word") -> DataFrame:
     """Lexicon and fear/greed scores blended, field by field."""
-    both = fear_greed_score(lexicon_score(posts, lexicon, key), match)
+    both = lexicon_score(fear_greed_score(posts, match), lexicon, key)
     blended = {f: F.col(f) * lexicon_weight + F.col(f"fg_{f}") * words_weight for f in FIELDS}
     return both.withColumns(blended).drop(*[f"fg_{f}" for f in FIELDS])
 
@@ -187,9 +196,12 @@ def native_score(posts: DataFrame, native=None) -> DataFrame:
 
 
 def route_language(posts: DataFrame, english: str = "compound", native=None) -> DataFrame:
-    """Native score where its confidence is above 0.3, else the English score."""
+    """Native score where its confidence is above 0.3, else the English score.
+
+    The native score is computed from the text unless its columns are there already.
+    """
     native = native or NATIVE_WORDS
-    scored = native_score(posts, native)
+    scored = posts if "native_score" in posts.columns else native_score(posts, native)
     use = F.col("lang").isin(list(native)) & (F.col("native_confidence") > 0.3)
     return scored.withColumns({
         "route": F.when(use, "native").otherwise("english"),
@@ -200,7 +212,7 @@ def route_language(posts: DataFrame, english: str = "compound", native=None) ->
 
 def sarcasm(posts: DataFrame, lexicon: DataFrame, key: str = "post_id", match: str = "word",
             model_score: str | None = None) -> DataFrame:
-    """is_sarcastic, sarcasm_confidence, sarcasm_indicators, adjusted_sentiment.
+    """Per post: compound, is_sarcastic, sarcasm_confidence, sarcasm_indicators, adjusted_sentiment.
 
     Contradicting neighbour sentences x 0.4, patterns x 0.3, context x 0.3 (and a
     model score x 0.3 when its column is given); above 0.5 the sentiment is flipped.
@@ -227,25 +239,25 @@ def sarcasm(posts: DataFrame, lexicon: DataFrame, key: str = "post_id", match: s
         F.count(F.lit(1)).alias("_praise")
     )
 
-    d = posts.join(whole, key, "left").join(contradiction, key, "left").join(praised, key, "left")
-    d = d.withColumns({"_compound": F.coalesce("_compound", num(0)), "_praise": F.coalesce("_praise", F.lit(0))})
-    share = div(F.col("_turns").cast("double"), F.greatest(F.col("_sentences") - 1, F.lit(1)))
-    d = d.withColumn("_contra", F.when((F.col("_sentences") >= 2) & (share > 0.5), share).otherwise(num(0)))
-
     phrases = _count([F.contains(lowered, F.lit(p)) for p in SARCASTIC])
     strong = F.size(word_hits(lowered, INTENSIFIERS, match)) > 0
     caps = F.regexp_count(text, F.lit(r"(?<![\p{L}\p{N}_])[A-Z]{2,}(?![\p{L}\p{N}_])"))
     rhetorical = F.when(F.contains(text, F.lit("?")), _count([lowered.rlike(p) for p in RHETORICAL])).otherwise(0)
+    # All tests of the text itself run where it is read; the text goes no further.
+    d = posts.select(
+        key, F.regexp_count(text, F.lit("!")).alias("_shouts"), F.regexp_count(text, F.lit(r"\?")).alias("_asks"),
+        phrases.alias("_phrases"), strong.alias("_strong"), caps.alias("_caps"),
+        F.contains(text, F.lit("...")).alias("_dots"), F.size(word_hits(lowered, HYPERBOLE, match)).alias("_hyper"),
+        rhetorical.alias("_rhetorical"), (~is_ascii(text) & text.rlike(f"[{SMILES}]")).alias("_smiles"),
+        (F.length(F.trim(text)) >= 3).alias("_long"), *([model_score] if model_score else []),
+    )
+    d = d.join(whole, key, "left").join(contradiction, key, "left").join(praised, key, "left")
+    d = d.withColumns({"_compound": F.coalesce("_compound", num(0)), "_praise": F.coalesce("_praise", F.lit(0))})
+    share = div(F.col("_turns").cast("double"), F.greatest(F.col("_sentences") - 1, F.lit(1)))
     d = d.withColumns({
-        "_shouts": F.regexp_count(text, F.lit("!")),
-        "_asks": F.regexp_count(text, F.lit(r"\?")),
-        "_phrases": phrases,
-        "_mild": strong & (F.abs("_compound") < 0.3),
-        "_caps": caps,
-        "_dots": F.contains(text, F.lit("...")),
-        "_hyper": F.size(word_hits(lowered, HYPERBOLE, match)),
-        "_rhetorical": rhetorical,
-        "_smile": text.rlike(f"[{SMILES}]") & (F.col("_compound") < -0.2),
+        "_contra": F.when((F.col("_sentences") >= 2) & (share > 0.5), share).otherwise(num(0)),
+        "_mild": F.col("_strong") & (F.abs("_compound") < 0.3),
+        "_smile": F.col("_smiles") & (F.col("_compound") < -0.2),
     })
 
     def when(flag: Column, weight: float) -> Column:
@@ -267,7 +279,7 @@ def sarcasm(posts: DataFrame, lexicon: DataFrame, key: str = "post_id", match: s
         "rhetorical_question": F.col("_rhetorical") > 0, "emoji_sentiment_mismatch": F.col("_smile"),
     }
     named = F.filter(F.array(*[F.when(c, n) for n, c in labels.items()]), lambda x: x.isNotNull())
-    long_enough = F.length(F.trim("text")) >= 3
+    long_enough = F.col("_long")
     d = d.withColumns({
         "sarcasm_confidence": F.when(long_enough, confidence).otherwise(num(0)), "sarcasm_indicators": named,
     })
@@ -276,26 +288,30 @@ def sarcasm(posts: DataFrame, lexicon: DataFrame, key: str = "post_id", match: s
         "is_sarcastic": flipped,
         "adjusted_sentiment": F.when(~long_enough, num(0))
         .when(flipped, -F.col("_compound") * F.col("sarcasm_confidence")).otherwise(F.col("_compound")),
-    }).withColumnRenamed("_compound", "compound")
-    return d.drop("_sentences", "_turns", "_praise", "_contra", "_shouts", "_asks", "_phrases", "_mild", "_caps",
-                  "_dots", "_hyper", "_rhetorical", "_smile")
+    })
+    return d.select(key, F.col("_compound").alias("compound"), "is_sarcastic", "sarcasm_confidence",
+                    "sarcasm_indicators", "adjusted_sentiment")
 
 
 def image_text_flags(df: DataFrame, match: str = "substring") -> DataFrame:
-    """is_chart and is_meme of the text read from an image."""
+    """is_chart, is_meme and has_text of the text read from an image."""
     lowered = F.lower("text")
     caps = div(F.regexp_count("text", F.lit(r"\p{Lu}")).cast("double"), F.greatest(F.length("text"), F.lit(1)))
     shouted = (caps > 0.7) & (F.length("text") < 100)
     return df.withColumns({
         "is_chart": F.size(word_hits(lowered, CHART_WORDS, match)) > 0,
         "is_meme": (F.size(word_hits(lowered, MEME_WORDS, match)) > 0) | shouted,
+        "has_text": F.length(F.trim("text")) > 0,
     })
 
 
 def image_text_sentiment(df: DataFrame, text_score: str, colour_score: str, match: str = "substring") -> DataFrame:
-    """Text and colour score blended 0.7 / 0.3, halved on charts, x 1.2 on memes, cut to [-1, 1]."""
-    d = image_text_flags(df, match)
-    has_text = F.length(F.trim("text")) > 0
+    """Text and colour score blended 0.7 / 0.3, halved on charts, x 1.2 on memes, cut to [-1, 1].
+
+    The flags are computed from the text unless they are there already.
+    """
+    d = df if "is_chart" in df.columns else image_text_flags(df, match)
+    has_text = F.col("has_text")
     base = F.when(has_text, F.col(text_score) * 0.7 + F.col(colour_score) * 0.3).otherwise(F.col(colour_score))
     scaled = base * F.when(F.col("is_chart"), num(0.5)).otherwise(num(1)) * F.when(
         F.col("is_meme"), num(1.2)).otherwise(num(1))

@@ -14,6 +14,7 @@ from marketpulse.operators import mentions as ment
 from marketpulse.operators import posts as po
 from marketpulse.operators import sentiment as se
 from marketpulse.plans.sqlkit import LEX, POSTS, literal, rnd, with_
+from marketpulse.session import materialise
 from marketpulse.sources import adapters as src
 
 W = r"[\p{L}\p{N}_]"
@@ -285,7 +286,7 @@ SELECT post_id, lang, {rnd('native_score')}, {rnd('native_confidence')} FROM nat
 
 
 def q_route_language(spark: SparkSession, sf: str) -> DataFrame:
-    out = lex.route_language(lex.lexicon_score(src.posts(spark, sf), src.lexicon(spark)))
+    out = lex.route_language(lex.lexicon_score(lex.native_score(src.posts(spark, sf)), src.lexicon(spark)))
     return round_columns(out.select("post_id", "lang", "route", "language_score", "language_confidence"),
                          {"language_score": 6, "language_confidence": 6})
 
@@ -351,7 +352,7 @@ SELECT post_id, is_sarcastic, {rnd('conf', 6, 'sarcasm_confidence')}, {rnd('adju
 
 
 def q_image_text_flags(spark: SparkSession, sf: str) -> DataFrame:
-    scored = lex.lexicon_score(src.posts(spark, sf), src.lexicon(spark))
+    scored = lex.lexicon_score(lex.image_text_flags(src.posts(spark, sf)), src.lexicon(spark))
     scored = scored.withColumn("colour", (F.col("post_id") % 9 - 4) / num(10))
     out = lex.image_text_sentiment(scored, "compound", "colour")
     return round_columns(out.select("post_id", "is_chart", "is_meme", "overall_sentiment", "image_confidence"),
@@ -380,8 +381,9 @@ VOTE_WEIGHTS = {"lexicon": 0.5, "words": 0.3, "emoji": 0.2}
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     """Posts with three deterministic scores."""
-    d = lex.fear_greed_score(lex.lexicon_score(src.posts(spark, sf), src.lexicon(spark)))
-    return d.withColumn("emoji", tx.emoji_sentiment(F.col("text")))
+    d = lex.native_score(lex.fear_greed_score(src.posts(spark, sf)))
+    d = d.withColumn("emoji", tx.emoji_sentiment(F.col("text")))
+    return materialise(lex.lexicon_score(d, src.lexicon(spark)), "scored")
 
 
 MODELS = {"lexicon": "compound", "words": "fg_compound", "emoji": "emoji"}

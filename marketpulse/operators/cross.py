@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from marketpulse.functions import frames as fr
 from marketpulse.functions.numeric import corr, num
-from marketpulse.operators.joins import lagged_pairs, market_pairs
+from marketpulse.operators.joins import beside, lagged_pairs, market_pairs
 from marketpulse.operators.series import over_series
 from marketpulse.session import materialise
 
@@ -151,7 +152,7 @@ def risk_regime(rets: DataFrame, base: str, stock: str, fear_level: float | None
         F.coalesce(F.max("r"), num(0)).alias("correlation"))
     r, v = F.col("correlation"), F.col("volatility_level")
     on, off = (r > 0.4) & (v < 0.4), (r < -0.2) | (v > 0.6)
-    return spread.crossJoin(linked).select(
+    return beside(spread, linked).select(
         F.when(on, "risk_on").when(off, "risk_off").otherwise("neutral").alias("regime"),
         F.when(on, F.least(r + (1 - v), num(1))).when(off, F.least(F.abs(r) + v, num(1)))
         .otherwise(1 - F.abs(r)).alias("confidence"),
@@ -167,5 +168,5 @@ def cross_market(bars: DataFrame, base: str, stock: str) -> DataFrame:
     lagged = best_lag(two).select(F.col("correlation").alias("best_correlation"), F.col("lag").alias("best_lag"))
     spill = spillover(two).agg(F.coalesce(F.avg("spillover_strength"), num(0)).alias("spillover_index"))
     risk = risk_regime(rets, base, stock).withColumnRenamed("correlation", "base_correlation")
-    return lagged.crossJoin(dominance(pairs, base)).crossJoin(coupling(pairs)).crossJoin(spill).crossJoin(risk)
+    return reduce(beside, [dominance(pairs, base), coupling(pairs), spill, risk], lagged)
 

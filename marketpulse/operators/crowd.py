@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketpulse.functions import frames as fr
 from marketpulse.functions.numeric import div, num, seconds_between
-from marketpulse.operators.joins import asof_join, posts_of
+from marketpulse.operators.joins import asof_join, beside, posts_of
 from marketpulse.operators.series import over_series
-from marketpulse.operators.timeframes import SECOND, micros
+from marketpulse.operators.timeframes import SECOND, micros, minute
 from marketpulse.session import materialise
 
 
@@ -23,14 +24,23 @@ def user_profiles(posts: DataFrame) -> DataFrame:
         F.stddev_samp("sentiment_score").alias("sentiment_std"),
         F.avg("engagement").alias("avg_engagement"),
         F.min_by("follower_count", "ts").alias("follower_count"),
-        F.min("username").alias("username"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
 
 
+def first_names(posts: DataFrame) -> DataFrame:
+    """(user_id, username): the name of the first post.
+
+    Names are grouped before they are compared: an aggregate that carries text would
+    sort all posts.
+    """
+    seen = posts.groupBy("user_id", "username").agg(F.min("ts").alias("_ts"))
+    return seen.groupBy("user_id").agg(F.min_by("username", F.struct("_ts", "username")).alias("username"))
+
+
 def influencers(posts: DataFrame, floor: int = 1000) -> DataFrame:
     """Users with at least ``floor`` followers and their influence score in [0, 1]."""
-    d = user_profiles(posts).where(F.col("follower_count") >= floor)
+    d = user_profiles(posts).where(F.col("follower_count") >= floor).join(first_names(posts), "user_id")
     days = F.floor(seconds_between(F.col("first_ts"), F.col("last_ts")) / 86400)
     d = d.withColumns({
         "engagement_rate": F.col("avg_engagement") / F.greatest("follower_count", F.lit(1)),
@@ -115,7 +125,7 @@ def echo_chambers(posts: DataFrame, eps: float = 0.2, min_pts: int = 5) -> DataF
     m = F.col("mean_sentiment")
     facts = facts.withColumn(
         "dominant_sentiment", F.when(m > 0.2, "positive").when(m < -0.2, "negative").otherwise("neutral"))
-    tagged = posts_of(posts, members).join(members.select("user_id", "chamber_id"), "user_id")
+    tagged = posts.join(members.select("user_id", "chamber_id"), "user_id")
     return facts.join(top_tags(tagged, ["chamber_id"]), "chamber_id", "left")
 
 
@@ -132,7 +142,7 @@ def _chain(candidates: DataFrame, hours: float) -> DataFrame:
     # Forward as-of as a backward one on the negated axis: the first time above _t + span.
     asks = times.select("asset", (-(F.col("_t") + span + 1)).alias("_key"), F.col("_t").alias("_from"))
     keys = times.select("asset", (-F.col("_t")).alias("_key"), F.col("_t").alias("_next"))
-    chunk = F.floor(F.col("_key") / (86400 * SECOND))
+    chunk = F.floor(F.col("_key") / (60 * SECOND))
     jump = asof_join(asks, keys, ("_next",), ("asset",), "_key", chunk=chunk, bar_ts="_at").select(
         "asset", F.col("_from").alias("_t"), "_next").where(F.col("_next").isNotNull())
     jump = materialise(jump, "jump")
@@ -161,7 +171,7 @@ def cascades(posts: DataFrame, hours: float = 6, window: int = 20, sigma: float
         d = d.withColumn("rolling", fr.mean_partial(F.col("sentiment_score"), window, w))
         return d.withColumn("change", fr.diff(F.col("rolling"), w))
     rows = over_series(posts.withColumn("_t", micros("ts")), step, window, by=("asset",), order=("ts", "event_id"),
-                       numbered=True)
+                       chunk=minute(), numbered=True)
     rows = materialise(rows.select("asset", "ts", "_t", "event_id", "_rn", "user_id", "rolling", "change"), "rolling")
     spread = rows.groupBy("asset").agg((F.stddev_samp("change") * sigma).alias("_limit"))
     jumps = rows.join(spread, "asset").where(F.abs("change") > F.col("_limit"))
@@ -171,7 +181,7 @@ def cascades(posts: DataFrame, hours: float = 6, window: int = 20, sigma: float
         "asset", "_t", F.col("_s._rn").alias("_first"), F.col("_s.rolling").alias("initial_sentiment"),
         F.col("_s.ts").alias("start_time"))
     span = int(hours * 3600 * SECOND)
-    chunk = F.floor(F.col("_t") / (86400 * SECOND))
+    chunk = F.floor(F.col("_t") / (60 * SECOND))
     inside = asof_join(
         rows.select("asset", "_t", "_rn", "ts", "user_id", "rolling"), opened,
         ("_first", "initial_sentiment", "start_time"), ("asset",), "_t", chunk=chunk, bar_ts="_start",
@@ -211,13 +221,11 @@ def crowd_metrics(posts: DataFrame, hours: float = 6) -> DataFrame:
     loud = posts_of(posts, influencers(posts)).agg(F.count(F.lit(1)).alias("_loud"))
     moves = over_series(
         posts.withColumn("_all", F.lit(0)), lambda d, w: d.withColumn("_d", fr.diff(F.col("sentiment_score"), w)), 1,
-        by=("_all",), order=("ts", "event_id"),
+        by=("_all",), order=("ts", "event_id"), chunk=minute(),
     ).agg(F.coalesce(F.stddev_samp("_d"), num(0)).alias("sentiment_volatility"))
     spread = cascades(posts, hours).agg(F.coalesce(F.avg("spread_rate"), num(0)).alias("_rate"))
     basics = posts.agg(F.count(F.lit(1)).alias("_posts"), F.count_distinct("user_id").alias("_users"))
-    # One-row tables side by side.
-    one = basics.crossJoin(herd(posts)).crossJoin(polarisation(posts)).crossJoin(in_chambers).crossJoin(loud)
-    one = one.crossJoin(moves).crossJoin(spread)
+    one = reduce(beside, [herd(posts), polarisation(posts), in_chambers, loud, moves, spread], basics)
     return one.select(
         F.col("herd").alias("herd_mentality_score"),
         (F.col("_members") / F.greatest("_users", F.lit(1))).alias("echo_chamber_index"),

@@ -144,6 +144,16 @@ def lagged_pairs(pairs: DataFrame, max_lag: int = 24, pair=("market1", "market2"
     return out.select(*pair, F.inline("_lags")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """The columns of a one-row table (an aggregate without keys) next to every row."""
+    return df.crossJoin(F.broadcast(one))
+
+
+def join_or_beside(df: DataFrame, side: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join of aggregates on their keys; without keys the side has one row."""
+    return df.join(side, list(by)) if by else beside(df, side)
+
+
 def checked(dim: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """A lookup table, marked for broadcast only if it has at most ``max_rows`` rows."""
     return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.functions.numeric import num
 from marketpulse.operators.indicators import cum_growth, drawdown
+from marketpulse.operators.joins import join_or_beside
 from marketpulse.operators.quantiles import exact_quantiles
 from marketpulse.operators.series import number_rows
 
@@ -67,12 +68,13 @@ def bootstrap_outcomes(returns: DataFrame, sims: int = 1000, periods: int | None
     numbered = number_rows(returns.where(F.col(col).isNotNull()), by, order).select(
         *by, (F.col("_rn") - 1).alias("_i"), F.col(col).alias("r"))
     sizes = returns.groupBy(*by).agg(F.count(col).alias("_n")).where(F.col("_n") > 0)
-    spark = returns.sparkSession
-    # Paths x series, unrolled in parts of a bounded length.
+    # Paths per series, unrolled in parts of a bounded length.
     length = F.col("_n") if periods is None else F.lit(periods)
     parts = sizes.select(*by, "_n", length.alias("_len"), F.explode(
         F.sequence(F.lit(0), F.floor((length - 1) / STEPS_PER_ROW))).alias("_part"))
-    paths = parts.crossJoin(spark.range(sims).select(F.col("id").alias("sim")))
+    # The short (series, part, path) rows are spread over the cluster before they are unrolled.
+    paths = parts.withColumn("sim", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(sims - 1).cast("bigint"))))
+    paths = paths.repartition("sim", "_part")
     begin = F.col("_part") * STEPS_PER_ROW
     end = F.least(begin + STEPS_PER_ROW, F.col("_len")) - 1
     steps = paths.select(*by, "_n", "sim", F.explode(F.sequence(begin, end)).alias("step"))
@@ -141,7 +143,7 @@ def outcome_stats(paths: DataFrame, by=(), col: str = "final_return") -> DataFra
         F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in probs.items()
     ])
     x = F.col(col)
-    joined = paths.join(wide.select(*by, "var_cut"), by) if by else paths.crossJoin(wide.select("var_cut"))
+    joined = join_or_beside(paths, wide.select(*by, "var_cut"), by)
     basics = joined.groupBy(*by).agg(
         F.count(F.lit(1)).alias("simulations"), F.avg(x).alias("mean_return"), F.stddev_pop(x).alias("std_return"),
         F.avg((x > 0).cast("int")).alias("probability_profit"),
@@ -149,7 +151,7 @@ def outcome_stats(paths: DataFrame, by=(), col: str = "final_return") -> DataFra
         F.min(x).alias("worst_case"), F.max(x).alias("best_case"),
         (-F.avg(F.when(x <= F.col("var_cut"), x))).alias("cvar_95"),
     )
-    both = basics.join(wide, by) if by else basics.crossJoin(wide)
+    both = join_or_beside(basics, wide, by)
     return both.withColumn("var_95", -F.col("var_cut")).drop("var_cut")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marketpulse.functions import frames as fr
 from marketpulse.functions.numeric import div, num
 from marketpulse.operators import indicators as ind
-from marketpulse.operators.joins import join_votes
+from marketpulse.operators.joins import beside, join_votes
 from marketpulse.operators.series import over_series
 from marketpulse.session import materialise
 
@@ -79,8 +79,7 @@ def _rank_by_return(classified: DataFrame, group: str) -> DataFrame:
         F.when(F.col(group) == F.col("_worst"), "BEAR").when(F.col(group) == F.col("_best"), "BULL")
         .otherwise("SIDEWAYS")
     )
-    # One row against all: the side has a single row by construction.
-    return classified.crossJoin(best).withColumn("regime", label)
+    return beside(classified, best).withColumn("regime", label)
 
 
 def regime_kmeans(bars: DataFrame, seed: int = 42, **series) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketpulse.functions import frames as fr
 from marketpulse.functions.numeric import corr, div, num, seconds_between
 from marketpulse.operators import indicators as ind
+from marketpulse.operators.joins import beside, join_or_beside
 from marketpulse.operators.quantiles import exact_quantiles, value_at_share
 from marketpulse.operators.series import over_series
 
@@ -140,8 +141,7 @@ def backtest_summary(trades: DataFrame, equity: DataFrame, capital: float, rf: f
     facts = facts.withColumns({
         "initial_capital": num(capital), "total_return": gain, "total_return_percent": gain / capital * 100,
     })
-    # One row of trade statistics against one row per portfolio.
-    return facts.crossJoin(trade_stats(trades))
+    return beside(facts, trade_stats(trades))
 
 
 def performance_report(trades: DataFrame, equity: DataFrame, rf: float = 0.02, periods: int = 252,
@@ -161,12 +161,12 @@ def performance_report(trades: DataFrame, equity: DataFrame, rf: float = 0.02, p
         grown, num(365) / F.col("analysis_period_days"))).otherwise(num(0)) - 1)
     worst = ind.drawdown_duration(equity)
     tail = var_cvar(returns)
-    decided = win_rate(trades).crossJoin(trades.agg(
+    decided = beside(win_rate(trades), trades.agg(
         F.count(F.lit(1)).alias("num_trades"), profit_factor_expr().alias("profit_factor")))
-    out = facts.join(worst, by).join(tail, by).crossJoin(decided)
+    out = beside(facts.join(worst, by).join(tail, by), decided)
     if sentiment is not None:
         r = labelled_corr(trades, sentiment, "pnl")
-        out = out.crossJoin(r.select(
+        out = beside(out, r.select(
             F.col("correlation").alias("sentiment_price_correlation"),
             F.col("significance").alias("correlation_significance"),
             F.col("direction").alias("correlation_direction")))
@@ -196,7 +196,7 @@ def histogram(df: DataFrame, col: str, n: int = 20, by: Sequence[str] = ()) -> D
     """Rows per bin of n equal bins between the least and the largest value (the last bin is closed)."""
     by = list(by)
     span = df.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    joined = df.join(span, by) if by else df.crossJoin(span)
+    joined = join_or_beside(df, span, by)
     width = (F.col("_hi") - F.col("_lo")) / n
     place = F.coalesce(F.floor(div(F.col(col) - F.col("_lo"), width)), F.lit(0))
     binned = joined.where(F.col(col).isNotNull()).withColumn("bin", F.least(place, F.lit(n - 1)).cast("bigint"))

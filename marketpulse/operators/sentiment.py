@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from marketpulse.functions.numeric import clip, div, num, ratio_of_sums, seconds_between
 from marketpulse.functions.scoring import decay, influence, label, source_weight, to_index
+from marketpulse.operators.joins import beside
 from marketpulse.operators.timeframes import SECOND, micros, time_momentum
+from marketpulse.session import materialise
 
 OVERALL = "OVERALL"
 # Weights of the models in the weighted vote.
@@ -54,7 +56,7 @@ def aggregate_sentiment(sent: DataFrame, as_of: Column | None = None, window: in
     """Per asset (and over all): the decayed weighted score at ``as_of`` (default: the newest row)."""
     if as_of is None:
         newest = sent.agg(F.max("ts").alias("_as_of"))
-        rows = sent.crossJoin(newest)  # one row by construction
+        rows = beside(sent, newest)
     else:
         rows = sent.withColumn("_as_of", as_of)
     kept = retain(rows, F.col("_as_of"), window)
@@ -85,7 +87,7 @@ def sentiment_series(sent: DataFrame, step: int = 3600, window: int = 3600, half
     weighted = copies.withColumn("_w", point_weight((F.col("_slot") * size - t) / num(SECOND), half_life))
     keys = ["asset", "as_of"]
     series = _combine(_per_source(weighted.withColumn("as_of", at.cast(kind)), keys), keys)
-    return time_momentum(series, "score", back, within, ("asset",), "as_of")
+    return time_momentum(materialise(series, "series"), "score", back, within, ("asset",), "as_of")
 
 
 def source_breakdown(sent: DataFrame) -> DataFrame:

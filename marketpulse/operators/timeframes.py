@@ -1,59 +1,60 @@
 """Frames measured in time: rolling means over hours, momentum over minutes.
 
-Rows are first combined per (key, ts): rows of the same moment share a frame. Each
-chunk of a series gets copies of the rows of the chunk before that its frames can
-reach, so no task needs a whole series.
+Both look up what a running value was some time before: an as-of join on the shifted
+time. No frame is ever held or scanned, so the cost does not depend on how many rows
+it has, and no task needs more than a minute of one key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.functions.numeric import div, num
+from marketpulse.operators.joins import asof_join
+from marketpulse.operators.series import running
+from marketpulse.session import materialise
 
 SECOND = 1_000_000
-DAY = 86_400
+EXACT = "decimal(38,12)"
 
 
 def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def over_time(df: DataFrame, step: Callable[[DataFrame, WindowSpec], DataFrame], back: int, by=("asset",),
-              ts: str = "ts", chunk_seconds: int = DAY) -> DataFrame:
-    """Apply ``step(df, w)``; ``w`` is ordered by the time in microseconds and reaches ``back`` seconds."""
-    size = max(chunk_seconds, back) * SECOND
-    timed = df.withColumn("_t", micros(ts))
-    own = F.floor(F.col("_t") / size).cast("bigint")
-    reach = F.floor((F.col("_t") + back * SECOND) / size).cast("bigint")
-    copies = timed.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence(own, reach)))
-    w = Window.partitionBy(*by, "_chunk").orderBy("_t")
-    return step(copies, w).where(F.col("_own") == F.col("_chunk")).drop("_t", "_own", "_chunk")
+def minute(ts: str = "ts") -> Column:
+    """Scan chunk of dense series: one minute of a key per task, one row per minute carried over."""
+    return F.date_trunc("minute", F.col(ts))
+
+
+def _earlier(ts: str, seconds: int) -> Column:
+    return F.col(ts) - F.make_dt_interval(secs=F.lit(seconds))
 
 
 def rolling_time_mean(df: DataFrame, col: str, hours: Sequence[int] = (1, 4, 24), by=("asset",), ts: str = "ts",
                       prefix: str = "mean") -> DataFrame:
     """(by..., ts, <prefix>_1h, ...): mean of the rows in (ts - h hours, ts].
 
-    Running totals up to the row minus running totals up to h hours before it: the cost
-    does not depend on how many rows a frame holds.
+    Running totals at the row minus the running totals h hours before it. The totals
+    are decimals, so the difference of two large totals is exact.
     """
+    by = list(by)
     moments = df.where(F.col(col).isNotNull()).groupBy(*by, ts).agg(
-        F.sum(col).alias("_sum"), F.count(col).alias("_n")
-    )
-
-    def step(d, w):
-        def upto(c: str, end: int) -> Column:
-            return F.coalesce(F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, end)), F.lit(0))
-
-        def mean(h: int) -> Column:
-            edge = -h * 3600 * SECOND
-            return div(upto("_sum", 0) - upto("_sum", edge), upto("_n", 0) - upto("_n", edge))
-        return d.withColumns({f"{prefix}_{h}h": mean(h) for h in hours})
-    return over_time(moments, step, max(hours) * 3600, by, ts).drop("_sum", "_n")
+        F.sum(F.col(col).cast(EXACT)).alias("_s"), F.count(col).alias("_c"))
+    totals = running(moments, {"_sum": ("sum", F.col("_s").cast(EXACT)), "_n": ("sum", F.col("_c"))}, by, (ts,), minute(ts))
+    totals = materialise(totals.select(*by, ts, F.col("_sum").cast(EXACT).alias("_sum"), "_n"), "totals")
+    # All lookups of a row at once: one as-of join, one aggregation.
+    asks = totals.withColumn("_h", F.explode(F.array(*[F.lit(h) for h in hours]))).withColumn("_at", F.col(ts))
+    asks = asks.withColumn(ts, F.col(ts) - F.make_dt_interval(hours=F.col("_h")))
+    past = totals.select(*by, ts, F.col("_sum").alias("_sum0"), F.col("_n").alias("_n0"))
+    found = asof_join(asks, past, ("_sum0", "_n0"), by, ts, chunk=minute(ts), bar_ts="_past")
+    total = (F.col("_sum") - F.coalesce("_sum0", F.lit(0).cast(EXACT))).cast("double")
+    mean = div(total, (F.col("_n") - F.coalesce("_n0", F.lit(0))).cast("double"))
+    return found.groupBy(*by, F.col("_at").alias(ts)).agg(
+        *[F.max(F.when(F.col("_h") == h, mean)).alias(f"{prefix}_{h}h") for h in hours])
 
 
 def time_momentum(df: DataFrame, col: str = "score", back: int = 900, within: int = 3600, by=("asset",),
@@ -62,14 +63,12 @@ def time_momentum(df: DataFrame, col: str = "score", back: int = 900, within: in
 
     Expects one row per (key, ts).
     """
-    def step(d, w):
-        before = F.last(F.struct(F.col("_t").alias("at"), F.col(col).alias("value"))).over(
-            w.rangeBetween(Window.unboundedPreceding, -back * SECOND))
-        d = d.withColumn("_before", before)
-        near = F.col("_before.at") >= F.col("_t") - within * SECOND
-        moved = F.when(near, F.col(col) - F.col("_before.value"))
-        return d.withColumn(out, F.coalesce(moved, num(0))).drop("_before")
-    return over_time(df, step, within, by, ts)
+    by = list(by)
+    asks = df.withColumn("_at", F.col(ts)).withColumn(ts, _earlier(ts, back))
+    past = df.select(*by, ts, F.col(col).alias("_before"))
+    found = asof_join(asks, past, ("_before",), by, ts, tolerance=within - back, chunk=minute(ts), bar_ts="_past")
+    moved = found.withColumn(ts, F.col("_at")).withColumn(out, F.coalesce(F.col(col) - F.col("_before"), num(0)))
+    return moved.drop("_at", "_past", "_before")
 
 
 def bucket(df: DataFrame, kind: str, size: str, slide: str | None = None, ts: str = "ts") -> DataFrame:

@@ -9,6 +9,7 @@ from marketpulse.functions.numeric import round_columns
 from marketpulse.operators import bias as bi
 from marketpulse.operators import cross as cr
 from marketpulse.operators import crowd as cw
+from marketpulse.operators.joins import beside
 from marketpulse.plans.sqlkit import HOURLY, PRICE_SENT, SENT_HOURLY, SENTIMENT, lag, rnd, strict, with_
 from marketpulse.session import materialise
 from marketpulse.sources import adapters as src
@@ -76,7 +77,7 @@ SELECT user_id, 'user_' || user_id AS username, f AS follower_count, {rnd('er',
 
 
 def q_user_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    out = cw.user_profiles(src.social(spark, sf)).drop("username")
+    out = cw.user_profiles(src.social(spark, sf))
     return round_columns(out, {"avg_sentiment": 6, "sentiment_std": 6, "avg_engagement": 6})
 
 
@@ -230,7 +231,7 @@ SELECT s AS source_market, t AS target_market, {rnd('abs(r)', 6, 'spillover_stre
 def q_risk_regime(spark: SparkSession, sf: str) -> DataFrame:
     rets = _returns(spark, sf)
     pairs = materialise(cr.pair_correlations(rets), "pairs")
-    out = cr.risk_regime(rets, "click", "view").crossJoin(cr.dominance(pairs, "click")).crossJoin(cr.coupling(pairs))
+    out = beside(beside(cr.risk_regime(rets, "click", "view"), cr.dominance(pairs, "click")), cr.coupling(pairs))
     return round_columns(out, {c: 6 for c in out.columns if c != "regime"})
 
 

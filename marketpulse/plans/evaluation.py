@@ -334,11 +334,11 @@ def q_metric_series(spark: SparkSession, sf: str) -> DataFrame:
     events = src.table(spark, sf, "events")
     point = F.struct(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), F.col("value").alias("v"))
     day = F.to_date("ts")
-    packed = events.groupBy(F.col("event_type").alias("symbol"), day.alias("day"), (F.col("event_id") % 2).alias("side")).agg(
+    packed = events.groupBy(F.col("event_type").alias("symbol"), day.alias("day"), (F.col("value") < 20).alias("inward")).agg(
         F.to_json(F.array_sort(F.collect_list(point))).alias("payload"))
     packed = materialise(packed, "payloads")
-    inflow = me.parse_metric_json(packed.where("side = 0"), "inflow")
-    outflow = me.parse_metric_json(packed.where("side = 1"), "outflow")
+    inflow = me.parse_metric_json(packed.where("inward"), "inflow")
+    outflow = me.parse_metric_json(packed.where("NOT inward"), "outflow")
 
     def daily(series):
         return series.groupBy("symbol", "metric", F.date_trunc("day", "ts").alias("ts")).agg(F.sum("value").alias("value"))
@@ -349,8 +349,8 @@ def q_metric_series(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_METRIC_SERIES = with_("""d AS (
-  SELECT event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS ts, sum(value) FILTER (event_id % 2 = 0) AS i,
-    sum(value) FILTER (event_id % 2 = 1) AS o FROM events GROUP BY 1, 2)""", """u AS (
+  SELECT event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS ts, sum(value) FILTER (value < 20) AS i,
+    sum(value) FILTER (value >= 20) AS o FROM events GROUP BY 1, 2)""", """u AS (
   SELECT symbol, 'inflow' AS metric, ts, i AS value FROM d WHERE i IS NOT NULL
   UNION ALL SELECT symbol, 'outflow', ts, o FROM d WHERE o IS NOT NULL
   UNION ALL SELECT symbol, 'exchange_flow', ts, i - o FROM d WHERE i IS NOT NULL AND o IS NOT NULL)""") + f"""

@@ -24,6 +24,8 @@ from marketpulse.sources import feeds as fe
 from marketpulse.sources import metrics as me
 
 INGEST = "2024-02-01 00:00:00"
+# Every post comes by one of the three text feeds, by its language.
+KINDS = {"twitter": "lang = 'en'", "reddit": "lang IN ('de', 'fr')", "news": "lang NOT IN ('en', 'de', 'fr')"}
 
 
 def _payload(df: DataFrame, *fields) -> DataFrame:
@@ -35,16 +37,16 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     posts = src.posts(spark, sf)
     i = F.col("post_id")
     tweets = _payload(
-        posts.where(i % 3 == 0), i.cast("string").alias("id"), "text", (i % 50).cast("string").alias("author_id"), "lang",
+        posts.where(KINDS["twitter"]), i.cast("string").alias("id"), "text", (i % 50).cast("string").alias("author_id"), "lang",
         F.lit("2024-01-05T10:00:00Z").alias("created_at"),
         F.struct((i % 7).alias("retweet_count"), (i % 11).alias("like_count")).alias("public_metrics"))
     forum = _payload(
-        posts.where(i % 3 == 1), F.when(i % 2 == 0, "submission").otherwise("comment").alias("item_type"),
+        posts.where(KINDS["reddit"]), F.when(i % 2 == 0, "submission").otherwise("comment").alias("item_type"),
         F.lit("Title").alias("title"), F.col("text").alias("selftext"),
         F.when(i % 5 == 0, "[deleted]").otherwise(F.col("text")).alias("body"), (i % 900).alias("score"),
         F.lit("markets").alias("subreddit"), F.lit("/r/x").alias("permalink"))
     news = _payload(
-        posts.where(i % 3 == 2), F.lit("Headline").alias("title"), F.col("text").alias("description"),
+        posts.where(KINDS["news"]), F.lit("Headline").alias("title"), F.col("text").alias("description"),
         F.struct(F.lit("Wire").alias("name")).alias("source"), F.lit("not a date").alias("publishedAt"),
         F.concat(F.lit("https://n/"), i.cast("string")).alias("url"))
     ticks = _payload(
@@ -68,12 +70,12 @@ def q_feed_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ASSET = _route(lambda w: has_word("lower(text)", w), "'BTC'")
-SQL_FEED_EVENTS = with_(POSTS, """fd AS (
+SQL_FEED_EVENTS = with_(POSTS, f"""fd AS (
   SELECT 'twitter' AS data_type, text, TIMESTAMP '2024-01-05 10:00:00' AS ts, post_id % 7 + post_id % 11 AS engagement, 0 AS karma,
-    0 AS credible FROM posts WHERE post_id % 3 = 0
+    0 AS credible FROM posts WHERE {KINDS["twitter"]}
   UNION ALL SELECT 'reddit', CASE WHEN post_id % 2 = 0 THEN 'Title ' || text ELSE text END, TIMESTAMP '2024-02-01', 0, post_id % 900, 0
-    FROM posts WHERE post_id % 3 = 1 AND (post_id % 2 = 0 OR post_id % 5 <> 0)
-  UNION ALL SELECT 'news', 'Headline ' || text, TIMESTAMP '2024-02-01', 0, 0, 1 FROM posts WHERE post_id % 3 = 2)""", f"""rt AS (
+    FROM posts WHERE {KINDS["reddit"]} AND (post_id % 2 = 0 OR post_id % 5 <> 0)
+  UNION ALL SELECT 'news', 'Headline ' || text, TIMESTAMP '2024-02-01', 0, 0, 1 FROM posts WHERE {KINDS["news"]})""", f"""rt AS (
   SELECT *, {_ASSET} AS asset FROM fd WHERE trim(text) <> '')""", """al AS (
   SELECT data_type, asset, ts, count(*) AS n, sum(length(text))::BIGINT AS n_chars, sum(engagement)::BIGINT AS engagement,
     sum(karma)::BIGINT AS karma, 0.0::DOUBLE AS b, sum(credible)::BIGINT AS credible FROM rt GROUP BY 1, 2, 3
@@ -146,7 +148,7 @@ SQL_ALIGNED_CLOSES = with_(HOURLY) + "SELECT ts, " + ", ".join(
 
 def q_expand_users(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
-    users = src.table(spark, sf, "customer").where(key % 2 == 0).select(
+    users = src.table(spark, sf, "customer").select(
         key.alias("author_id"), F.col("c_name").alias("username"), F.pmod(key * 13, F.lit(20000)).alias("followers"),
         (key % 5 == 0).alias("verified"))
     posts = src.sentiment(spark, sf).select("event_id", F.col("user_id").alias("author_id"), "asset")
@@ -155,7 +157,7 @@ def q_expand_users(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL_EXPAND_USERS = """SELECT event_id, user_id AS author_id, event_type AS asset, coalesce(c_name, 'user_' || user_id) AS username,
   coalesce((c_custkey * 13) % 20000, 0) AS followers, coalesce(c_custkey % 5 = 0, false) AS verified
-FROM events LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 2 = 0"""
+FROM events LEFT JOIN customer ON c_custkey = user_id"""
 
 
 def q_new_documents(spark: SparkSession, sf: str) -> DataFrame:

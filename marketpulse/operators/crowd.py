@@ -12,7 +12,7 @@ from marketpulse.functions import frames as fr
 from marketpulse.functions.numeric import div, num, seconds_between
 from marketpulse.operators.joins import asof_join, beside, posts_of
 from marketpulse.operators.series import over_series
-from marketpulse.operators.timeframes import SECOND, micros, minute
+from marketpulse.operators.timeframes import SECOND, dense, micros
 from marketpulse.session import materialise
 
 
@@ -133,29 +133,35 @@ def _chain(candidates: DataFrame, hours: float) -> DataFrame:
     """Of the candidate times per asset: the first, then always the first more than ``hours`` later.
 
     Each time gets its successor by one forward as-of join; reachable times are then
-    marked by pointer doubling, log2(chain length) rounds, each written out. The
-    chain has at most one time per ``hours``, so the number of rounds is known. Round i
-    adds the chain positions 2^i ... 2^(i+1) - 1, so nothing is added twice.
+    marked by pointer jumping: a round makes the known part of the chain four times as
+    long and is written out. The chain has at most one time per ``hours``, so the
+    number of rounds is known, and each round adds new chain positions only.
     """
     span = int(hours * 3600 * SECOND)
     times = materialise(candidates.select("asset", "_t").distinct(), "times")
     # Forward as-of as a backward one on the negated axis: the first time above _t + span.
     asks = times.select("asset", (-(F.col("_t") + span + 1)).alias("_key"), F.col("_t").alias("_from"))
     keys = times.select("asset", (-F.col("_t")).alias("_key"), F.col("_t").alias("_next"))
-    chunk = F.floor(F.col("_key") / (60 * SECOND))
+    chunk = F.floor(F.col("_key") / (300 * SECOND))
     jump = asof_join(asks, keys, ("_next",), ("asset",), "_key", chunk=chunk, bar_ts="_at").select(
         "asset", F.col("_from").alias("_t"), "_next").where(F.col("_next").isNotNull())
     jump = materialise(jump, "jump")
     limits = times.groupBy("asset").agg((F.max("_t") - F.min("_t")).alias("_s")).agg(F.max("_s")).first()[0]
-    rounds = max(1, math.ceil(math.log2((limits or 0) / span + 2)))
+    rounds = max(1, math.ceil(math.log((limits or 0) / span + 2, 4)))
+
+    def follow(rows: DataFrame, step: DataFrame) -> DataFrame:
+        return rows.join(step, ["asset", "_t"]).select("asset", F.col("_next").alias("_t"))
+
+    def twice(a: DataFrame, b: DataFrame) -> DataFrame:
+        far = b.select("asset", F.col("_t").alias("_next"), F.col("_next").alias("_far"))
+        return a.join(far, ["asset", "_next"]).select("asset", "_t", F.col("_far").alias("_next"))
     reached = times.groupBy("asset").agg(F.min("_t").alias("_t"))
     for i in range(rounds):
-        step = reached.join(jump, ["asset", "_t"]).select("asset", F.col("_next").alias("_t"))
-        reached = materialise(reached.unionByName(step), "reached")
+        two = twice(jump, jump)
+        steps = [follow(reached, jump), follow(reached, two), follow(reached, twice(two, jump))]
+        reached = materialise(reduce(DataFrame.unionByName, steps, reached), "reached")
         if i + 1 < rounds:
-            far = jump.select("asset", F.col("_t").alias("_next"), F.col("_next").alias("_far"))
-            jump = materialise(jump.join(far, ["asset", "_next"]).select(
-                "asset", "_t", F.col("_far").alias("_next")), "jump")
+            jump = materialise(twice(two, two), "jump")
     return reached
 
 
@@ -171,7 +177,7 @@ def cascades(posts: DataFrame, hours: float = 6, window: int = 20, sigma: float
         d = d.withColumn("rolling", fr.mean_partial(F.col("sentiment_score"), window, w))
         return d.withColumn("change", fr.diff(F.col("rolling"), w))
     rows = over_series(posts.withColumn("_t", micros("ts")), step, window, by=("asset",), order=("ts", "event_id"),
-                       chunk=minute(), numbered=True)
+                       chunk=dense(), numbered=True)
     rows = materialise(rows.select("asset", "ts", "_t", "event_id", "_rn", "user_id", "rolling", "change"), "rolling")
     spread = rows.groupBy("asset").agg((F.stddev_samp("change") * sigma).alias("_limit"))
     jumps = rows.join(spread, "asset").where(F.abs("change") > F.col("_limit"))
@@ -181,7 +187,7 @@ def cascades(posts: DataFrame, hours: float = 6, window: int = 20, sigma: float
         "asset", "_t", F.col("_s._rn").alias("_first"), F.col("_s.rolling").alias("initial_sentiment"),
         F.col("_s.ts").alias("start_time"))
     span = int(hours * 3600 * SECOND)
-    chunk = F.floor(F.col("_t") / (60 * SECOND))
+    chunk = F.floor(F.col("_t") / (300 * SECOND))
     inside = asof_join(
         rows.select("asset", "_t", "_rn", "ts", "user_id", "rolling"), opened,
         ("_first", "initial_sentiment", "start_time"), ("asset",), "_t", chunk=chunk, bar_ts="_start",
@@ -221,7 +227,7 @@ def crowd_metrics(posts: DataFrame, hours: float = 6) -> DataFrame:
     loud = posts_of(posts, influencers(posts)).agg(F.count(F.lit(1)).alias("_loud"))
     moves = over_series(
         posts.withColumn("_all", F.lit(0)), lambda d, w: d.withColumn("_d", fr.diff(F.col("sentiment_score"), w)), 1,
-        by=("_all",), order=("ts", "event_id"), chunk=minute(),
+        by=("_all",), order=("ts", "event_id"), chunk=dense(),
     ).agg(F.coalesce(F.stddev_samp("_d"), num(0)).alias("sentiment_volatility"))
     spread = cascades(posts, hours).agg(F.coalesce(F.avg("spread_rate"), num(0)).alias("_rate"))
     basics = posts.agg(F.count(F.lit(1)).alias("_posts"), F.count_distinct("user_id").alias("_users"))

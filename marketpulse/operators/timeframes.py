@@ -2,7 +2,7 @@
 
 Both look up what a running value was some time before: an as-of join on the shifted
 time. No frame is ever held or scanned, so the cost does not depend on how many rows
-it has, and no task needs more than a minute of one key.
+it has, and no window needs more than five minutes of one key.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def minute(ts: str = "ts") -> Column:
-    """Scan chunk of dense series: one minute of a key per task, one row per minute carried over."""
-    return F.date_trunc("minute", F.col(ts))
+def dense(ts: str = "ts") -> Column:
+    """Scan chunk of dense series: five minutes of a key per window, one row per five minutes carried over."""
+    return F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / 300)
 
 
 def _earlier(ts: str, seconds: int) -> Column:
@@ -44,13 +44,13 @@ def rolling_time_mean(df: DataFrame, col: str, hours: Sequence[int] = (1, 4, 24)
     by = list(by)
     moments = df.where(F.col(col).isNotNull()).groupBy(*by, ts).agg(
         F.sum(F.col(col).cast(EXACT)).alias("_s"), F.count(col).alias("_c"))
-    totals = running(moments, {"_sum": ("sum", F.col("_s").cast(EXACT)), "_n": ("sum", F.col("_c"))}, by, (ts,), minute(ts))
+    totals = running(moments, {"_sum": ("sum", F.col("_s").cast(EXACT)), "_n": ("sum", F.col("_c"))}, by, (ts,), dense(ts))
     totals = materialise(totals.select(*by, ts, F.col("_sum").cast(EXACT).alias("_sum"), "_n"), "totals")
     # All lookups of a row at once: one as-of join, one aggregation.
     asks = totals.withColumn("_h", F.explode(F.array(*[F.lit(h) for h in hours]))).withColumn("_at", F.col(ts))
     asks = asks.withColumn(ts, F.col(ts) - F.make_dt_interval(hours=F.col("_h")))
     past = totals.select(*by, ts, F.col("_sum").alias("_sum0"), F.col("_n").alias("_n0"))
-    found = asof_join(asks, past, ("_sum0", "_n0"), by, ts, chunk=minute(ts), bar_ts="_past")
+    found = asof_join(asks, past, ("_sum0", "_n0"), by, ts, chunk=dense(ts), bar_ts="_past")
     total = (F.col("_sum") - F.coalesce("_sum0", F.lit(0).cast(EXACT))).cast("double")
     mean = div(total, (F.col("_n") - F.coalesce("_n0", F.lit(0))).cast("double"))
     return found.groupBy(*by, F.col("_at").alias(ts)).agg(
@@ -64,9 +64,10 @@ def time_momentum(df: DataFrame, col: str = "score", back: int = 900, within: in
     Expects one row per (key, ts).
     """
     by = list(by)
+    df = materialise(df, "series")
     asks = df.withColumn("_at", F.col(ts)).withColumn(ts, _earlier(ts, back))
     past = df.select(*by, ts, F.col(col).alias("_before"))
-    found = asof_join(asks, past, ("_before",), by, ts, tolerance=within - back, chunk=minute(ts), bar_ts="_past")
+    found = asof_join(asks, past, ("_before",), by, ts, tolerance=within - back, chunk=dense(ts), bar_ts="_past")
     moved = found.withColumn(ts, F.col("_at")).withColumn(out, F.coalesce(F.col(col) - F.col("_before"), num(0)))
     return moved.drop("_at", "_past", "_before")
 

@@ -11,7 +11,7 @@ from marketpulse.functions import frames as fr
 from marketpulse.functions.numeric import nonzero, num
 from marketpulse.operators.quantiles import median
 from marketpulse.operators.series import over_series
-from marketpulse.session import materialise
+from marketpulse.session import materialise, sized
 
 # Least strength per bias.
 FLOORS = {"HERDING": 0.7, "FOMO": 0.75, "FUD": 0.75}
@@ -37,7 +37,7 @@ def bias_features(df: DataFrame, **series) -> DataFrame:
     d = over_series(df, step, 11, **series)
     traded = df.groupBy("symbol").agg((F.sum("volume") > 0).alias("_traded"))
     ratio = F.when(F.col("_traded"), F.col("volume") / nonzero(F.col("_avg_volume"))).otherwise(num(1))
-    return d.join(traded, "symbol").withColumn("volume_ratio", ratio).drop("_traded", "_avg_volume")
+    return d.join(sized(traded), "symbol").withColumn("volume_ratio", ratio).drop("_traded", "_avg_volume")
 
 
 def _signal(d: DataFrame, kind: str, found: Column, strength: Column, floor: float, indicators: dict[str, Column]) -> DataFrame:
@@ -67,7 +67,7 @@ def bias_fomo(features: DataFrame, floor: float = FLOORS["FOMO"]) -> DataFrame:
 
 def bias_fud(features: DataFrame, floor: float = FLOORS["FUD"]) -> DataFrame:
     """Compares the volatility with its exact median per symbol."""
-    d = features.join(median(features, ["symbol"], "volatility", "_median"), "symbol", "left")
+    d = features.join(sized(median(features, ["symbol"], "volatility", "_median")), "symbol", "left")
     s, ds, v, r = F.col("sentiment"), F.col("sentiment_change"), F.col("volatility"), F.col("ret")
     return _signal(
         d, "FUD", (F.col("_seq") >= 10) & (s < -0.5) & (ds < -0.3) & (v > F.col("_median") * 1.5) & (r < 0),

@@ -13,7 +13,7 @@ from marketpulse.functions.numeric import div, num, seconds_between
 from marketpulse.operators.joins import asof_join, beside, posts_of
 from marketpulse.operators.series import over_series
 from marketpulse.operators.timeframes import SECOND, dense, micros
-from marketpulse.session import materialise
+from marketpulse.session import materialise, sized
 
 
 def user_profiles(posts: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def cascades(posts: DataFrame, hours: float = 6, window: int = 20, sigma: float
                        chunk=dense(), numbered=True)
     rows = materialise(rows.select("asset", "ts", "_t", "event_id", "_rn", "user_id", "rolling", "change"), "rolling")
     spread = rows.groupBy("asset").agg((F.stddev_samp("change") * sigma).alias("_limit"))
-    jumps = rows.join(spread, "asset").where(F.abs("change") > F.col("_limit"))
+    jumps = rows.join(sized(spread), "asset").where(F.abs("change") > F.col("_limit"))
     starts = _chain(jumps, hours)
     first = jumps.groupBy("asset", "_t").agg(F.min_by(F.struct("_rn", "rolling", "ts"), "_rn").alias("_s"))
     opened = starts.join(first, ["asset", "_t"]).select(

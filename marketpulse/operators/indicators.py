@@ -13,7 +13,7 @@ from marketpulse.functions import frames as fr
 from marketpulse.functions.numeric import clip, div, nonzero, num
 from marketpulse.operators.quantiles import ACCURACY
 from marketpulse.operators.series import over_series, running
-from marketpulse.session import materialise
+from marketpulse.session import materialise, sized
 
 EWM_BLOCK = 1024
 EWM_LOOKBACK = 512
@@ -298,7 +298,7 @@ def standardise(df: DataFrame, cols, by=("symbol",)) -> DataFrame:
     stats = df.groupBy(*by).agg(
         *[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols]
     )
-    out = df.join(stats, by).withColumns(
+    out = df.join(sized(stats), by).withColumns(
         {f"z_{c}": (F.col(c) - F.col(f"_m_{c}")) / nonzero(F.col(f"_s_{c}")) for c in cols}
     )
     return out.drop(*[f"_{p}_{c}" for c in cols for p in ("m", "s")])
@@ -310,7 +310,7 @@ def outliers(df: DataFrame, col: str, threshold: float = 3.0, by=("symbol",)) ->
     stats = df.groupBy(*by).agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"), F.count(col).alias("_n"))
     z = div(F.abs(F.col(col) - F.col("_m")), F.col("_s"))
     flag = F.coalesce((F.col("_n") >= 3) & (z > threshold), F.lit(False))
-    return df.join(stats, by).withColumn("is_outlier", flag).drop("_m", "_s", "_n")
+    return df.join(sized(stats), by).withColumn("is_outlier", flag).drop("_m", "_s", "_n")
 
 
 def percentile_rank(df: DataFrame, col: str, by=("symbol",), out: str = "pct_rank", buckets: int = 200) -> DataFrame:
@@ -327,7 +327,7 @@ def percentile_rank(df: DataFrame, col: str, by=("symbol",), out: str = "pct_ran
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c"))
     bucket = F.size(F.filter("_edges", lambda e: e <= F.col(col)))
     ranked = running(
-        counts.join(edges, by), {"_upto": ("sum", F.col("_c"))}, by, (col,), chunk=bucket
+        counts.join(sized(edges), by), {"_upto": ("sum", F.col("_c"))}, by, (col,), chunk=bucket
     ).select(*by, col, (F.col("_upto") / F.col("_n") * 100).alias(out))
     return df.join(ranked, [*by, col], "left")
 

@@ -17,6 +17,7 @@ from marketpulse.operators.indicators import cum_growth, drawdown
 from marketpulse.operators.joins import join_or_beside
 from marketpulse.operators.quantiles import exact_quantiles
 from marketpulse.operators.series import number_rows
+from marketpulse.session import sized
 
 LEVELS = (90, 95, 99)
 STEPS_PER_ROW = 1000
@@ -139,9 +140,9 @@ def outcome_stats(paths: DataFrame, by=(), col: str = "final_return") -> DataFra
         probs[f"ci{level}_low"] = (100 - level) / 200
         probs[f"ci{level}_high"] = 1 - (100 - level) / 200
     q = exact_quantiles(paths, by, col, sorted(set(probs.values())))
-    wide = q.groupBy(*by).agg(*[
+    wide = sized(q.groupBy(*by).agg(*[
         F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in probs.items()
-    ])
+    ]))
     x = F.col(col)
     joined = join_or_beside(paths, wide.select(*by, "var_cut"), by)
     basics = joined.groupBy(*by).agg(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.functions.numeric import num
 from marketpulse.operators.joins import join_or_beside
+from marketpulse.session import sized
 
 ACCURACY = 100_000
 
@@ -43,7 +44,7 @@ def _ranked(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]
         )
         for i in range(k)
     ])
-    bounds = sketch.select(*by, "_n", brackets.alias("_b"))
+    bounds = sized(sketch.select(*by, "_n", brackets.alias("_b")))
     joined = join_or_beside(rows, bounds, by)
     # Map-side: each row meets the wanted ranks; rows below a bracket share one NULL value.
     hits = (

@@ -13,6 +13,7 @@ from marketpulse.operators import indicators as ind
 from marketpulse.operators.joins import beside, join_or_beside
 from marketpulse.operators.quantiles import exact_quantiles, value_at_share
 from marketpulse.operators.series import over_series
+from marketpulse.session import sized
 
 PORTFOLIO = "portfolio_id"
 
@@ -89,7 +90,7 @@ def var_cvar(returns: DataFrame, col: str = "ret", confidence: float = 0.95, by:
              least: int = 10) -> DataFrame:
     """Loss at sorted position int((1 - confidence) x n) and the mean loss up to it; 0 below ``least`` rows."""
     by = list(by)
-    cut = value_at_share(returns, by, col, 1 - confidence)
+    cut = sized(value_at_share(returns, by, col, 1 - confidence))
     x, q = F.col(col), F.col("q")
     worse = F.when(x < q, x)
     # Rows equal to the cut fill up the tail to rank + 1 rows.
@@ -196,7 +197,7 @@ def histogram(df: DataFrame, col: str, n: int = 20, by: Sequence[str] = ()) -> D
     """Rows per bin of n equal bins between the least and the largest value (the last bin is closed)."""
     by = list(by)
     span = df.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    joined = join_or_beside(df, span, by)
+    joined = join_or_beside(df, sized(span), by)
     width = (F.col("_hi") - F.col("_lo")) / n
     place = F.coalesce(F.floor(div(F.col(col) - F.col("_lo"), width)), F.lit(0))
     binned = joined.where(F.col(col).isNotNull()).withColumn("bin", F.least(place, F.lit(n - 1)).cast("bigint"))

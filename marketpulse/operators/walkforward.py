@@ -16,7 +16,7 @@ from marketpulse.functions import frames as fr
 from marketpulse.functions.numeric import div, num
 from marketpulse.operators import indicators as ind
 from marketpulse.operators.series import over_series
-from marketpulse.session import materialise
+from marketpulse.session import materialise, sized
 
 DAY = 86_400
 
@@ -46,7 +46,7 @@ def assign_windows(rows: DataFrame, in_days: int = 90, out_days: int = 30, step_
     """
     span = rows.groupBy("symbol").agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
     whole = in_days + out_days
-    d = rows.join(span, "symbol")
+    d = rows.join(sized(span), "symbol")
     age = _days(F.col("ts"), F.col("_a"))
     last_window = F.floor((_days(F.col("_b"), F.col("_a")) - whole) / step_days)
     first = F.greatest(F.floor((age - whole) / step_days) + 1, F.lit(0))

@@ -330,11 +330,11 @@ SELECT vec_id, {rnd('score')}, {rnd('top_share')} FROM s"""
 # --- metric series -----------------------------------------------------------
 
 def q_metric_series(spark: SparkSession, sf: str) -> DataFrame:
-    """JSON payloads per symbol and day, parsed back into one metric table."""
+    """JSON payloads per symbol, pages of a bounded number of points, parsed back into one metric table."""
     events = src.table(spark, sf, "events")
     point = F.struct(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), F.col("value").alias("v"))
-    day = F.to_date("ts")
-    packed = events.groupBy(F.col("event_type").alias("symbol"), day.alias("day"), (F.col("value") < 20).alias("inward")).agg(
+    page = F.floor(F.col("event_id") / 500)
+    packed = events.groupBy(F.col("event_type").alias("symbol"), page.alias("page"), (F.col("value") < 20).alias("inward")).agg(
         F.to_json(F.array_sort(F.collect_list(point))).alias("payload"))
     packed = materialise(packed, "payloads")
     inflow = me.parse_metric_json(packed.where("inward"), "inflow")

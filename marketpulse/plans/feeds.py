@@ -13,10 +13,14 @@ from marketpulse.operators import flow as fl
 from marketpulse.operators import joins as jo
 from marketpulse.operators import sentiment as se
 from marketpulse.operators import signals as sg
+from marketpulse.operators.indicators import signal_returns
+from marketpulse.operators.lexicon import fear_greed_score
+from marketpulse.operators.posts import project_sentiment
+from marketpulse.operators.timeframes import bucket
 from marketpulse.plans.crowds import INFLUENCER_CTES
-from marketpulse.plans.moods import _CREDIBILITY, _INFLUENCE, FLOW_CTES, SIGNAL_CTES, _decay
+from marketpulse.plans.moods import _CREDIBILITY, _INFLUENCE, FLOW_CTES, SIGNAL_CTES, _decay, trade_signals
 from marketpulse.plans.sqlkit import HOURLY, POSTS, SENTIMENT, rnd, with_
-from marketpulse.plans.texts import _route, has_word
+from marketpulse.plans.texts import _fg_ctes, _route, has_word
 from marketpulse.session import materialise
 from marketpulse.sources import adapters as src
 from marketpulse.sources import bars as ba
@@ -257,7 +261,69 @@ SQL_CHINESE_SCRIPT = with_(POSTS) + """
 SELECT post_id, regexp_matches(text, '[国会来个问题]') OR NOT regexp_matches(text, '[國會來個問題]') AS simplified, md5(text) AS hash
 FROM posts"""
 
+
+
+def q_event_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts per tumbling and sliding window and asset, and per session of a user."""
+    sent = src.sentiment(spark, sf)
+
+    def count(kind: str, key: str, *args) -> DataFrame:
+        d = bucket(sent, kind, *args)
+        return d.groupBy("window", F.col(key).cast("string").alias("key")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("k").alias("k")).select(
+            F.lit(kind).alias("kind"), "key", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n", "k")
+    both = count("tumbling", "asset", "1 hour").unionByName(count("sliding", "asset", "2 hours", "1 hour"))
+    return both.unionByName(count("session", "user_id", "6 hours"))
+
+
+SQL_EVENT_WINDOWS = with_(SENTIMENT, """gap AS (
+  SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM sentiment)""",
+    """ses AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM gap)""") + """
+SELECT 'tumbling' AS kind, asset AS key, date_trunc('hour', ts)::TIMESTAMP AS window_start, count(*) AS n, sum(k)::BIGINT AS k
+FROM sentiment GROUP BY 2, 3
+UNION ALL
+SELECT 'sliding', asset, ws, count(*), sum(k)::BIGINT FROM (
+  SELECT asset, k, unnest([date_trunc('hour', ts)::TIMESTAMP, date_trunc('hour', ts)::TIMESTAMP - INTERVAL 1 HOUR]) AS ws FROM sentiment)
+GROUP BY 2, 3
+UNION ALL
+SELECT 'session', user_id::VARCHAR, min(ts), count(*), sum(k)::BIGINT FROM ses GROUP BY user_id, sid"""
+
+
+def q_project_sentiment(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored posts in the output form, the stored text cut to 100 characters."""
+    posts = src.posts(spark, sf)
+    scored = fear_greed_score(posts).withColumns({
+        "asset": tx.route_asset(F.col("text")), "score": F.col("fg_compound"), "confidence": F.col("fg_confidence"),
+        "ts": F.lit("2024-01-01").cast("timestamp_ntz")})
+    out = project_sentiment(scored).withColumn("original_text", F.md5("original_text"))
+    return round_columns(out, {"sentiment_score": 6, "confidence": 6})
+
+
+SQL_PROJECT_SENTIMENT = with_(POSTS, _fg_ctes("fg", lambda w: has_word("lower(text)", w), "posts")) + f"""
+SELECT {_route(lambda w: has_word('lower(text)', w), "'BTC'")} AS asset, source, {rnd('(fg_up - fg_dn)', 6, 'sentiment_score')},
+  {rnd('abs(fg_up - fg_dn)', 6, 'confidence')}, md5(substr(text, 1, 100)) AS original_text, TIMESTAMP '2024-01-01' AS processed_at
+FROM fg"""
+
+
+def q_signal_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of buy and sell signals that the next bar confirmed."""
+    sides = trade_signals(spark, sf).withColumn("signal", sc.side(F.col("action"))).where("signal <> 0").select("symbol", "ts", "signal")
+    bars = src.bars_hourly(spark, sf).select("symbol", "ts", "close").join(sides, ["symbol", "ts"], "left")
+    rets = signal_returns(materialise(bars, "bars")).where(F.col("signal_ret").isNotNull())
+    out = sg.signal_accuracy(rets.withColumn("correct", F.col("signal_ret") > 0))
+    return round_columns(out, {"accuracy": 6})
+
+
+SQL_SIGNAL_ACCURACY = with_(HOURLY, *SIGNAL_CTES, """nx AS (
+  SELECT symbol, ts, lead(close) OVER (PARTITION BY symbol ORDER BY ts) / nullif(close, 0) - 1 AS nr FROM hourly)""", """ac AS (
+  SELECT CASE WHEN action IN ('BUY', 'STRONG_BUY') THEN nr ELSE -nr END > 0 AS ok FROM sig JOIN nx USING (symbol, ts)
+  WHERE action <> 'HOLD' AND nr IS NOT NULL)""", "s AS (SELECT count(*) AS total, count(*) FILTER (ok) AS hit FROM ac)") + f"""
+SELECT total, hit AS right, {rnd('(hit / total::DOUBLE)', 6, 'accuracy')} FROM s"""
+
 QUERIES = {
+    "event_windows": (q_event_windows, SQL_EVENT_WINDOWS),
+    "project_sentiment": (q_project_sentiment, SQL_PROJECT_SENTIMENT),
+    "signal_accuracy": (q_signal_accuracy, SQL_SIGNAL_ACCURACY),
     "feed_events": (q_feed_events, SQL_FEED_EVENTS),
     "klines": (q_klines, SQL_KLINES),
     "weekly_activity": (q_weekly_activity, SQL_WEEKLY_ACTIVITY),

@@ -10,7 +10,8 @@ from marketpulse.functions.numeric import num, round_columns
 from marketpulse.operators import indicators as ind
 from marketpulse.operators.joins import resample_ffill
 from marketpulse.operators.series import over_series
-from marketpulse.plans.sqlkit import DAILY, HOURLY, PRICE_SENT, SENT_HOURLY, SENTIMENT, lag, rnd, strict, with_
+from marketpulse.plans.sqlkit import DAILY, HOURLY, lag, rnd, strict, with_
+from marketpulse.session import materialise
 from marketpulse.sources import adapters as src
 from marketpulse.sources.bars import day_stats
 
@@ -171,6 +172,7 @@ FROM grid g ASOF JOIN hourly h ON g.symbol = h.symbol AND g.ts >= h.ts"""
 
 def q_standardise_outliers(spark: SparkSession, sf: str) -> DataFrame:
     bars = ind.momentum(src.bars_hourly(spark, sf), n=14).select("symbol", "ts", "close", "volume", "momentum")
+    bars = materialise(bars, "bars")
     out = ind.percentile_rank(ind.outliers(ind.standardise(bars, ["close", "volume"]), "close"), "close")
     return round_columns(out, {"momentum": 6, "z_close": 6, "z_volume": 6, "pct_rank": 6})
 

@@ -47,6 +47,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def sized(aggregates: DataFrame) -> DataFrame:
+    """Aggregates to be joined back to their rows, written out first.
+
+    Catalyst does not know how few rows an aggregate has and would shuffle the rows by
+    its keys, hot keys included. A written table has a known size: small ones are
+    broadcast, large ones are joined by sort.
+    """
+    return materialise(aggregates, "aggregates")
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut the lineage by writing the rows to the shared folder and reading them back."""
     path = scratch_path(df.sparkSession, name)

@@ -145,11 +145,6 @@ def regime_transitions(regimes: DataFrame, **series) -> DataFrame:
     return ind.transitions(regimes, "regime", **series)
 
 
-def regime_grid(keys: DataFrame) -> DataFrame:
-    """One row per series and regime."""
-    return keys.withColumn("regime", F.explode(F.array(*[F.lit(r) for r in REGIMES])))
-
-
 def _shares(regimes: DataFrame) -> DataFrame:
     """Bars, share (percent) and mean confidence per symbol and regime, all three regimes listed."""
     def of(name: str) -> Column:

@@ -2,26 +2,47 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from marketpulse.llm import exact_dedup, mixing, quality, sharding, url_rules
+from marketpulse.llm import exact_dedup, mixing, ngram_join, packing, quality, sharding, token_files, toxicity, url_rules
 from marketpulse.llm.common import table
+from marketpulse.session import scratch_path
 
 SPACES = r"[\x20\x09-\x0D]"
 
 
+def tokenizer() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_prefix_shards(spark, sf):
     shards = sharding.assign_shards(table(spark, sf, "documents"), 8)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_compression_toxicity(spark, sf):
+    return toxicity.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op3_bayes_ngram_join(spark, sf):
+    groups = ngram_join.similar_groups(table(spark, sf, "documents"))
+    return groups.select("doc_id", "class_id", "text_id", "n_copies", "n_links")
+
+
 def op4_curriculum_mix(spark, sf):
     passes = mixing.mix(table(spark, sf, "documents"))
     return passes.groupBy("rid", "doc_id", "size", "source_size", "target").agg(
         F.sum("words").alias("taken"), F.min("position").alias("first_position")).drop("rid")
 
 
+def op5_token_files(spark, sf):
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf, "documents"), path, tokenizer(), 2)
+    return token_files.read_tokens(spark, path)
+
+
 def op6_block_names(spark, sf):
     groups = exact_dedup.exact_groups(table(spark, sf, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -47,6 +68,10 @@ def op7_likelihood_rules(spark, sf):
                          "base_failed", "kept", "score")
 
 
+def op8_best_fit_packing(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents"), tokenizer())
+
+
 def op9_url_rules(spark, sf):
     judged = url_rules.judge_urls(table(spark, sf, "pages"), url_rules.rule_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -72,9 +97,13 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 
 QUERIES = {
     "op1_prefix_shards": (op1_prefix_shards, None),
+    "op2_compression_toxicity": (op2_compression_toxicity, None),
+    "op3_bayes_ngram_join": (op3_bayes_ngram_join, None),
     "op4_curriculum_mix": (op4_curriculum_mix, None),
+    "op5_token_files": (op5_token_files, None),
     "op6_block_names": (op6_block_names, OP6_SQL),
     "op7_likelihood_rules": (op7_likelihood_rules, None),
+    "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_url_rules": (op9_url_rules, OP9_SQL),
 }
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from marketpulse.llm import exact_dedup, mixing, ngram_join, packing, quality, sharding, token_files, toxicity, url_rules
+from marketpulse.llm import (
+    exact_dedup, mixing, ngram_join, packing, passages, quality, sharding, token_files, toxicity, url_rules,
+)
 from marketpulse.llm.common import table
 from marketpulse.session import scratch_path
 
@@ -95,6 +97,10 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1
 """
 
+def op10_compact_windows(spark, sf):
+    return passages.near_passages(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_prefix_shards": (op1_prefix_shards, None),
     "op2_compression_toxicity": (op2_compression_toxicity, None),
@@ -105,6 +111,7 @@ QUERIES = {
     "op7_likelihood_rules": (op7_likelihood_rules, None),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_url_rules": (op9_url_rules, OP9_SQL),
+    "op10_compact_windows": (op10_compact_windows, None),
 }
 
 

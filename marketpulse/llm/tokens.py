@@ -10,7 +10,7 @@ import types
 import numpy as np
 
 #: Entries of each half of a worker's table of known pieces: the new half and the one before it.
-KNOWN = 500_000
+KNOWN = 700_000
 #: Unknown pieces that are encoded as one text.
 JOINT = 200
 #: Characters that are encoded at a time.
@@ -67,47 +67,55 @@ class Encoder:
                 left += run
         return left
 
-    def _learn(self, new: list[str]) -> None:
-        plain, feeds, other = [], [], []
+    def _learn(self, new: set[str], careful: set[str]) -> None:
+        """Learn unknown pieces; those in ``careful`` come from texts that were not cut at each blank."""
+        feeds, whole, ends, other = [], set(), [], []
         for p in new:
-            if p[-1:] in self.ends and p[:-1] in self.known and p[-2].isalpha() and p[0] != "\n":
-                self.known[p] = self.known[p[:-1]] + self.ends[p[-1]]  # the sign is a token of its own
-            elif not p or " " in p or "<|" in p or p[-1].isspace():
+            if p in careful and (not p or " " in p or "\n" in p or p[0].isspace() or p[-1].isspace() or "<|" in p):
                 other.append(p)
-            elif p[0] == "\n" and len(p) > 1 and not p[1].isspace() and p.count("\n") == 1:
+            elif p[0] == "\n":
                 feeds.append(p)
-            elif p[0].isspace() or "\n" in p:
-                other.append(p)
+            elif p[-1] in self.ends and p[-2:-1].isalpha():
+                ends.append(p)  # a sign after a letter is a token of its own
+                if p[:-1] not in self.known:
+                    whole.add(p[:-1])
             else:
-                plain.append(p)
-        other += self._together(plain, " ", self.spaced)
+                whole.add(p)
+        other += self._together(sorted(whole), " ", self.spaced)
         other += self._together(feeds, "", self.feed)
         if other:
             self.known.update(zip(other, self._one_by_one([p if p[:1] == "\n" else " " + p for p in other])))
+        for p in ends:
+            self.known[p] = self.known[p[:-1]] + self.ends[p[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > KNOWN:
             self.known, self.older = {}, self.known
-        heads, tails = [], []
+        heads, flat, bounds, careful = [], [], [0], set()
         for t in texts:
-            odd = "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[:1].isspace() or t[-1:].isspace() or _ODD.search(t)
+            odd = ("  " in t or " \n" in t or "\n " in t or "\n\n" in t or "<|" in t
+                   or t[:1].isspace() or t[-1:].isspace() or _ODD.search(t))
+            # A piece from the careful cut begins with a line feed only if it is the first.
             parts = _CUT.split(t) if odd else t.replace("\n", " \n").split(" ")
-            # A piece from the careful cut may begin with a line feed only if it is the first.
             heads.append(parts[0])
-            tails.append(parts[1:])
-        new = set()
-        for p in tails:
-            new.update(p)
-        new.difference_update(self.known)
-        if new and self.older:
-            met = new.intersection(self.older)
-            self.known.update(zip(met, map(self.older.__getitem__, met)))
-            new -= met
-        if new:
-            self._learn(sorted(new))
-        get = self.known.__getitem__
-        return [h + b"".join(map(get, p)) for h, p in zip(self._one_by_one(heads), tails)]
+            del parts[0]
+            flat += parts
+            bounds.append(len(flat))
+            if odd:
+                careful.update(parts)
+        found = list(map(self.known.get, flat))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        if gaps:
+            new = {flat[i] for i in gaps}
+            if self.older:
+                met = new.intersection(self.older)
+                self.known.update(zip(met, map(self.older.__getitem__, met)))
+                new -= met
+            self._learn(new, careful)
+            for i in gaps:
+                found[i] = self.known[flat[i]]
+        return [h + b"".join(found[a:b]) for h, a, b in zip(self._one_by_one(heads), bounds, bounds[1:])]
 
     def steps(self, texts: list[str]):
         """(first place, encoded texts) for runs of texts of about STEP characters."""

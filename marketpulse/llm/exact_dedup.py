@@ -111,6 +111,8 @@ def exact_groups(docs: DataFrame, width: int = 16384, hash_bits: int = 64) -> Da
     named = materialise(name_documents(docs, width, hash_bits), "named")
     first = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("n"), "doc_id", "rid"))
     groups = named.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first"))
+    # Written, so that the join has two plain sides and a hot group can be split.
+    groups = materialise(groups, "groups")
     return named.join(groups, ["n_blocks", "name"]).select(
         "rid", "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
         (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256")

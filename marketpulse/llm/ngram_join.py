@@ -243,14 +243,15 @@ def similar_groups(docs: DataFrame, threshold: float = 0.8, tolerance: float = T
     reps = materialise(rows.where("n > 0").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "sign"), "reps")
     counts, edges = link_counts(docs, reps, threshold, tolerance)
     linked = components(edges).select(F.col("node").alias("rep"), "root")
-    texts = (
+    texts = materialise(
         classes.join(counts.select(F.col("rid").alias("rep"), "links"), "rep", "left").join(linked, "rep", "left")
-        .withColumns({"group": F.coalesce("root", "rep"), "n_links": F.coalesce("links", F.lit(0))})
-    )
+        .withColumns({"group": F.coalesce("root", "rep"), "n_links": F.coalesce("links", F.lit(0))}), "texts")
     members = materialise(
         rows.select("rid", "doc_id", "d1", "d2", "n").join(texts.select("d1", "d2", "n", "text_id", "n_copies", "n_links", "group"), ["d1", "d2", "n"])
         .drop("d1", "d2", "n"), "members")
     first = members.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("first"))
+    # Written, so that the join has two plain sides and a hot class can be split.
+    first = materialise(first, "first")
     return members.join(first, "group").select(
         "rid", "doc_id", F.col("first.doc_id").alias("class_id"), "text_id", "n_copies", "n_links", (F.col("rid") == F.col("first.rid")).alias("kept"))
 

@@ -18,6 +18,15 @@ STEP = 1 << 20
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"[^\S \n]")
+#: White space of ASCII texts beside blank and line feed.
+_RARE = "\t\r\v\f\x1c\x1d\x1e\x1f"
+
+
+def _plain(text: str) -> bool:
+    """Is all white space of the text a single blank or line feed between other characters?"""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace():
+        return False
+    return not (any(c in text for c in _RARE) if text.isascii() else _ODD.search(text))
 
 
 def worker_cache() -> dict:
@@ -94,8 +103,7 @@ class Encoder:
             self.known, self.older = {}, self.known
         heads, flat, bounds, careful = [], [], [0], set()
         for t in texts:
-            odd = ("  " in t or " \n" in t or "\n " in t or "\n\n" in t or "<|" in t
-                   or t[:1].isspace() or t[-1:].isspace() or _ODD.search(t))
+            odd = "<|" in t or not _plain(t)
             # A piece from the careful cut begins with a line feed only if it is the first.
             parts = _CUT.split(t) if odd else t.replace("\n", " \n").split(" ")
             heads.append(parts[0])

@@ -20,26 +20,43 @@ PAIR = ["market1", "market2"]
 
 
 def _p_value_udf():
-    """Two-sided tail of Student's t by its finite series (exact for whole degrees of freedom).
+    """Two-sided tail of Student's t: the incomplete beta function, one formula for every length.
 
     The functions are local, so executors need no copy of this package.
     """
-    def tail(t: float, df: int) -> float:
-        theta = math.atan2(abs(t), math.sqrt(df))
-        c, s = math.cos(theta), math.sin(theta)
-        odd = df % 2 == 1
-        term, total = (c, 0.0) if odd else (1.0, 0.0)
-        for k in range(3 if odd else 2, df + 1, 2):
-            total += term
-            term *= c * c * (k - 1) / k
-        inside = 2 / math.pi * (theta + s * total) if odd else s * total
-        return min(max(1.0 - inside, 0.0), 1.0)
+    def beta_ratio(a: float) -> float:
+        """ln of gamma(a + 1/2) / gamma(a), without the loss of two large logarithms."""
+        if a < 50:
+            return math.lgamma(a + 0.5) - math.lgamma(a)
+        return 0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a**3) - 1 / (640 * a**5)
+
+    def fraction(x: float, a: float, b: float) -> float:
+        """Continued fraction of the incomplete beta function (Lentz)."""
+        tiny, c = 1e-300, 1.0
+        d = 1 / max(1 - (a + b) * x / (a + 1), tiny)
+        out = d
+        for m in range(1, 500):
+            for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+                        -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 + top * d
+                c = 1 + top / c
+                d = 1 / (d if abs(d) > tiny else tiny)
+                c = c if abs(c) > tiny else tiny
+                out *= d * c
+            if abs(d * c - 1) < 1e-15:
+                break
+        return out
 
     def one(t: float, n: int) -> float:
         if pd.isna(t):
             return 1.0
-        # A long series is as good as normal; the finite sum would be slow there.
-        return math.erfc(abs(t) / math.sqrt(2)) if n > 10_000 else tail(t, int(n) - 2)
+        if t == 0:
+            return 1.0
+        df = float(n - 2)
+        a, b, x, y = df / 2, 0.5, df / (df + t * t), t * t / (df + t * t)
+        front = math.exp(beta_ratio(a) - 0.5 * math.log(math.pi) - a * math.log1p(t * t / df) + b * math.log(y))
+        inside = front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(y, b, a) / b
+        return min(max(inside, 0.0), 1.0)
 
     def run(t: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([one(a, b) for a, b in zip(t, n)], dtype="float64")

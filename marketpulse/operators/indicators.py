@@ -6,6 +6,8 @@ Each operator adds columns to its input. ``_add_*`` functions take the window fr
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -15,8 +17,19 @@ from marketpulse.operators.quantiles import ACCURACY
 from marketpulse.operators.series import over_series, running
 from marketpulse.session import materialise, sized
 
-EWM_BLOCK = 1024
-EWM_LOOKBACK = 512
+#: Weights below e^-45 (3e-20) do not change a double.
+EWM_WEIGHT = 45.0
+#: Largest exponent of the powers within a block; e^709 is the largest double.
+EWM_POWER = 600.0
+
+
+def ewm_reach(span: float) -> int:
+    """Rows after which a weight of this span no longer counts."""
+    return 1 if span <= 1 else math.ceil(EWM_WEIGHT / -math.log(1 - 2 / (span + 1)))
+
+
+def macd_reach(fast: float = 12, slow: float = 26, signal: float = 9) -> int:
+    return ewm_reach(max(fast, slow)) + ewm_reach(signal)
 
 
 # --- steps -------------------------------------------------------------------
@@ -102,7 +115,7 @@ def add_hl_ratio(d: DataFrame) -> DataFrame:
 
 def add_macd(d: DataFrame, w: WindowSpec, fast: int = 12, slow: int = 26, signal: int = 9,
              col: str = "close") -> DataFrame:
-    """Needs the row number ``_rn`` and blocks of at most EWM_BLOCK rows."""
+    """Needs the row number ``_rn`` and blocks of ``macd_reach`` rows with as many before them."""
     at, rn = F.col("_at"), F.col("_rn")
     d = d.withColumn("_at", F.row_number().over(w) - 1)
     x = F.col(col)
@@ -192,16 +205,27 @@ def hl_ratio(df: DataFrame) -> DataFrame:
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, **series) -> DataFrame:
     """macd and macd_signal; the weight of rows beyond the lookback is below 1e-15."""
-    options = {"block_rows": EWM_BLOCK, **series}
-    return over_series(df, lambda d, w: add_macd(d, w, fast, slow, signal), EWM_LOOKBACK, **options)
-
+    reach = macd_reach(fast, slow, signal)
+    shortest = min(fast, slow, signal)
+    if shortest > 1 and 2 * reach * EWM_WEIGHT / ewm_reach(shortest) <= EWM_POWER:
+        return over_series(df, lambda d, w: add_macd(d, w, fast, slow, signal), reach, **{**series, "block_rows": reach})
+    # Spans too far apart for the powers of one block: one pass each.
+    d = ewm(ewm(df, "close", fast, out="_fast", **series), "close", slow, out="_slow", **series)
+    d = d.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    return ewm(d, "macd", signal, out="macd_signal", **series)
+
+
+def ewm(df: DataFrame, col: str, span: int, out: str | None = None, **series) -> DataFrame:
+    """Bias-corrected exponential mean; blocks and history are as long as the span needs."""
+    name = out or f"ewm_{span}"
+    if span <= 1:
+        return df.withColumn(name, F.col(col))
 
-def ewm(df: DataFrame, col: str, span: int, **series) -> DataFrame:
     def step(d, w):
         d = d.withColumn("_at", F.row_number().over(w) - 1)
         value = fr.geometric(F.col(col), F.col("_at"), F.col("_rn"), span, w)
-        return d.withColumn(f"ewm_{span}", value).drop("_at")
-    return over_series(df, step, EWM_LOOKBACK, **{"block_rows": EWM_BLOCK, **series})
+        return d.withColumn(name, value).drop("_at")
+    return over_series(df, step, ewm_reach(span), **{**series, "block_rows": ewm_reach(span)})
 
 
 def momentum(df: DataFrame, col: str = "close", n: int = 14, **series) -> DataFrame:

@@ -17,19 +17,22 @@ from pyspark.sql import functions as F
 from marketpulse.functions.numeric import seconds_between
 from marketpulse.operators.series import over_series, running
 
+GRID = 4096
+
 
 def asof_join(events: DataFrame, bars: DataFrame, values: Sequence[str] = ("close",), by=("symbol",),
               ts: str = "ts", tolerance: float | None = None, chunk: Column | None = None,
               bar_ts: str = "bar_ts") -> DataFrame:
     """Each event with the last bar at or before it (at most ``tolerance`` seconds older).
 
-    Both sides are stacked and the last bar is carried forward; no range join.
+    Both sides are stacked and the last bar is carried forward; no range join. Events with a NULL
+    time keep their row and have no bar; bars with a NULL time are no one's; a NULL key is a key.
     """
     by = list(by)
     payload = [c for c in events.columns if c not in by and c != ts]
     left = events.select(*by, ts, F.lit(1).alias("_side"), F.struct(*payload).alias("_event")
                          if payload else F.struct(F.lit(1).alias("_one")).alias("_event"))
-    right = bars.select(
+    right = bars.where(F.col(ts).isNotNull()).select(
         *by, F.col(ts).cast(events.schema[ts].dataType).alias(ts), F.lit(0).alias("_side"),
         F.struct(F.col(ts).alias(bar_ts), *values).alias("_bar"),
     )
@@ -45,23 +48,23 @@ def asof_join(events: DataFrame, bars: DataFrame, values: Sequence[str] = ("clos
 
 def resample_ffill(bars: DataFrame, step: str = "1 hour", values: Sequence[str] = ("close",), by=("symbol",),
                    ts: str = "ts") -> DataFrame:
-    """Each series on a regular grid from its first to its last bar, values carried forward."""
+    """Each series on a regular grid that starts at its first bar and ends by its last, values carried forward.
+
+    ``step`` is an interval of fixed length. Grids are made in two steps of at most GRID slots, so that
+    no single row expands into a whole history.
+    """
     by = list(by)
     span = bars.groupBy(*by).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
-    # Two steps: days first, so that no single row expands into a whole history.
-    days = span.select(
-        *by, "_a", "_b",
-        F.explode(F.sequence(F.to_date("_a"), F.to_date("_b"), F.expr("interval 1 day"))).alias("_day"),
-    )
     kind = bars.schema[ts].dataType
-    slots = F.expr(f"sequence(cast(_day as timestamp), cast(_day as timestamp) + interval 1 day, interval {step})")
-    grid = (
-        days.select(*by, "_a", "_b", "_day", F.explode(slots).alias("_slot"))
-        .where(F.to_date("_slot") == F.col("_day"))
-        .withColumn(ts, F.col("_slot").cast(kind))
-        .where((F.col(ts) >= F.col("_a")) & (F.col(ts) <= F.col("_b")))
-        .select(*by, ts)
-    )
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    step_micros = F.expr(f"unix_micros(timestamp_micros(0) + interval {step})")
+    counted = span.where("_a IS NOT NULL").select(
+        *by, micros("_a").alias("_from"), step_micros.alias("_step"),
+        F.floor((micros("_b") - micros("_a")) / step_micros).alias("_last"))
+    runs = counted.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"_last div {GRID}"))))
+    places = F.sequence(F.col("_run") * GRID, F.least(F.col("_last"), F.col("_run") * GRID + GRID - 1))
+    grid = runs.select(*by, "_from", "_step", F.explode(places).alias("_k")).select(
+        *by, F.timestamp_micros(F.col("_from") + F.col("_k") * F.col("_step")).cast(kind).alias(ts))
     return asof_join(grid, bars, values, by, ts)
 
 

@@ -138,16 +138,17 @@ def lexicon_score(posts: DataFrame, lexicon: DataFrame, key: str = "post_id", co
     """positive, negative, neutral shares, compound in [-1, 1] and confidence of each post.
 
     The text itself is left behind: words are scored and summed where the text is read,
-    and only one row of sums per post is shuffled, with the other columns of the post.
+    and only one row of sums per post is shuffled, with the other columns of the post. Equal posts
+    stay posts of their own.
     """
     keep = [key, *[c for c in posts.columns if c not in (key, col)]]
     text = F.col(col)
     rows = posts.select(
-        *keep, (F.length(F.trim(text)) == 0).alias("_empty"), F.size(words(text)).alias("_n"), bare_words(text).alias("_w"),
-    ).select(*keep, "_empty", "_n", F.inline_outer(_neighbours(F.col("_w"))))
+        F.monotonically_increasing_id().alias("_post"), *keep, (F.length(F.trim(text)) == 0).alias("_empty"), F.size(words(text)).alias("_n"), bare_words(text).alias("_w"),
+    ).select("_post", *keep, "_empty", "_n", F.inline_outer(_neighbours(F.col("_w"))))
     scored = rows.join(checked(lexicon), "token", "left").withColumn("v", _adjusted())
     v = F.col("v")
-    sums = scored.groupBy(*keep, "_empty", "_n").agg(
+    sums = scored.groupBy("_post", *keep, "_empty", "_n").agg(
         F.sum(v).alias("_total"),
         F.coalesce(F.sum(F.when(v > 0, v + 1)), num(0)).alias("_up"),
         F.abs(F.coalesce(F.sum(F.when(v < 0, v - 1)), num(0))).alias("_down"),

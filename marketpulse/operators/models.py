@@ -43,8 +43,8 @@ def price_features(bars: DataFrame, sent: DataFrame | None = None, **series) ->
         d = d.withColumn("volatility_24h", fr.std(F.col("returns_1h"), 24, w))
         d = ind.add_bollinger(ind.add_rsi(d, w, 14, out="rsi_14"), w)
         return ind.add_macd(d, w)
-    options = {"block_rows": ind.EWM_BLOCK, **series}
-    d = over_series(bars, step, ind.EWM_LOOKBACK, **options)
+    options = {**series, "block_rows": ind.macd_reach()}
+    d = over_series(bars, step, ind.macd_reach(), **options)
     if sent is None:
         d = d.withColumns({f"sentiment_{h}h": num(0) for h in (1, 4, 24)})
     else:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from marketpulse.functions.numeric import clip, div, num, ratio_of_sums, seconds_between
 from marketpulse.functions.scoring import decay, influence, label, source_weight, to_index
-from marketpulse.operators.joins import beside
 from marketpulse.operators.timeframes import SECOND, micros, time_momentum
 
 OVERALL = "OVERALL"
@@ -17,8 +16,8 @@ MODEL_WEIGHTS = {"finbert": 0.4, "vader": 0.2, "twitter-roberta": 0.3, "textblob
 
 def retain(df: DataFrame, as_of: Column, seconds: int = 3600, ts: str = "ts") -> DataFrame:
     """Rows of the last ``seconds`` up to ``as_of``."""
-    age = seconds_between(F.col(ts), as_of)
-    return df.where((age >= 0) & (age <= seconds))
+    until = as_of.cast(df.schema[ts].dataType)
+    return df.where((F.col(ts) >= until - F.make_dt_interval(secs=F.lit(seconds))) & (F.col(ts) <= until))
 
 
 def point_weight(age: Column, half_life: float = 14400.0) -> Column:
@@ -54,12 +53,11 @@ def aggregate_sentiment(sent: DataFrame, as_of: Column | None = None, window: in
                         half_life: float = 14400.0, overall: bool = True) -> DataFrame:
     """Per asset (and over all): the decayed weighted score at ``as_of`` (default: the newest row)."""
     if as_of is None:
-        newest = sent.agg(F.max("ts").alias("_as_of"))
-        rows = beside(sent, newest)
-    else:
-        rows = sent.withColumn("_as_of", as_of)
-    kept = retain(rows, F.col("_as_of"), window)
-    weighted = kept.withColumn("_w", point_weight(seconds_between(F.col("ts"), F.col("_as_of")), half_life))
+        # One value, fetched first: as a literal it reaches the scan as a filter on both sides.
+        as_of = F.lit(sent.agg(F.max("ts").cast("string")).first()[0])
+    as_of = as_of.cast(sent.schema["ts"].dataType)
+    kept = retain(sent, as_of, window)
+    weighted = kept.withColumn("_w", point_weight(seconds_between(F.col("ts"), as_of), half_life))
     per_source = _per_source(weighted, ["asset"])
     if overall:
         sums = [F.sum(c).alias(c) for c in ("_sw", "_w", "_s", "_n")]

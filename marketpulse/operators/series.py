@@ -9,11 +9,14 @@ safe. Two shapes cover every series operator:
 * ``running``: frames that reach back to the first row. Each calendar chunk is
   scanned alone and the totals of the earlier chunks (one row per chunk) are
   carried in.
+
+NULL is a key like any other, and rows with a NULL order column come first in their series.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -21,6 +24,13 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 65536
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys in which NULL keys meet too, so that no row is lost."""
+    other = right.select(*[F.col(k).alias(f"_same_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys])
+    return left.join(other, same).drop(*[f"_same_{k}" for k in keys])
+
+
 def _chunk(order: Sequence[str], chunk: Column | None) -> Column:
     return F.to_date(F.col(order[0])) if chunk is None else chunk
 
@@ -42,7 +52,7 @@ def number_rows(df: DataFrame, by=("symbol",), order=("ts",), chunk: Column | No
     inside = Window.partitionBy(*by, "_chunk").orderBy(*order)
     ranked = keyed.withColumn("_pos", F.row_number().over(inside))
     return (
-        ranked.join(offsets, [*by, "_chunk"])
+        join_same(ranked, offsets, [*by, "_chunk"])
         .withColumn(name, F.col("_before") + F.col("_pos"))
         .drop("_chunk", "_before", "_pos")
     )
@@ -118,7 +128,7 @@ def running(df: DataFrame, specs: dict[str, tuple[str, Column]], by=("symbol",),
     scanned = keyed.withColumns(
         {f"_here_{out}": _SCAN[kind](F.col(f"_in_{out}")).over(inside) for out, (kind, _) in specs.items()}
     )
-    joined = scanned.join(carry, [*by, "_chunk"]).withColumns({
+    joined = join_same(scanned, carry, [*by, "_chunk"]).withColumns({
         out: _COMBINE[kind](F.col(f"_before_{out}"), F.col(f"_here_{out}"))
         for out, (kind, _) in specs.items()
     })
@@ -147,7 +157,7 @@ def last_rows(df: DataFrame, n: int, by=("symbol",), order=("ts",), chunk: Colum
         *by, "_chunk", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_later")
     ).where(F.col("_later") < n)
     return (
-        tails.join(needed, [*by, "_chunk"])
+        join_same(tails, needed, [*by, "_chunk"])
         .where(F.col("_later") + F.col("_pos") <= n)
         .drop("_chunk", "_pos", "_later")
     )

@@ -68,12 +68,12 @@ def reason_of(action: Column, index: Column, score: Column, confidence: Column)
 
 
 def signals(df: DataFrame, thresholds: dict[str, float] | None = None, min_confidence: float = MIN_CONFIDENCE,
-            flow: DataFrame | None = None, max_per_day: int | None = None, cooldown: int | None = None) -> DataFrame:
+            flow: DataFrame | None = None, max_per_day: int | None = None) -> DataFrame:
     """Signals of rows (symbol, ts, sentiment_score, source_count[, fear_greed_index]).
 
     Without an index it is derived from the score. ``flow`` (symbol, ts, flow_strength,
     recommendation) blends the confidence 0.6 / 0.4 and turns a strongly contradicted
-    action into HOLD. ``max_per_day`` and ``cooldown`` (seconds) are off by default.
+    action into HOLD. ``max_per_day`` is off by default.
     """
     base = df if "fear_greed_index" in df.columns else df.withColumn("fear_greed_index", F.lit(None).cast("double"))
     d = base.withColumn("fear_greed_index", F.coalesce("fear_greed_index", to_index(F.col("sentiment_score"))))
@@ -102,11 +102,6 @@ def signals(df: DataFrame, thresholds: dict[str, float] | None = None, min_confi
     if max_per_day is not None:
         w = Window.partitionBy("symbol", F.to_date("ts")).orderBy("ts")
         d = d.withColumn("_pos", F.row_number().over(w)).where(F.col("_pos") <= max_per_day).drop("_pos")
-    if cooldown is not None:
-        def quiet(x, w):
-            gap = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(w).cast("timestamp"))
-            return x.withColumn("_gap", gap)
-        d = over_series(d, quiet, 1).where(F.col("_gap").isNull() | (F.col("_gap") >= cooldown)).drop("_gap")
     return d
 
 

@@ -129,23 +129,6 @@ SQL_OUTCOME_STATS = with_(*BOOT_CTES, "cut AS (SELECT symbol, quantile_cont(fina
 SELECT symbol, simulations, {', '.join(rnd(c) for c in _STATS)} FROM os"""
 
 
-def q_parametric_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    rets = _small_returns(spark, sf)
-    both = None
-    for kind in ("normal", "student_t"):
-        one = oc.outcome_stats(materialise(oc.series_outcomes(rets, SIMS, distribution=kind), "paths"))
-        one = one.withColumn("distribution", F.lit(kind))
-        both = one if both is None else both.unionByName(one)
-    return both
-
-
-def q_correlated_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    rets = _small_returns(spark, sf)
-    n = rets.groupBy("symbol").count().agg(F.max("count")).first()[0]
-    paths = oc.correlated_outcomes(rets, ["click", "error", "purchase", "signup", "view"], n, SIMS)
-    return oc.outcome_stats(materialise(paths, "paths"))
-
-
 # --- execution ---------------------------------------------------------------
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -445,8 +428,6 @@ QUERIES = {
     "walk_forward_summary": (q_walk_forward_summary, SQL_WALK_FORWARD_SUMMARY),
     "bootstrap_outcomes": (q_bootstrap_outcomes, SQL_BOOTSTRAP_OUTCOMES),
     "outcome_stats": (q_outcome_stats, SQL_OUTCOME_STATS),
-    "parametric_outcomes": (q_parametric_outcomes, None),
-    "correlated_outcomes": (q_correlated_outcomes, None),
     "walk_book": (q_walk_book, SQL_WALK_BOOK),
     "execution_slices": (q_execution_slices, SQL_EXECUTION_SLICES),
     "vwap_cost": (q_vwap_cost, SQL_VWAP_COST),

@@ -196,7 +196,7 @@ def q_signals_with_flow(spark: SparkSession, sf: str) -> DataFrame:
     rec = materialise(fl.flow_signal(flow).select("symbol", "ts", "flow_strength", "recommendation"), "flow")
     hourly = src.sentiment_hourly(spark, sf).select(
         "symbol", "ts", F.col("sentiment").alias("sentiment_score"), F.col("posts").alias("source_count"))
-    out = sg.signals(hourly, min_confidence=0.4, flow=rec, max_per_day=5, cooldown=7200)
+    out = sg.signals(hourly, min_confidence=0.4, flow=rec, max_per_day=5)
     return round_columns(out.select("symbol", "ts", "action", "confidence"), {"confidence": 6})
 
 
@@ -209,9 +209,8 @@ SQL_SIGNALS_WITH_FLOW = with_(*FLOW_CTES, *SIGNAL_CTES[:4], """fr AS (
       OR (rec IN ('STRONG_SELL', 'SELL') AND action IN ('BUY', 'STRONG_BUY'))) THEN 'HOLD' ELSE action END AS action,
     CASE WHEN st IS NOT NULL THEN confidence * 0.6 + st * 0.4 ELSE confidence END AS confidence
   FROM s2 s LEFT JOIN fq USING (symbol, ts))""", """dy AS (
-  SELECT *, row_number() OVER (PARTITION BY symbol, ts::DATE ORDER BY ts) AS rn FROM bl WHERE confidence >= 0.4)""", """cd AS (
-  SELECT *, date_diff('second', lag(ts) OVER (PARTITION BY symbol ORDER BY ts), ts) AS gap FROM dy WHERE rn <= 5)""") + f"""
-SELECT symbol, ts, action, {rnd('confidence')} FROM cd WHERE gap IS NULL OR gap >= 7200"""
+  SELECT *, row_number() OVER (PARTITION BY symbol, ts::DATE ORDER BY ts) AS rn FROM bl WHERE confidence >= 0.4)""") + f"""
+SELECT symbol, ts, action, {rnd('confidence')} FROM dy WHERE rn <= 5"""
 
 
 def q_scalar_functions(spark: SparkSession, sf: str) -> DataFrame:

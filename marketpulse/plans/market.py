@@ -9,7 +9,7 @@ from marketpulse.functions import frames as fr
 from marketpulse.functions.numeric import num, round_columns
 from marketpulse.operators import indicators as ind
 from marketpulse.operators.joins import resample_ffill
-from marketpulse.operators.series import over_series
+from marketpulse.operators.series import over_series, running
 from marketpulse.plans.sqlkit import DAILY, HOURLY, lag, rnd, strict, with_
 from marketpulse.session import materialise
 from marketpulse.sources import adapters as src
@@ -190,7 +190,47 @@ SELECT symbol, ts, close, volume, {rnd('momentum')}, {rnd('z_close')}, {rnd('z_v
   {rnd('pct_rank')} FROM b"""
 
 
+def q_ewm_spans(spark: SparkSession, sf: str) -> DataFrame:
+    d = src.bars_hourly(spark, sf).select("symbol", "ts", "close")
+    for span in (2, 3, 9, 26, 1000):
+        d = ind.ewm(d, "close", span)
+    names = [f"ewm_{s}" for s in (2, 3, 9, 26, 1000)]
+    return round_columns(d.select("symbol", "ts", *names), {n: 7 for n in names})
+
+
+# The check sums the weights of all earlier rows of each row.
+SQL_EWM_SPANS = with_(HOURLY, """r AS (
+  SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM hourly)""", "t AS (SELECT a.symbol, a.ts, " + ", ".join(
+    f"sum(b.close * pow(1 - 2.0::DOUBLE / {s + 1}, a.rn - b.rn)) / sum(pow(1 - 2.0::DOUBLE / {s + 1}, a.rn - b.rn)) AS ewm_{s}" for s in (2, 3, 9, 26, 1000))
+    + " FROM r a JOIN r b ON a.symbol = b.symbol AND b.rn <= a.rn GROUP BY 1, 2)") + "SELECT symbol, ts, " + ", ".join(
+    rnd(f"ewm_{s}", 7) for s in (2, 3, 9, 26, 1000)) + " FROM t"
+
+
+def _with_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of which one type has no name and each 97th no time."""
+    return src.table(spark, sf, "events").select(
+        "event_id", F.expr("nullif(event_type, 'view')").alias("symbol"),
+        F.expr("CASE WHEN event_id % 97 <> 0 THEN ts END").alias("ts"), "value")
+
+
+def q_null_keys(spark: SparkSession, sf: str) -> DataFrame:
+    order = ("ts", "event_id")
+    counted = running(_with_nulls(spark, sf), {"seen": ("count", F.col("event_id")), "top": ("max", F.col("value"))}, order=order)
+    return over_series(counted, lambda d, w: d.withColumn("before", F.lag("event_id", 2).over(w)), 2, order=order, numbered=True).select(
+        "event_id", "symbol", "ts", "seen", "top", "before", F.col("_rn").alias("place"))
+
+
+SQL_NULL_KEYS = """
+WITH d AS (SELECT event_id, nullif(event_type, 'view') AS symbol, CASE WHEN event_id % 97 <> 0 THEN ts END AS ts, value FROM events)
+SELECT event_id, symbol, ts, count(*) OVER w AS seen, max(value) OVER w AS top,
+  lag(event_id, 2) OVER (PARTITION BY symbol ORDER BY ts NULLS FIRST, event_id) AS before,
+  row_number() OVER (PARTITION BY symbol ORDER BY ts NULLS FIRST, event_id) AS place
+FROM d WINDOW w AS (PARTITION BY symbol ORDER BY ts NULLS FIRST, event_id ROWS UNBOUNDED PRECEDING)"""
+
+
 QUERIES = {
+    "ewm_spans": (q_ewm_spans, SQL_EWM_SPANS),
+    "null_keys": (q_null_keys, SQL_NULL_KEYS),
     "bars_hourly": (q_bars_hourly, SQL_BARS_HOURLY),
     "day_stats": (q_day_stats, SQL_DAY_STATS),
     "returns_and_sma": (q_returns_and_sma, SQL_RETURNS_AND_SMA),

@@ -14,10 +14,12 @@ def build_bars(ticks: DataFrame, symbol: str, ts: str, price: str, tie: str, uni
                volume: str | None = None) -> DataFrame:
     """Bars of a fixed length from single prices; volume is the number of prices unless given.
 
-    Prices are ordered by time, prices of one microsecond by the low bits of ``tie``: one
-    BIGINT, so that the aggregation hashes (a composite order would sort all prices).
+    Prices are ordered by time, prices of one microsecond by the whole number ``tie``: one
+    decimal, so that the aggregation hashes (a composite order would sort all prices).
     """
-    at = F.unix_micros(F.col(ts).cast("timestamp")) * 4096 + F.pmod(F.col(tie), F.lit(4096))
+    micros = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(18,0)")
+    # Twice the largest BIGINT and more: ties never reach the next microsecond.
+    at = micros * F.lit("20000000000000000000").cast("decimal(20,0)") + F.coalesce(F.col(tie), F.lit(0)).cast("decimal(19,0)")
     size = F.count(F.lit(1)).cast("double") if volume is None else F.sum(volume)
     slot = F.date_trunc(unit, F.col(ts)).cast(ticks.schema[ts].dataType)
     return ticks.groupBy(F.col(symbol).alias("symbol"), slot.alias("ts")).agg(

@@ -111,7 +111,7 @@ def route_events(events: DataFrame) -> DataFrame:
     d = events.withColumns({"text": text, "metadata": meta})
     d = d.withColumn("asset", F.when(kind == "market", base_asset(F.col("symbol"))).otherwise(route_asset(F.col("text"))))
     market = d.where(kind == "market")
-    return drop_empty(d.where(kind != "market")).unionByName(market)
+    return drop_empty(d.where(~kind.eqNullSafe("market"))).unionByName(market)
 
 
 def stream_posts(spark: SparkSession, path: str, schema: str, fmt: str = "json", max_files: int | None = None) -> DataFrame:

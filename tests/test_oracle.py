@@ -3,6 +3,8 @@
 import __spark_entry__ as entry
 import pytest
 
+from marketpulse.plans import catalog
+
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +15,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, con, name):
     query, sql = entry.queries()[name], entry.oracle_sql().get(name)
     if sql is None:
@@ -28,8 +30,8 @@ def test_entry_has_rows(spark):
 
 
 def test_unchecked_queries_are_few():
-    free = set(entry.queries()) - set(entry.oracle_sql())
+    free = set(catalog.queries()) - set(catalog.oracle_sql())
     assert free == {
         "regime_kmeans", "regime_mixture", "regime_vote", "mentions", "mention_summary", "tag_text", "cross_market",
-        "parametric_outcomes", "correlated_outcomes", "forecast", "text_classifier",
+        "forecast", "text_classifier",
     }

@@ -13,11 +13,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of a worker's table of known pieces; beyond it those that were met in one step only are forgotten.
-KNOWN = 1_000_000
+KNOWN = 700_000
 #: Unknown pieces that are encoded as one text.
 JOINT = 200
 #: Characters that are encoded at a time.
-STEP = 8 << 20
+STEP = 4 << 20
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"[^\S \n]")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from marketpulse.plans import crowds, evaluation, feeds, market, moods, regimes, texts, trading
+from marketpulse.plans import crowds, evaluation, feeds, market, moods, regimes, stores, texts, trading
 
 _ALL = {
     **market.QUERIES, **regimes.QUERIES, **texts.QUERIES, **moods.QUERIES, **trading.QUERIES, **crowds.QUERIES,
-    **evaluation.QUERIES, **feeds.QUERIES,
+    **evaluation.QUERIES, **feeds.QUERIES, **stores.QUERIES,
 }
 
 

@@ -36,6 +36,10 @@ def _trades(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return tr.extract_trades(trade_signals(spark, sf), bars, stop=STOP, take=TAKE), bars
 
 
+def done_trades(spark: SparkSession, sf: str) -> DataFrame:
+    return _trades(spark, sf)[0]
+
+
 def trade_ctes(check: str = "bars") -> list[str]:
     checks = "SELECT symbol, ts, close FROM hourly" if check == "bars" else "SELECT symbol, ts, close FROM px"
     return [HOURLY, *SIGNAL_CTES, """px AS (
@@ -66,30 +70,30 @@ def trade_ctes(check: str = "bars") -> list[str]:
     CASE WHEN exit_reason = 'end' THEN 0 ELSE abs(xp * qty * 0.001::DOUBLE) END AS exit_fee FROM t2)"""]
 
 
-_NUMBERS = {"entry_price": 6, "exit_price": 6, "position_size": 6, "quantity": 6, "pnl": 6, "pnl_percent": 6,
+NUMBERS = {"entry_price": 6, "exit_price": 6, "position_size": 6, "quantity": 6, "pnl": 6, "pnl_percent": 6,
             "confidence": 6, "fear_greed_index": 6, "entry_fee": 6, "exit_fee": 6}
 _TRADE_TEXT = "entry_time, exit_time, symbol, action, status, exit_reason, side::BIGINT AS side"
 
 
 def q_trades(spark: SparkSession, sf: str) -> DataFrame:
-    out = _trades(spark, sf)[0].withColumn("side", F.col("side").cast("bigint"))
-    return round_columns(out, _NUMBERS)
+    out = done_trades(spark, sf).withColumn("side", F.col("side").cast("bigint"))
+    return round_columns(out, NUMBERS)
 
 
-SQL_TRADES = with_(*trade_ctes()) + f"SELECT {_TRADE_TEXT}, {', '.join(rnd(c) for c in _NUMBERS)} FROM trades"
+SQL_TRADES = with_(*trade_ctes()) + f"SELECT {_TRADE_TEXT}, {', '.join(rnd(c) for c in NUMBERS)} FROM trades"
 
 
 def q_trades_on_signals(spark: SparkSession, sf: str) -> DataFrame:
     bars = materialise(src.bars_hourly(spark, sf), "bars")
     out = tr.extract_trades(trade_signals(spark, sf), bars, stop=STOP, take=TAKE, check_on="signals")
-    return round_columns(out.withColumn("side", F.col("side").cast("bigint")), _NUMBERS)
+    return round_columns(out.withColumn("side", F.col("side").cast("bigint")), NUMBERS)
 
 
-SQL_TRADES_ON_SIGNALS = with_(*trade_ctes("signals")) + f"SELECT {_TRADE_TEXT}, {', '.join(rnd(c) for c in _NUMBERS)} FROM trades"
+SQL_TRADES_ON_SIGNALS = with_(*trade_ctes("signals")) + f"SELECT {_TRADE_TEXT}, {', '.join(rnd(c) for c in NUMBERS)} FROM trades"
 
 
 def q_pnl_by_symbol(spark: SparkSession, sf: str) -> DataFrame:
-    done = materialise(_trades(spark, sf)[0], "trades")
+    done = materialise(done_trades(spark, sf), "trades")
     both = tr.pnl_by(done, "symbol").select(F.lit("symbol").alias("kind"), F.col("symbol").alias("key"), "total_pnl",
                                             "trades", "win_rate")
     acts = tr.pnl_by(done, "action").select(F.lit("action").alias("kind"), F.col("action").alias("key"), "total_pnl",
@@ -104,7 +108,7 @@ SELECT kind, key, {rnd('s', 4, 'total_pnl')}, trades, {rnd('w', 6, 'win_rate')}
 
 
 def q_top_trades(spark: SparkSession, sf: str) -> DataFrame:
-    done = materialise(_trades(spark, sf)[0], "trades").select("symbol", "entry_time", "pnl")
+    done = materialise(done_trades(spark, sf), "trades").select("symbol", "entry_time", "pnl")
     best = tr.top_trades(done, 3).withColumn("list", F.lit("best"))
     worst = tr.top_trades(done, 3, best=False).withColumn("list", F.lit("worst"))
     return round_columns(best.unionByName(worst), {"pnl": 6})
@@ -117,7 +121,7 @@ SELECT symbol, entry_time, {rnd('pnl')}, list FROM u"""
 
 
 def q_cum_pnl(spark: SparkSession, sf: str) -> DataFrame:
-    out = tr.cum_pnl(materialise(_trades(spark, sf)[0], "trades")).select("symbol", "entry_time", "trade_no", "cum_pnl")
+    out = tr.cum_pnl(materialise(done_trades(spark, sf), "trades")).select("symbol", "entry_time", "trade_no", "cum_pnl")
     return round_columns(out, {"cum_pnl": 4})
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,10 +47,16 @@ def day_stats(bars: DataFrame) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet") -> DataFrame:
-    """Bars from a cache folder partitioned by symbol, or from CSV files named by symbol."""
+    """Bars from cache folders partitioned by symbol (or from ``symbol=`` folders of theirs), or from CSV files named by symbol."""
     paths = [path] if isinstance(path, str) else list(path)
     if fmt == "parquet":
-        return spark.read.schema(schemas.BARS).parquet(*paths)
+        # One read per cache: folders of one cache share its partition columns.
+        caches: dict[str, list[str]] = {}
+        for p in paths:
+            caches.setdefault(p.split("/symbol=")[0], []).append(p)
+        reads = [spark.read.schema(schemas.BARS).option("basePath", root).parquet(*own) if own != [root]
+                 else spark.read.schema(schemas.BARS).parquet(root) for root, own in caches.items()]
+        return reduce(DataFrame.unionByName, reads).select(*[f.split()[0] for f in schemas.BARS.split(", ")])
     rows = spark.read.schema(schemas.BAR_ROWS).option("header", True).csv(paths)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^([^_.]+)", 1)
     return rows.select(name.alias("symbol"), "*")
@@ -69,10 +76,10 @@ def read_many(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet") -
 
 
 def write_bars(df: DataFrame, path: str) -> None:
-    """One folder per symbol and month, so that a large symbol is written by many tasks."""
+    """One folder per symbol and month; its days go to different tasks, so a large symbol is no single task."""
     (
         df.withColumn("month", F.date_format("ts", "yyyy-MM"))
-        .repartition("symbol", "month")
+        .repartition("symbol", F.to_date("ts"))
         .write.mode("overwrite").partitionBy("symbol", "month").parquet(path)
     )
 

@@ -33,6 +33,11 @@ def test_bars_round_trip(spark):
     assert back.count() == 1600 and back.where("symbol = 'A'").count() == 800
     assert ba.read_many(spark, [path, path + "-missing"]).count() == 1600
     assert ba.read_many(spark, [path + "-missing"]).count() == 0
+    other = scratch_path(spark, "bars")
+    ba.write_bars(d.where("symbol = 'B'").withColumn("symbol", F.lit("C")), other)
+    some = ba.read_many(spark, [f"{path}/symbol=A", f"{path}/symbol=none", other])
+    assert {(r["symbol"], r["count"]) for r in some.groupBy("symbol").count().collect()} == {("A", 800), ("C", 800)}
+    assert some.columns == d.columns
 
 
 def test_csv_bars_take_the_symbol_from_the_file(spark, tmp_path):

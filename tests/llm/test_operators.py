@@ -229,6 +229,19 @@ def test_encoder_is_exact(ids):
             assert np.frombuffer(found, "<u4").tolist() == ids(t), t
 
 
+@pytest.mark.parametrize("known", [0, 5, 60])
+def test_encoder_that_forgets_is_exact(ids, monkeypatch, known):
+    monkeypatch.setattr(tokens, "KNOWN", known)
+    rnd = random.Random(4)
+    own = tokens.Encoder(TOKENIZER)
+    for _ in range(60):
+        texts = [" ".join(rnd.choice(["a", "b,", "cd.", "é", "x1", str(rnd.randint(0, 99))]) for _ in range(rnd.randint(0, 9)))
+                 + rnd.choice(["", "\nend", "  end"]) for _ in range(5)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [ids(t) for t in texts]
+        assert own.encode([]) == []
+        assert len(own.known) == len(own.starts) == len(own.sizes) == len(own.met) and sum(own.sizes) == len(own.ids)
+
+
 def test_token_files(spark, docs, rows, empty, ids, tmp_path):
     path = "file://" + str(tmp_path / "t")
     token_files.write_tokens(docs, path, TOKENIZER, 2)

@@ -438,6 +438,33 @@ def test_passages(docs, rows, empty):
     assert passages.near_passages(empty).collect() == []
 
 
+def test_passages_of_hot_min_hashes(spark, tmp_path, monkeypatch):
+    # One variant of a passage is so frequent that it heads the min-hashes of the others, which lie in many blocks.
+    monkeypatch.setattr(passages, "BLOCK", 2)
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    frame = [word() for _ in range(60)]
+    texts = [" ".join(frame)] * 12
+    for _ in range(60):
+        variant = list(frame)
+        for at in range(rnd.randrange(6, 12), 60, rnd.randrange(10, 16)):
+            variant[at] = word()
+        texts += [" ".join([word() for _ in range(rnd.randrange(30))] + variant + [word() for _ in range(rnd.randrange(30))]) for _ in range(2)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    got = defaultdict(list)
+    for r in passages.near_passages(spark.read.parquet(path)).collect():
+        got[r["doc_id"]].append((r["start_word"], r["start_word"] + r["n_words"]))
+    seen = defaultdict(list)
+    for k, t in enumerate(texts):
+        w = t.split()
+        for i in range(len(w) - 49):
+            seen[tuple(w[i : i + 50])].append((k, i))
+    for places in seen.values():
+        if len({k for k, _ in places}) > 1:
+            assert all(any(a < i + 50 and i < b for a, b in got[k]) for k, i in places)
+
+
 def test_components(spark):
     rnd = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(rnd.randint(200, 300), rnd.randint(200, 300)) for _ in range(60)]

@@ -25,6 +25,8 @@ SAMPLE_BYTES = 16384
 ORDINARY_BYTES = 112640
 #: Least likelihood ratio statistic of a string that counts as toxic, and its least share of the highest one.
 CONTRAST, CONTRAST_SHARE = 12.0, 0.06
+#: The share of toxic texts that have such a string is more than so many times that of ordinary ones.
+TIMES = 8.0
 #: A window counts as a hit if the toxic dictionary saves so many bytes.
 HIT = 3
 
@@ -42,12 +44,21 @@ def strings(word: bytes) -> tuple[bytes, ...]:
     return tuple({word[i : i + n] for n in range(4, 10) for i in range(len(word) - n + 1)})
 
 
+def likelihood_ratio(a: int, n: int, b: int, m: int) -> float:
+    """Twice the log-likelihood by which a of n and b of m are likelier with shares of their own than with a common one."""
+    def fit(k: int, of: int, share: float) -> float:
+        return (k * math.log(share) if k else 0.0) + ((of - k) * math.log(1 - share) if of > k else 0.0)
+    common = (a + b) / (n + m)
+    return 2 * (fit(a, n, a / n) + fit(b, m, b / m) - fit(a, n, common) - fit(b, m, common))
+
+
 def toxic_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Words of toxic texts with a string that ordinary texts lack, rarest first.
+    """Words of toxic texts with a string that is far more common in them than in ordinary ones, rarest first.
 
     zstandard's trainer looks for frequent strings, and those are the same in both kinds of text.
-    So its toxic samples are the words that hold strings whose share of toxic documents stands out
-    (likelihood ratio) and that no ordinary document has. Equal texts count once.
+    So its toxic samples are the words that hold strings whose share of toxic documents stands out: by the
+    likelihood ratio of both counts, and as TIMES the share of ordinary ones. A few ordinary texts that have a
+    string, quoting or mislabelled, do not take it away. Equal texts count once.
     """
     toxic, ordinary = sorted({t.lower() for t in toxic}), sorted({t.lower() for t in ordinary})
     here, there = Counter(), Counter()
@@ -56,8 +67,8 @@ def toxic_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     known = {g for g, n in here.items() if n >= 3}
     for t in ordinary:
         there.update({g for w in set(t.split()) for g in strings(w)} & known)
-    share = len(toxic) / max(len(toxic) + len(ordinary), 1)
-    contrast = {g: 2 * here[g] * math.log(1 / share) for g in known if not there[g]} if share < 1 else {}
+    contrast = {g: likelihood_ratio(here[g], len(toxic), there[g], len(ordinary))
+                for g in known if ordinary and here[g] * len(ordinary) > TIMES * there[g] * len(toxic)}
     least = max(CONTRAST, CONTRAST_SHARE * max(contrast.values(), default=0.0))
     strong = {g for g, x in contrast.items() if x >= least}
     words = Counter(w for t in toxic for w in t.split() if not strong.isdisjoint(strings(w)))

@@ -120,6 +120,21 @@ def test_toxicity_learns(spark, tmp_path):
     assert sum(p == y for p, y in held) / len(held) > 0.95
 
 
+def test_toxic_words_despite_wrong_labels():
+    rnd = random.Random(2)
+    plain = ["".join(rnd.choice("aeiourstnl") for _ in range(5)) for _ in range(400)]
+    bad = ["grumblefish", "stinkwort", "blockhead"]
+    rows = []
+    for i in range(1200):
+        w = [rnd.choice(plain) for _ in range(60)] + (rnd.sample(bad, 2) if i % 6 == 0 else [])
+        rnd.shuffle(w)
+        rows.append((" ".join(w).encode(), (i % 6 == 0) != (rnd.random() < 0.03)))
+    toxic, ordinary = ([t for t, y in rows if y == k] for k in (True, False))
+    assert all(any(b.encode() in t for t in ordinary) for b in bad)
+    words = {w.decode() for w in toxicity.toxic_words(toxic, ordinary)}
+    assert set(bad) <= words and len(words - set(bad)) <= 3
+
+
 def brute_similar(rows):
     def sets(t):
         w = (t or "").encode().split()

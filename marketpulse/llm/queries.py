@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from marketpulse.llm import (
-    exact_dedup, mixing, ngram_join, packing, passages, quality, sharding, token_files, toxicity, url_rules,
+    exact_dedup, importance, language, mixing, ngram_join, packing, passages, periodic_runs, quality, sharding, token_files, toxicity,
+    url_rules,
 )
 from marketpulse.llm.common import table
 from marketpulse.session import scratch_path
@@ -101,6 +102,40 @@ def op10_compact_windows(spark, sf):
     return passages.near_passages(table(spark, sf, "documents"))
 
 
+def op11_kernel_language(spark, sf):
+    return language.predict(table(spark, sf, "documents"))
+
+
+def op12_importance_resampling(spark, sf):
+    drawn = importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_periodic_runs(spark, sf):
+    found = periodic_runs.periodic_runs(planted_periods(table(spark, sf, "documents")))
+    # The exact greatest ratio: lengths and periods are multiplied crosswise; earlier runs win ties.
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, r: F.when(r.length * a.period > a.length * r.period, r).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def planted_periods(docs):
+    """The documents; where crc32(doc_id) is a multiple of 10, their words from some place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    parts = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    n, g = F.size("words").cast("long"), F.expr("h div 10")
+    parts = parts.withColumns({"n": n, "g": g}).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    parts = parts.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    moved = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return parts.select("doc_id", F.when(F.col("n") > 0, F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
 QUERIES = {
     "op1_prefix_shards": (op1_prefix_shards, None),
     "op2_compression_toxicity": (op2_compression_toxicity, None),
@@ -112,6 +147,9 @@ QUERIES = {
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_url_rules": (op9_url_rules, OP9_SQL),
     "op10_compact_windows": (op10_compact_windows, None),
+    "op11_kernel_language": (op11_kernel_language, None),
+    "op12_importance_resampling": (op12_importance_resampling, None),
+    "op13_periodic_runs": (op13_periodic_runs, None),
 }
 
 

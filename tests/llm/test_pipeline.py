@@ -18,7 +18,7 @@ def test_query(spark, name):
 
 def test_registered():
     names = [n.split("_")[0] for n in entry.queries() if n.startswith("op")]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_stages(spark, tmp_path):

@@ -1,21 +1,20 @@
-"""Market regimes: rules, clusters, mixture, vote, and what happened in each regime."""
+"""Market regimes: rules, clusters, hidden states, vote, and what happened in each regime."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marketpulse.functions import frames as fr
 from marketpulse.functions.numeric import div, num
+from marketpulse.operators import hidden
 from marketpulse.operators import indicators as ind
-from marketpulse.operators.joins import beside, join_votes
-from marketpulse.operators.series import over_series
-from marketpulse.session import materialise
+from marketpulse.operators.joins import join_votes
+from marketpulse.operators.series import join_same, over_series
+from marketpulse.session import materialise, sized
 
 REGIMES = ("BULL", "BEAR", "SIDEWAYS")
 # Longest nested reach: the 200-row average.
@@ -72,41 +71,70 @@ def regime_rules(bars: DataFrame, **series) -> DataFrame:
 
 
 def _rank_by_return(classified: DataFrame, group: str) -> DataFrame:
-    """Groups ordered by mean return: lowest BEAR, highest BULL, the rest SIDEWAYS."""
-    means = classified.groupBy(group).agg(F.avg("ret").alias("_mean"))
-    best = means.agg(F.max_by(group, "_mean").alias("_best"), F.min_by(group, "_mean").alias("_worst"))
+    """Groups of each symbol ordered by mean return: lowest BEAR, highest BULL, the rest SIDEWAYS."""
+    means = classified.groupBy("symbol", group).agg(F.avg("ret").alias("_mean"))
+    best = sized(means.groupBy("symbol").agg(F.max_by(group, F.struct("_mean", -F.col(group))).alias("_best"),
+                                             F.min_by(group, F.struct("_mean", group)).alias("_worst")))
     label = (
         F.when(F.col(group) == F.col("_worst"), "BEAR").when(F.col(group) == F.col("_best"), "BULL")
         .otherwise("SIDEWAYS")
     )
-    return beside(classified, best).withColumn("regime", label)
-
-
-def regime_kmeans(bars: DataFrame, seed: int = 42, **series) -> DataFrame:
-    """Three clusters of the standardised features, named by their mean return."""
-    rows = regime_features(bars, **series).dropna(subset=list(CLUSTER_FEATURES))
-    rows = materialise(rows.select("symbol", "ts", *CLUSTER_FEATURES), "features")
-    vectors = VectorAssembler(inputCols=list(CLUSTER_FEATURES), outputCol="_raw").transform(rows)
-    scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(vectors)
-    scaled = scaler.transform(vectors)
-    model = KMeans(k=3, seed=seed, featuresCol="_x", predictionCol="cluster_id").fit(scaled)
-    centres = F.array(*[F.array(*[num(v) for v in c]) for c in model.clusterCenters()])
-    gap = F.zip_with(vector_to_array("_x"), F.get(centres, F.col("cluster_id")), lambda a, b: (a - b) * (a - b))
-    distance = F.sqrt(F.aggregate(gap, num(0), lambda s, v: s + v))
-    out = _rank_by_return(model.transform(scaled).withColumn("confidence", 1 / (1 + distance)), "cluster_id")
-    return out.select("symbol", "ts", "regime", "confidence", "cluster_id")
-
-
-def regime_mixture(bars: DataFrame, seed: int = 42, **series) -> DataFrame:
-    """Three Gaussian components over (return, volatility); confidence is the posterior."""
-    rows = regime_features(bars, **series).dropna(subset=["ret", "volatility_20"])
-    rows = materialise(rows.select("symbol", "ts", "ret", "volatility_20"), "features")
-    vectors = VectorAssembler(inputCols=["ret", "volatility_20"], outputCol="_x").transform(rows)
-    model = GaussianMixture(
-        k=3, seed=seed, featuresCol="_x", predictionCol="state_id", probabilityCol="_p"
-    ).fit(vectors)
-    scored = model.transform(vectors).withColumn("confidence", F.array_max(vector_to_array("_p")))
-    return _rank_by_return(scored, "state_id").select("symbol", "ts", "regime", "confidence", "state_id")
+    return join_same(classified, best, ["symbol"]).withColumn("regime", label)
+
+
+def _nearest(names: list[str]) -> list[Column]:
+    """Squared distances of the named features to each centre of the row's ``centres``."""
+    def gap(k: int) -> Column:
+        return reduce(lambda a, b: a + b, [(F.col(c) - F.get(F.get("centres", F.lit(k)), F.lit(i))) ** 2 for i, c in enumerate(names)])
+    return [gap(k) for k in range(3)]
+
+
+def regime_kmeans(bars: DataFrame, rounds: int = 10, **series) -> DataFrame:
+    """Three clusters of the standardised features of each symbol, named by their mean return.
+
+    Seeds are the mean features of the rows in the lower, middle and upper third of a normal return. Each Lloyd step is one aggregate
+    by symbol; it ends early when no centre moves. Equal distances go to the first cluster, an empty one keeps its centre.
+    Rows without all features are left out, and symbols with fewer than 10 others.
+    """
+    rows = regime_features(bars, **series).dropna(subset=list(CLUSTER_FEATURES)).select("symbol", "ts", *CLUSTER_FEATURES)
+    names = [f"_z{i}" for i in range(len(CLUSTER_FEATURES))]
+    rows = materialise(hidden.standardised(materialise(rows, "features"), CLUSTER_FEATURES, names, least=10), "scaled")
+    z = F.col("_z0")
+
+    def means(inside: list[Column], empty: Callable[[int, int], Column]) -> Column:
+        return F.array(*[F.array(*[F.coalesce(F.avg(F.when(k, F.col(c))), empty(j, i)) for i, c in enumerate(names)])
+                         for j, k in enumerate(inside)])
+    thirds = [z < -hidden.THIRD, F.abs(z) <= hidden.THIRD, z > hidden.THIRD]
+    centres = sized(rows.groupBy("symbol").agg(means(thirds, lambda j, i: num(j - 1 if i == 0 else 0)).alias("centres")))
+    a, b, c = _nearest(names)
+    cluster = F.when((a <= b) & (a <= c), 0).when(b <= c, 1).otherwise(2)
+    for _ in range(rounds):
+        dealt = join_same(rows, centres, ["symbol"]).withColumn("cluster_id", cluster)
+        old = lambda j, i: F.max(F.get(F.get("centres", F.lit(j)), F.lit(i)))  # noqa: E731 - the same in all rows
+        moved = sized(dealt.groupBy("symbol").agg(
+            means([F.col("cluster_id") == k for k in range(3)], old).alias("centres"), F.max("centres").alias("_old")))
+        centres = moved.drop("_old")
+        if moved.where("centres <> _old").isEmpty():
+            break
+    dealt = join_same(rows, centres, ["symbol"]).withColumn("cluster_id", cluster)
+    near = dealt.withColumn("confidence", 1 / (1 + F.sqrt(F.least(a, b, c))))
+    return _rank_by_return(near, "cluster_id").select("symbol", "ts", "regime", "confidence", "cluster_id")
+
+
+def regime_hidden(bars: DataFrame, rounds: int = 10, block: int = hidden.BLOCK, linked: bool = True, **series) -> DataFrame:
+    """Three hidden states with transitions over (return, volatility) of each symbol, named by their mean return.
+
+    The state is that of the most likely path; confidence is its smoothed probability. Symbols with fewer than 20 rows are left out.
+    """
+    rows = regime_features(bars, **series).select("symbol", "ts", "ret", "volatility_20")
+    found = hidden.hidden_states(materialise(rows, "features"), "ret", "volatility_20", rounds, block=block, linked=linked)
+    found = materialise(found.select("symbol", "ts", "ret", F.col("state").alias("state_id"), F.col("probability").alias("confidence")), "states")
+    return _rank_by_return(found, "state_id").select("symbol", "ts", "regime", "confidence", "state_id")
+
+
+def regime_mixture(bars: DataFrame, **options) -> DataFrame:
+    """``regime_hidden`` without transitions: each row for itself; confidence is the posterior."""
+    return regime_hidden(bars, linked=False, **options)
 
 
 def regime_vote(base: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
@@ -127,17 +155,17 @@ def regime_vote(base: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def regime(bars: DataFrame, method: str = "ensemble", seed: int = 42) -> DataFrame:
+def regime(bars: DataFrame, method: str = "ensemble") -> DataFrame:
     if method == "technical":
         return regime_rules(bars)
     if method == "kmeans":
-        return regime_kmeans(bars, seed)
+        return regime_kmeans(bars)
+    if method == "hidden":
+        return regime_hidden(bars)
     if method == "mixture":
-        return regime_mixture(bars, seed)
+        return regime_mixture(bars)
     if method == "ensemble":
-        return regime_vote(
-            regime_rules(bars), {"kmeans": regime_kmeans(bars, seed), "mixture": regime_mixture(bars, seed)}
-        )
+        return regime_vote(regime_rules(bars), {"kmeans": regime_kmeans(bars), "hidden": regime_hidden(bars)})
     raise ValueError(f"unknown method: {method}")
 
 

@@ -57,9 +57,8 @@ def momentum(x: Column, n: int, w: WindowSpec) -> Column:
     return F.coalesce(div(x - before, F.abs(before)), num(0))
 
 
-def ratio_score(x: Column, n: int, w: WindowSpec) -> Column:
-    """x against the mean of the up to n - 1 rows before it, on 0-100; 50 if there are none."""
-    mean = F.avg(x).over(w.rowsBetween(-(n - 1), -1))
+def ratio_points(x: Column, mean: Column) -> Column:
+    """x against a mean, on 0-100; 50 without a mean."""
     r = div(x, mean)
     score = (
         F.when(r < 0.5, num(0)).when(r > 2.0, num(100)).otherwise((r - 0.5) / 1.5 * 100.0)
@@ -67,12 +66,22 @@ def ratio_score(x: Column, n: int, w: WindowSpec) -> Column:
     return F.when(r.isNull(), num(50)).otherwise(score)
 
 
+def cv_points(spread: Column, mean: Column, count: Column) -> Column:
+    """Coefficient of variation on 100-0 (5 % and more is 0); 50 below 5 values."""
+    cv = div(spread, mean)
+    score = F.when(cv >= 0.05, num(0)).otherwise((1 - cv / 0.05) * 100.0)
+    return F.when((count < 5) | cv.isNull(), num(50)).otherwise(score)
+
+
+def ratio_score(x: Column, n: int, w: WindowSpec) -> Column:
+    """x against the mean of the up to n - 1 rows before it, on 0-100; 50 if there are none."""
+    return ratio_points(x, F.avg(x).over(w.rowsBetween(-(n - 1), -1)))
+
+
 def cv_score(x: Column, n: int, w: WindowSpec) -> Column:
     """Coefficient of variation of the up to n last rows on 100-0 (5 % and more is 0); 50 below 5 rows."""
     f = back(w, n)
-    cv = div(F.stddev_pop(x).over(f), F.avg(x).over(f))
-    score = F.when(cv >= 0.05, num(0)).otherwise((1 - cv / 0.05) * 100.0)
-    return F.when((F.count(x).over(f) < 5) | cv.isNull(), num(50)).otherwise(score)
+    return cv_points(F.stddev_pop(x).over(f), F.avg(x).over(f), F.count(x).over(f))
 
 
 def geometric(x: Column, at: Column, rn: Column, span: int, w: WindowSpec) -> Column:

@@ -389,17 +389,22 @@ SQL_STREAM_SIGNALS = with_(*STREAM_CTES, "x AS (SELECT *, (score + 1) / 2 * 100
 
 
 def q_stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    keyed = _event_stream(spark, sf).select("ts", "user_id", "event_type")
-    return st.drain(st.dedupe_stream(keyed, ["user_id", "event_type"]), "stream-dedupe").select("user_id", "event_type")
+    """One row per key and stretch of copies that are less than two days apart."""
+    events, end = st.closing(_event_stream(spark, sf).select("ts", "user_id", "event_type", "event_id"))
+    out = st.drain(st.dedupe_stream(events, ["user_id", "event_type"], memory="2 days"), "stream-dedupe", end)
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-SQL_STREAM_DEDUPE = "SELECT DISTINCT user_id, event_type FROM events"
+SQL_STREAM_DEDUPE = """
+SELECT ts::TIMESTAMP AS ts, user_id, event_type, event_id FROM events
+QUALIFY coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) > INTERVAL 2 DAY, true)"""
 
 
 def q_stream_fgi(spark: SparkSession, sf: str) -> DataFrame:
-    hours = st.hourly_inputs(_post_stream(spark, sf))
-    landed = spark.readStream.schema(hours.schema).parquet(st.land(hours, "stream-hours"))
-    out = st.drain(st.stream_fgi(landed), "stream-fgi")
+    posts, end = st.closing(_post_stream(spark, sf))
+    hours = st.hourly_inputs(posts)
+    landed, last = st.closing(spark.readStream.schema(hours.schema).parquet(st.land(hours, "stream-hours", end)))
+    out = st.drain(st.stream_fgi(landed), "stream-fgi", last)
     out = out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     return round_columns(out, {c: 6 for c in _INDEX_PARTS})
 
@@ -407,8 +412,7 @@ def q_stream_fgi(spark: SparkSession, sf: str) -> DataFrame:
 _INDEX_PARTS = ["fear_greed_index", "c_sentiment", "c_volume_momentum", "c_volatility", "c_social_volume"]
 SQL_STREAM_FGI = with_(SENTIMENT, """hr AS (
   SELECT event_type AS asset, date_trunc('hour', e.ts)::TIMESTAMP AS ts, avg(score) AS sentiment, count(*)::DOUBLE AS volume,
-    last(value ORDER BY e.ts) AS price FROM events e JOIN sentiment USING (event_id) GROUP BY 1, 2
-  HAVING date_trunc('hour', e.ts)::TIMESTAMP + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events))""", """rt AS (
+    last(value ORDER BY e.ts) AS price FROM events e JOIN sentiment USING (event_id) GROUP BY 1, 2)""", """rt AS (
   SELECT *, volume / nullif(avg(volume) OVER b, 0) AS r, stddev_pop(price) OVER c / nullif(avg(price) OVER c, 0) AS cv,
     count(*) OVER c AS n FROM hr
   WINDOW b AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN 29 PRECEDING AND 1 PRECEDING),

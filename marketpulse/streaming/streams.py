@@ -2,35 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from marketpulse.functions.numeric import clip, div, num, seconds_between
+from marketpulse.functions import frames as fr
+from marketpulse.functions.numeric import clip, div, num, rescale, seconds_between
 from marketpulse.functions.scoring import index_label, to_index
-from marketpulse.operators.fear_greed import HISTORY, WEIGHTS
+from marketpulse.operators.fear_greed import HISTORY, WEIGHTS, combine
 from marketpulse.operators.sentiment import point_weight
 from marketpulse.operators.signals import signals
 from marketpulse.session import scratch_path
+from marketpulse.streaming import ordered
 
 DELAY = "10 minutes"
+#: The time of the row that ends a stream (the last that pandas can hold).
+END = "2262-01-01 00:00:00"
 SOURCES = ("twitter", "reddit", "news")
 
 
-def dedupe_stream(df: DataFrame, key: list[str], ts: str = "ts", delay: str = DELAY, salts: int = 8) -> DataFrame:
-    """The first row of each key within the watermark delay.
+def dedupe_stream(df: DataFrame, key: list[str], ts: str = "ts", memory: str = "1 day", delay: str = DELAY,
+                  every: str = "10 minutes") -> DataFrame:
+    """The rows of each key that no other row of the key came before, at most ``memory`` earlier in event time.
 
-    Copies of one key are first thinned out per salt, so a key with very many copies
-    is spread over ``salts`` tasks before the last step sees it. State expires with the
-    watermark.
+    Copies keep a key alive: of copies each within ``memory`` of the one before, only the earliest stays, with all its columns (of rows
+    equal in time the lowest). The result follows from event times alone, not from how rows fall into batches; only
+    rows that come more than ``delay`` late are lost. First each key's rows of ``every`` (not longer than ``memory``)
+    are combined, partly before the shuffle, so a key with very many copies is no hot key; then a value state
+    holds when the key was last seen, until an event-time timer clears it. Rows come out once their ``every`` is over.
     """
-    salt = F.pmod(F.xxhash64(F.col(ts)), F.lit(salts))
-    thin = df.withColumn("_salt", salt).withWatermark(ts, delay).dropDuplicatesWithinWatermark([*key, "_salt"])
-    return thin.dropDuplicatesWithinWatermark(key).drop("_salt")
+    rest = [c for c in df.columns if c not in key and c != ts]
+    parts = df.withWatermark(ts, delay).groupBy(F.window(ts, every).alias("_window"), *key).agg(
+        F.min(F.struct(ts, *rest)).alias("_row"), F.max(ts).alias("_until"))
+    timed = parts.select(F.window_time("_window").alias("_at"), *key, F.unix_micros(F.col(f"_row.{ts}")).alias("_from"), F.unix_micros("_until").alias("_until"), "_row")
+    out = StructType([timed.schema[c] for c in (*key, "_row")])
+    micros = int(df.sparkSession.range(1).selectExpr(f"unix_micros(timestamp_micros(0) + interval {memory})").first()[0])
+    first = timed.groupBy(*key).transformWithState(ordered.FirstSeen(out.names, micros), out, "Append", "EventTime")
+    return first.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 def stream_sentiment(posts: DataFrame, size: str = "1 hour", slide: str = "30 minutes", delay: str = DELAY,
@@ -79,65 +90,43 @@ def hourly_inputs(posts: DataFrame, size: str = "1 hour", delay: str = DELAY) ->
     return out.select("asset", F.col("w.start").cast("timestamp").alias("ts"), "sentiment", "volume", "price", "mentions")
 
 
-INDEX_ROW = ("asset string, ts timestamp, c_sentiment double, c_volume_momentum double, c_volatility double, "
-             "c_social_volume double")
-INDEX_STATE = "volumes array<double>, prices array<double>, mentions array<double>"
-
-
-def _index_step(history: int) -> Callable:
-    """State per asset: the last ``history`` volumes, prices and mentions. Local, so executors need no package."""
-    def ratio(values: list[float]) -> float:
-        past = values[:-1]
-        mean = sum(past) / len(past) if past else 0.0
-        if mean == 0:
-            return 50.0
-        r = values[-1] / mean
-        return 0.0 if r < 0.5 else 100.0 if r > 2 else (r - 0.5) / 1.5 * 100
-
-    def calm(values: list[float]) -> float:
-        mean = sum(values) / len(values)
-        if len(values) < 5 or mean == 0:
-            return 50.0
-        cv = (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5 / mean
-        return 0.0 if cv >= 0.05 else (1 - cv / 0.05) * 100
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        volumes, prices, mentions = ([list(x) for x in state.get] if state.exists else [[], [], []])
-        rows = []
-        for r in pd.concat(list(parts)).sort_values("ts").itertuples():
-            volumes, prices, mentions = (
-                (seen + [float(v)])[-history:] for seen, v in
-                ((volumes, r.volume), (prices, r.price), (mentions, r.mentions)))
-            mood = (min(max(r.sentiment, -1.0), 1.0) + 1) / 2 * 100
-            rows.append((key[0], r.ts, mood, ratio(volumes), calm(prices), ratio(mentions)))
-        state.update((volumes, prices, mentions))
-        yield pd.DataFrame(rows, columns=["asset", "ts", "c_sentiment", "c_volume_momentum", "c_volatility",
-                                          "c_social_volume"])
-    return step
-
-
-def stream_fgi(inputs: DataFrame, weights: dict[str, float] | None = None, history: int = HISTORY) -> DataFrame:
+def stream_fgi(inputs: DataFrame, weights: dict[str, float] | None = None, history: int = HISTORY, delay: str = DELAY) -> DataFrame:
     """Running fear/greed index per asset over rows (asset, ts, sentiment, volume, price, mentions).
 
-    The rows are the closed windows that ``hourly_inputs`` landed, one per asset and
-    window, so a batch brings few rows per asset however many posts there are. Rows of a
-    batch are sorted inside the state.
+    The rows are the closed windows of ``hourly_inputs``, one per asset and window, so a batch brings few rows per asset
+    however many posts there are. A list state holds rows until the watermark has passed them, and timers release them in
+    the order of event times, whatever batch they came in; the last ``history`` values of each asset are state too. The scores are the column
+    expressions of the batch index.
     """
-    parts = inputs.groupBy("asset").applyInPandasWithState(
-        _index_step(history), INDEX_ROW, INDEX_STATE, "append", GroupStateTimeout.NoTimeout)
-    w = {**WEIGHTS, **(weights or {})}
-    whole = sum(w.values())
-    index = (
-        F.col("c_sentiment") * w["sentiment"] + F.col("c_volume_momentum") * w["volume_momentum"]
-        + F.col("c_volatility") * w["volatility"] + F.col("c_social_volume") * w["social_volume"]
-        + num(50) * (w["dominance"] + w["trends"])
-    ) / whole
-    out = parts.withColumn("fear_greed_index", clip(index, 0, 100))
+    held = inputs.withWatermark("ts", delay).select("asset", "ts", "sentiment", *[F.col(c).cast("double").alias(c) for c in ordered.SERIES])
+    kept = held.groupBy("asset").transformWithStateInPandas(
+        ordered.History(history), ordered.History.ROW, "Append", "EventTime")
+
+    def mean(values: Column) -> Column:
+        return div(F.aggregate(values, num(0), lambda a, v: a + v), F.size(values))
+
+    def ratio(name: str) -> Column:
+        return fr.ratio_points(F.element_at(name, -1), mean(F.slice(name, 1, F.greatest(F.size(name) - 1, F.lit(0)))))
+    gaps = F.transform("price", lambda v: (v - F.col("_price")) * (v - F.col("_price")))
+    d = kept.withColumn("_price", mean(F.col("price"))).withColumns({
+        "c_sentiment": rescale(F.col("sentiment")), "c_volume_momentum": ratio("volume"), "c_social_volume": ratio("mentions"),
+        "c_volatility": fr.cv_points(F.sqrt(mean(gaps)), F.col("_price"), F.size("price")),
+        "c_dominance": num(50), "c_trends": num(50),
+    })
+    index = combine({k: F.col(f"c_{k}") for k in WEIGHTS}, {**WEIGHTS, **(weights or {})})
+    out = d.select("asset", "ts", "c_sentiment", "c_volume_momentum", "c_volatility", "c_social_volume", index.alias("fear_greed_index"))
     return out.withColumn("label", index_label(F.col("fear_greed_index")))
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def write_stream(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Append to parquet; ``every`` is the micro-batch interval, without it all there is is read once."""
+    """Append to parquet; ``every`` is the micro-batch interval, without it all there is is read once.
+
+    State lives in RocksDB, which timers and list states need.
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     writer = writer.outputMode("append")
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -157,13 +146,31 @@ def append_history(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def land(df: DataFrame, name: str) -> str:
-    """Run a stream over all there is into a new parquet folder and return its path."""
+def closing(df: DataFrame, ts: str = "ts") -> tuple[DataFrame, Callable[[], None]]:
+    """The stream with a way to end it: calling the second part tells every window and timer that no row will follow.
+
+    The end is a row with a time beyond all others, in a folder that is read beside the stream; its own window never closes,
+    so it never comes out. Between two runs of a feed, or when it has been idle for good, this releases what the watermark holds back.
+    """
+    spark = df.sparkSession
+    folder = scratch_path(spark, "end")
+    row = spark.range(1).select(*[
+        (F.lit(END) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    row.limit(0).write.parquet(folder)
+    ends = spark.readStream.schema(df.schema).parquet(folder)
+    return df.unionByName(ends), lambda: row.write.mode("append").parquet(folder)
+
+
+def land(df: DataFrame, name: str, end: Callable[[], None] | None = None) -> str:
+    """Run a stream over all there is into a new parquet folder and return its path; with ``end`` it is ended and run again."""
     path = scratch_path(df.sparkSession, name)
     write_stream(df, f"{path}/data", f"{path}/checkpoint").awaitTermination()
+    if end is not None:
+        end()
+        write_stream(df, f"{path}/data", f"{path}/checkpoint").awaitTermination()
     return f"{path}/data"
 
 
-def drain(df: DataFrame, name: str) -> DataFrame:
+def drain(df: DataFrame, name: str, end: Callable[[], None] | None = None) -> DataFrame:
     """The landed result of a stream as a table."""
-    return df.sparkSession.read.schema(df.schema).parquet(land(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(land(df, name, end))

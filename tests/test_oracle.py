@@ -32,6 +32,6 @@ def test_entry_has_rows(spark):
 def test_unchecked_queries_are_few():
     free = set(catalog.queries()) - set(catalog.oracle_sql())
     assert free == {
-        "regime_kmeans", "regime_mixture", "regime_vote", "mentions", "mention_summary", "tag_text", "cross_market",
+        "mentions", "mention_summary", "tag_text", "cross_market",
         "forecast", "text_classifier",
     }

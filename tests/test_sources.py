@@ -5,6 +5,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from marketpulse import schemas
@@ -14,6 +15,7 @@ from marketpulse.sources import bars as ba
 from marketpulse.sources import feeds as fe
 from marketpulse.sources import metrics as me
 from marketpulse.sources import results as re_
+from marketpulse.streaming import ordered
 from marketpulse.streaming import streams as st
 
 T0 = dt.datetime(2024, 1, 1)
@@ -162,12 +164,56 @@ def _feed(spark, folder, batches):
     return spark.readStream.schema("ts timestamp, key string").option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def test_duplicates_over_batches(spark):
+@pytest.mark.parametrize("split", [[8], [2, 1, 5]])
+def test_duplicates_do_not_depend_on_batches(spark, split):
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     folder = scratch_path(spark, "feed")
     at = lambda m: T0 + dt.timedelta(minutes=m)
-    stream = _feed(spark, folder, [[(at(0), "a"), (at(1), "a"), (at(2), "b")], [(at(3), "a"), (at(4), "c")]])
-    got = st.drain(st.dedupe_stream(stream, ["key"]), "dedupe")
-    assert sorted(r["key"] for r in got.collect()) == ["a", "b", "c"]
+    rows = [(at(60 * h), "a") for h in range(8)]
+    batches = [rows[sum(split[:i]) : sum(split[: i + 1])] for i in range(len(split))]
+    batches[-1] += [(at(400), "b"), (at(395), "b"), (at(418), None), (at(419), None)]
+    stream, end = st.closing(_feed(spark, folder, batches))
+    out = st.drain(st.dedupe_stream(stream, ["key"], memory="2 hours"), "dedupe", end)
+    spark.conf.set("spark.sql.shuffle.partitions", few)
+    assert sorted(((r["key"], r["ts"]) for r in out.collect()), key=str) == [("a", at(0)), ("b", at(395)), (None, at(418))]
+
+
+def test_first_seen_forgets():
+    class Handle:
+        def __init__(self):
+            self.timers, self.value = [], None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    handle, first = Handle(), ordered.FirstSeen(["k"], 5000)
+    first.init(handle)
+    rows = lambda *spans: [Row(k="a", _from=a, _until=b) for a, b in spans]
+    assert len(list(first.handleInputRows(("a",), rows((3000, 9000), (0, 1000)), handle))) == 1
+    assert handle.value == (9000,) and handle.timers == [15]
+    assert len(list(first.handleInputRows(("a",), rows((14000, 16000), (21001, 22000)), handle))) == 1
+    handle.now = 15
+    first.handleExpiredTimer(("a",), handle, None)
+    assert handle.value == (22000,) and handle.timers == [15, 28]
+    handle.now = 28
+    first.handleExpiredTimer(("a",), handle, None)
+    assert handle.value is None
 
 
 def test_late_rows_are_dropped(spark):

@@ -1,4 +1,4 @@
-"""Models on Spark ML, and hooks for models of the user."""
+"""Forecasts, text classifiers on Spark ML, and hooks for models of the user."""
 
 from __future__ import annotations
 
@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import HashingTF, IDF, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
@@ -18,11 +17,12 @@ from marketpulse.functions import frames as fr
 from marketpulse.functions.numeric import div, num
 from marketpulse.functions.scoring import label
 from marketpulse.functions.text import clean_post, tokens
+from marketpulse.operators import gram
 from marketpulse.operators import indicators as ind
 from marketpulse.operators.joins import with_sentiment
-from marketpulse.operators.series import over_series
+from marketpulse.operators.series import join_same, over_series
 from marketpulse.operators.timeframes import rolling_time_mean
-from marketpulse.session import materialise
+from marketpulse.session import materialise, sized
 
 FEATURES = ("sentiment_1h", "sentiment_4h", "sentiment_24h", "returns_1h", "returns_4h", "returns_24h",
             "volatility_24h", "volume_ratio", "rsi_14", "macd", "macd_signal", "bb_position")
@@ -54,25 +54,29 @@ def price_features(bars: DataFrame, sent: DataFrame | None = None, **series) ->
     return ind.ffill_zero(d, FEATURES)
 
 
-def fit_forecast(features: DataFrame, horizon: int, **series):
-    """Linear regression of the percent change ``horizon`` bars ahead on the features."""
-    def ahead(d, w):
-        return d.withColumn("target", (div(F.lead("close", horizon).over(w), F.col("close")) - 1) * 100)
-    rows = over_series(features, ahead, 0, horizon, **series).where(F.col("target").isNotNull())
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    model = LinearRegression(featuresCol="features", labelCol="target", predictionCol="predicted_change",
-                             standardization=True, regParam=0.01)
-    return Pipeline(stages=[assembler, model]).fit(materialise(rows, "train"))
-
+def forecast(features: DataFrame, horizons=HORIZONS, ridge: float = 0.01, least: int = 50, **series) -> DataFrame:
+    """Predicted change (percent), price and confidence 1 - min(abs(change) / 10, 0.5) per bar and horizon (in bars).
 
-def forecast(model, features: DataFrame, horizon: int) -> DataFrame:
-    """Predicted change (percent), price and confidence 1 - min(abs(change) / 10, 0.5) per bar."""
-    d = model.transform(features)
+    Each symbol and horizon has linear regressions of its own, refitted every day on all bars whose change was known before that
+    day: no bar is predicted by a fit that has seen its own or a later outcome. Sums of products of all bars are made by
+    one aggregate. Days with fewer than ``least`` known bars before them have no forecast.
+    """
+    def ahead(d, w):
+        return d.withColumn("_ahead", F.array(*[
+            F.struct(F.lit(h).alias("horizon"), ((div(F.lead("close", h).over(w), F.col("close")) - 1) * 100).alias("target"),
+                     F.to_date(F.lead("ts", h).over(w)).alias("day")) for h in horizons]))
+    rows = over_series(features, ahead, 0, max(horizons), **series)
+    rows = materialise(rows.select("symbol", "ts", "close", *FEATURES, F.explode("_ahead").alias("_a")).select(
+        "symbol", "ts", "close", *FEATURES, "_a.*", F.to_date("ts").alias("own_day")), "ahead")
+    asked = rows.select("symbol", "horizon", F.col("own_day").alias("day")).distinct()
+    fits = sized(gram.running_fits(rows.where("day IS NOT NULL"), asked, FEATURES, "target", ("symbol", "horizon"), "day", ridge, least))
+    d = join_same(rows.drop("day").withColumnRenamed("own_day", "day"), fits, ["symbol", "horizon", "day"])
+    d = d.withColumn("predicted_change", gram.fitted(FEATURES))
     change = F.col("predicted_change")
     return d.select(
-        "symbol", "ts", F.lit(f"{horizon}h").alias("prediction_horizon"), F.col("close").alias("current_price"),
+        "symbol", "ts", F.concat(F.col("horizon").cast("string"), F.lit("h")).alias("prediction_horizon"), F.col("close").alias("current_price"),
         change, (F.col("close") * (1 + change / 100)).alias("predicted_price"),
-        (1 - F.least(F.abs(change) / 10, num(0.5))).alias("confidence"),
+        (1 - F.least(F.abs(change) / 10, num(0.5))).alias("confidence"), F.col("n").alias("fitted_on"),
     )
 
 

@@ -233,7 +233,7 @@ _ROLL = ", ".join(
     f"sum(s) OVER (PARTITION BY symbol ORDER BY t RANGE BETWEEN {h * 3600000000 - 1} PRECEDING AND CURRENT ROW) / "
     f"sum(1) OVER (PARTITION BY symbol ORDER BY t RANGE BETWEEN {h * 3600000000 - 1} PRECEDING AND CURRENT ROW) AS sentiment_{h}h"
     for h in (1, 4, 24))
-SQL_PRICE_FEATURES = "WITH RECURSIVE " + ",\n".join([HOURLY, SENTIMENT, SENT_HOURLY, f"""sr AS (
+FEATURE_CTES = [HOURLY, SENTIMENT, SENT_HOURLY, f"""sr AS (
   SELECT symbol, ts, {_ROLL} FROM (SELECT symbol, ts, epoch_us(ts) AS t, sentiment AS s FROM sent_hourly))""", f"""p1 AS (
   SELECT *, close / nullif({lag('close')}, 0) - 1 AS returns_1h, close / nullif({lag('close', 4)}, 0) - 1 AS returns_4h,
     close / nullif({lag('close', 24)}, 0) - 1 AS returns_24h, {strict('avg', 'volume', 24)} AS av, close - {lag('close')} AS mv,
@@ -255,17 +255,61 @@ SQL_PRICE_FEATURES = "WITH RECURSIVE " + ",\n".join([HOURLY, SENTIMENT, SENT_HOU
       THEN 1 ELSE (mid + 2 * dev) - (mid - 2 * dev) END, 0), 1) END AS bb_position, sentiment_1h, sentiment_4h, sentiment_24h
   FROM p2 JOIN mc USING (symbol, ts) LEFT JOIN sr USING (symbol, ts))""", "p4 AS (SELECT symbol, ts, " + ", ".join(
     f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS {c}"
-    for c in mo.FEATURES) + " FROM p3)"]) + f"""
+    for c in mo.FEATURES) + " FROM p3)"]
+SQL_PRICE_FEATURES = "WITH RECURSIVE " + ",\n".join(FEATURE_CTES) + f"""
 SELECT symbol, ts, {', '.join(rnd(c, _digits(c)) for c in mo.FEATURES)} FROM p4"""
 
 
 def q_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    features = materialise(_features(spark, sf), "features")
-    out = None
-    for h in mo.HORIZONS:
-        one = mo.forecast(mo.fit_forecast(features, h), features, h)
-        out = one if out is None else out.unionByName(one)
-    return out
+    out = mo.forecast(_features(spark, sf)).drop("current_price")
+    return round_columns(out, {"predicted_change": 3, "predicted_price": 2, "confidence": 4})
+
+
+def _solve_ctes(first: str, width: int) -> list[str]:
+    """Gauss-Jordan steps on columns a<row>_<column> of ``first``, a linear system per row; the last column is the right side."""
+    name, ctes = first, []
+    for k in range(width):
+        later = [*range(k + 1, width + 1)]
+        cells = ", ".join([f"a{i}_{i}" for i in range(k + 1)] + [f"a{k}_{j}" for j in later] + [
+            f"a{i}_{j} - a{i}_{k} / a{k}_{k} * a{k}_{j} AS a{i}_{j}" for i in range(width) if i != k for j in later])
+        ctes.append(f"{first}{k} AS MATERIALIZED (SELECT symbol, horizon, day, n, {cells}, " + ", ".join(
+            f"m{i}, d{i}" for i in range(width)) + f", my FROM {name})")
+        name = f"{first}{k}"
+    return ctes
+
+
+def _forecast_sql() -> str:
+    x, width = mo.FEATURES, len(mo.FEATURES)
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+    parts = ["count(y) AS n", "sum(y) AS sy", *[f"sum({c}) FILTER (y IS NOT NULL) AS s{i}" for i, c in enumerate(x)],
+             *[f"sum({x[i]} * {x[j]}) FILTER (y IS NOT NULL) AS p{i}_{j}" for i, j in pairs], *[f"sum({c} * y) AS q{i}" for i, c in enumerate(x)]]
+    names = [p.rsplit(" ", 1)[1] for p in parts]
+    cov = {(i, j): f"(p{i}_{j} / n - s{i} / n * (s{j} / n))" for i, j in pairs}
+    cells = ", ".join(f"{cov[min(i, j), max(i, j)]} / d{i} / d{j} + {0.01 if i == j else 0} AS a{i}_{j}" for i in range(width) for j in range(width))
+    ctes = [*FEATURE_CTES, "fa AS (SELECT p4.*, close FROM p4 JOIN hourly USING (symbol, ts))", "fh AS MATERIALIZED (" + " UNION ALL ".join(
+        f"SELECT *, {h} AS horizon, (lead(close, {h}) OVER w / close - 1) * 100 AS y, (lead(ts, {h}) OVER w)::DATE AS known FROM fa "
+        "WINDOW w AS (PARTITION BY symbol ORDER BY ts)" for h in mo.HORIZONS) + ")",
+        "fu AS (SELECT symbol, horizon, known AS day, y, " + ", ".join(x) + " FROM fh WHERE known IS NOT NULL UNION ALL "
+        "SELECT DISTINCT symbol, horizon, ts::DATE, NULL::DOUBLE, " + ", ".join("0.0::DOUBLE" for _ in x) + " FROM fh)",
+        f"fg AS (SELECT symbol, horizon, day, {', '.join(parts)} FROM fu GROUP BY 1, 2, 3)",
+        "fc AS (SELECT symbol, horizon, day, " + ", ".join(f"sum({c}) OVER w AS {c}" for c in names)
+        + " FROM fg WINDOW w AS (PARTITION BY symbol, horizon ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+        "fd AS MATERIALIZED (SELECT *, " + ", ".join(
+            f"CASE WHEN {cov[i, i]} > 1e-12 * (p{i}_{i} / n) THEN sqrt({cov[i, i]}) ELSE 'inf'::DOUBLE END AS d{i}" for i in range(width))
+        + " FROM fc WHERE n >= 50)",
+        f"fm AS MATERIALIZED (SELECT symbol, horizon, day, n, {cells}, " + ", ".join(
+            f"(q{i} / n - s{i} / n * (sy / n)) / d{i} AS a{i}_{width}, s{i} / n AS m{i}, d{i}" for i in range(width)) + ", sy / n AS my FROM fd)",
+        *_solve_ctes("fm", width)]
+    beta = [f"(a{i}_{width} / a{i}_{i} / d{i})" for i in range(width)]
+    ctes.append("fb AS MATERIALIZED (SELECT symbol, horizon, day, n, my, " + ", ".join(f"{b} AS b{i}, m{i}" for i, b in enumerate(beta)) + f" FROM fm{width - 1})")
+    ctes.append("fp AS (SELECT symbol, ts, horizon || 'h' AS prediction_horizon, close, n::BIGINT AS fitted_on, my + " + " + ".join(
+        f"b{i} * ({c} - m{i})" for i, c in enumerate(x)) + " AS predicted_change FROM fh JOIN fb USING (symbol, horizon) WHERE fb.day = fh.ts::DATE)")
+    return "WITH RECURSIVE " + ",\n".join(ctes) + f"""
+SELECT symbol, ts, prediction_horizon, fitted_on, {rnd("predicted_change", 3)}, {rnd("close * (1 + predicted_change / 100)", 2, "predicted_price")},
+  {rnd("1 - least(abs(predicted_change) / 10, 0.5)", 4, "confidence")} FROM fp"""
+
+
+SQL_FORECAST = _forecast_sql()
 
 
 def q_text_classifier(spark: SparkSession, sf: str) -> DataFrame:
@@ -436,7 +480,7 @@ QUERIES = {
     "execution_slices": (q_execution_slices, SQL_EXECUTION_SLICES),
     "vwap_cost": (q_vwap_cost, SQL_VWAP_COST),
     "price_features": (q_price_features, SQL_PRICE_FEATURES),
-    "forecast": (q_forecast, None),
+    "forecast": (q_forecast, SQL_FORECAST),
     "text_classifier": (q_text_classifier, None),
     "model_scores": (q_model_scores, SQL_MODEL_SCORES),
     "embedding_score": (q_embedding_score, SQL_EMBEDDING_SCORE),

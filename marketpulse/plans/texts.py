@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketpulse.functions import text as tx
 from marketpulse.functions.numeric import num, round_columns
 from marketpulse.operators import lexicon as lex
 from marketpulse.operators import mentions as ment
+from marketpulse.operators import phrases as ph
 from marketpulse.operators import posts as po
 from marketpulse.operators import sentiment as se
 from marketpulse.plans.sqlkit import LEX, POSTS, literal, rnd, with_
@@ -146,6 +147,92 @@ def q_tag_text(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("post_id", F.md5("tagged").alias("tagged_md5"), F.length("tagged").alias("n_chars"))
 
 
+_W = r"[\p{L}\p{N}_]"
+_quoted = lambda words: ", ".join(literal(w) for w in words)
+
+
+def _places(name: str, pattern: str, source: str = "posts") -> str:
+    """A CTE with each match of a pattern and its place (post_id, m, a, b)."""
+    return f"""{name} AS (
+  SELECT post_id, m, a, a + length(m) AS b FROM (
+    SELECT post_id, m, sum(length(g) + coalesce(length(was), 0)) OVER (PARTITION BY post_id ORDER BY i) AS a FROM (
+      SELECT post_id, i, m, g, lag(m) OVER (PARTITION BY post_id ORDER BY i) AS was FROM (
+        SELECT post_id, unnest(regexp_extract_all(text, '{pattern}')) AS m, unnest(string_split_regex(text, '{pattern}')) AS g,
+          generate_subscripts(string_split_regex(text, '{pattern}'), 1) AS i FROM {source}))) WHERE m IS NOT NULL)"""
+
+
+def _map_sql(names: dict[str, str]) -> str:
+    return f"map([{_quoted(names)}], [{_quoted(names.values())}])"
+
+
+_TICKERS = sorted({*ment.STOCKS, *(c.upper() for c in ment.COINS)})
+#: Words are compared one by one; pairs of words stand for the names of two words.
+MENTION_CTES = [POSTS, _places("tok", _W + "+"), """pair AS (
+  SELECT post_id, a, lead(b) OVER w AS b2, lead(a) OVER w AS a2, b, m FROM tok WINDOW w AS (PARTITION BY post_id ORDER BY a))""", f"""run AS (
+  SELECT post_id, a, b, m FROM tok UNION ALL
+  SELECT post_id, a, b2, substr(text, a::BIGINT + 1, (b2 - a)::BIGINT) FROM pair JOIN posts USING (post_id) WHERE a2 = b + 1)""", f"""hit AS (
+  SELECT * FROM run WHERE lower(m) IN ({_quoted(sorted({w.lower() for w in [*ment.COIN_PATTERN, *ment.EXCHANGES, *ment.TERMS]}))}))""", """named AS (
+  SELECT * FROM hit h WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.post_id = h.post_id AND o.a <= h.a AND o.b >= h.b AND o.b - o.a > h.b - h.a))""",
+    _places("chunk", r"\S+"), _places("amount", r"\$\s?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?(?:\s?[KMBTkmbt]\b)?"),
+    _places("pct", r"[+-]?[0-9]+(?:\.[0-9]+)?%"), rf"""found AS (
+  SELECT post_id, t.m AS text, 'ticker' AS type, t.a - 1 AS a, t.b, 0.95::DOUBLE AS confidence, NULL::DOUBLE AS value,
+    '{{"symbol":"' || t.m || '"' || coalesce(',"company":"' || {_map_sql(ment.STOCKS)}[t.m] || '"', '') || '}}' AS attrs
+  FROM tok t JOIN posts USING (post_id) WHERE t.a > 0 AND substr(posts.text, t.a::BIGINT, 1) = '$' AND length(t.m) BETWEEN 2 AND 5 AND t.m IN ({_quoted(_TICKERS)})
+  UNION ALL SELECT post_id, s, 'ticker', a, b, 0.85, NULL, '{{"symbol":"' || s || '","company":"' || {_map_sql(ment.STOCKS)}[s] || '"}}' FROM (
+    SELECT *, regexp_extract(m, '^[^\p{{L}}\p{{N}}_]*({_W}+)[^\p{{L}}\p{{N}}_]*$', 1) AS s FROM chunk) WHERE length(s) >= 2 AND s IN ({_quoted(ment.STOCKS)})
+  UNION ALL SELECT post_id, CASE WHEN kind = 'crypto' THEN m WHEN kind = 'exchange' THEN upper(l[1]) || substr(l, 2) ELSE l END, kind, a, b,
+    CASE kind WHEN 'crypto' THEN 0.9 WHEN 'exchange' THEN 0.85 ELSE 0.7 END, NULL,
+    CASE kind WHEN 'crypto' THEN '{{"crypto":"' || {_map_sql(ment.COINS)}[l] || '","symbol":"' || upper(m) || '"}}'
+      WHEN 'exchange' THEN '{{"exchange":"' || l || '"}}' ELSE '{{"term":"' || l || '"}}' END FROM (
+    SELECT *, lower(m) AS l, CASE WHEN lower(m) IN ({_quoted(c.lower() for c in ment.COIN_PATTERN)}) THEN 'crypto'
+      WHEN lower(m) IN ({_quoted(ment.EXCHANGES)}) THEN 'exchange' ELSE 'financial_term' END AS kind FROM named)
+  UNION ALL SELECT post_id, m, 'number', a, b, 0.95, regexp_replace(m, '[^0-9.]', '', 'g')::DOUBLE * CASE upper(m[-1])
+      WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'B' THEN 1e9 WHEN 'T' THEN 1e12 ELSE 1 END, '{{"formatted":"' || m || '"}}' FROM amount
+  UNION ALL SELECT post_id, m, 'percentage', a, b, 0.95, v, '{{"direction":"' || CASE WHEN v > 0 THEN 'up' WHEN v < 0 THEN 'down' ELSE 'neutral' END || '"}}'
+  FROM (SELECT *, regexp_replace(m, '[%+]', '', 'g')::DOUBLE AS v FROM pct))""", """ranked AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY a, confidence DESC) AS i FROM found)""", """fold AS (
+  SELECT post_id, i, b AS reach, true AS kept FROM ranked WHERE i = 1 UNION ALL
+  SELECT r.post_id, r.i, CASE WHEN r.a >= f.reach THEN r.b ELSE f.reach END, r.a >= f.reach FROM fold f JOIN ranked r
+    ON r.post_id = f.post_id AND r.i = f.i + 1)""", """kept AS MATERIALIZED (
+  SELECT r.* FROM ranked r JOIN fold USING (post_id, i) WHERE fold.kept)"""]
+_mention_with = lambda *more: with_(*MENTION_CTES, *more).replace("WITH ", "WITH RECURSIVE ", 1)
+SQL_MENTIONS = _mention_with() + f"""
+SELECT post_id, type, text, a::INT AS "start", b::INT AS "end", confidence, {rnd('value', 4)}, attrs FROM kept"""
+SQL_MENTION_SUMMARY = _mention_with() + """
+SELECT post_id, type, array_to_string(list_sort(list(DISTINCT text)), '|') AS texts FROM kept GROUP BY 1, 2"""
+SQL_TAG_TEXT = _mention_with("""piece AS (
+  SELECT k.post_id, k.a, substr(p.text, coalesce(lag(b) OVER w, 0)::BIGINT + 1, (a - coalesce(lag(b) OVER w, 0))::BIGINT)
+    || '<' || upper(type) || '>' || k.text || '</' || upper(type) || '>' AS s
+  FROM kept k JOIN posts p USING (post_id) WINDOW w AS (PARTITION BY k.post_id ORDER BY a))""", """joined AS (
+  SELECT p.post_id, coalesce(any_value(q.s), '') || substr(p.text, coalesce(any_value(q.b), 0)::BIGINT + 1) AS tagged
+  FROM posts p LEFT JOIN (SELECT post_id, string_agg(piece.s, '' ORDER BY piece.a) AS s, max(kept.b) AS b FROM piece JOIN kept USING (post_id, a) GROUP BY 1) q
+  USING (post_id) GROUP BY p.post_id, p.text)""") + "SELECT post_id, md5(tagged) AS tagged_md5, length(tagged)::INT AS n_chars FROM joined"
+
+
+def q_phrase_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of two and three words of the benchmark texts, wherever a post holds them."""
+    words = F.split("text", " ")
+
+    def runs(n: int) -> Column:
+        firsts = F.slice(words, 1, F.greatest(F.size(words) - n + 1, F.lit(0)))
+        return F.transform(firsts, lambda w, i: F.array_join(F.slice(words, i + 1, n), " "))
+    names = src.table(spark, sf, "benchmark").select(F.explode(F.concat(runs(2), runs(3))).alias("name"))
+    return ph.phrase_mentions(src.posts(spark, sf), names)
+
+
+SQL_PHRASE_MENTIONS = with_(POSTS, "bw AS (SELECT string_split(text, ' ') AS w FROM benchmark)", """nm AS (
+  SELECT DISTINCT lower(trim(array_to_string(w[i:i + k], ' '))) AS name FROM bw, range(1, 1000) r(i), range(1, 3) s(k) WHERE i + k <= len(w))""",
+    f"nw AS (SELECT name FROM nm WHERE regexp_matches(name, '{_W}'))", _places("tok", _W + "+"), """win AS (
+  SELECT post_id, a, unnest([b, lead(b) OVER w, lead(b, 2) OVER w, lead(b, 3) OVER w, lead(b, 4) OVER w, lead(b, 5) OVER w, lead(b, 6) OVER w,
+    lead(b, 7) OVER w, lead(b, 8) OVER w, lead(b, 9) OVER w, lead(b, 10) OVER w, lead(b, 11) OVER w]) AS b FROM tok WINDOW w AS (PARTITION BY post_id ORDER BY a))""", """hit AS (
+  SELECT post_id, a, b, name FROM win JOIN posts USING (post_id) JOIN nw ON name = lower(substr(text, a::BIGINT + 1, (b - a)::BIGINT)) WHERE b IS NOT NULL)""", """ranked AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY a, b DESC) AS i FROM hit)""", """fold AS (
+  SELECT post_id, i, b AS reach, true AS kept FROM ranked WHERE i = 1 UNION ALL
+  SELECT r.post_id, r.i, CASE WHEN r.a >= f.reach THEN r.b ELSE f.reach END, r.a >= f.reach FROM fold f JOIN ranked r
+    ON r.post_id = f.post_id AND r.i = f.i + 1)""").replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT post_id, name, a::INT AS "start", b::INT AS "end" FROM ranked JOIN fold USING (post_id, i) WHERE kept"""
+
+
 def q_mention_counts(spark: SparkSession, sf: str) -> DataFrame:
     found = ment.mentions(src.posts(spark, sf))
     return found.where(F.col("type").isin("percentage", "number")).groupBy("post_id").agg(
@@ -466,10 +553,11 @@ QUERIES = {
     "clean_basic": (q_clean_basic, SQL_CLEAN_BASIC),
     "route_asset": (q_route_asset, SQL_ROUTE_ASSET),
     "dedupe_posts": (q_dedupe_posts, SQL_DEDUPE_POSTS),
-    "mentions": (q_mentions, None),
-    "mention_summary": (q_mention_summary, None),
+    "mentions": (q_mentions, SQL_MENTIONS),
+    "mention_summary": (q_mention_summary, SQL_MENTION_SUMMARY),
+    "phrase_mentions": (q_phrase_mentions, SQL_PHRASE_MENTIONS),
     "mention_counts": (q_mention_counts, SQL_MENTION_COUNTS),
-    "tag_text": (q_tag_text, None),
+    "tag_text": (q_tag_text, SQL_TAG_TEXT),
     "fear_greed_words": (q_fear_greed_words, SQL_FEAR_GREED_WORDS),
     "lexicon_score": (q_lexicon_score, SQL_LEXICON_SCORE),
     "ensemble_score": (q_ensemble_score, SQL_ENSEMBLE_SCORE),

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketpulse.session import materialise
+from marketpulse.session import materialise, sized
 
 #: White space and words of all contracts.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Files whose numbers are broadcast (some 100 MB).
+FILES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,13 +30,24 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def with_rows(docs: DataFrame, *columns: Column) -> DataFrame:
-    """``columns`` and ``rid``, a number for each row.
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row_id``, a number for each row: that of its file, in the order of paths, and its place in it.
 
-    ``docs`` must be a table read from files: the number follows from the file split, so a lost
-    task gives the same numbers again.
+    Numbers follow from the files alone: another number of executors, another split of the files or a second
+    scan gives the same ones. ``docs`` must be read from Parquet files. The table of files is
+    broadcast up to FILES rows; beyond it the planner chooses.
     """
-    return docs.select(F.monotonically_increasing_id().alias("rid"), *columns)
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    except AnalysisException as error:
+        raise ValueError("rows have no stable place: write the table to Parquet files and read it") from error
+    # One row per file.
+    numbers = sized(placed.select("_file").distinct().select(
+        "_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("long").alias("_number")))
+    if numbers.count() <= FILES:
+        numbers = F.broadcast(numbers)
+    return placed.join(numbers, "_file").select(
+        *[f"`{c}`" for c in docs.columns], (F.shiftleft("_number", 40) + F.col("_index")).alias("_row_id"))
 
 
 def running_totals(rows: DataFrame, size: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

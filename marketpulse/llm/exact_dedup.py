@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketpulse.llm.common import SPACE, partitions, text_of
+from marketpulse.llm.common import SPACE, partitions, text_of, with_rows
 from marketpulse.session import materialise
 
 
@@ -55,8 +55,8 @@ def name_documents(docs: DataFrame, width: int = 16384, hash_bits: int = 64) ->
     shared = keys.where("contents > 1")
     collide = not shared.isEmpty()
 
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", F.char_length(text_of()).alias("chars"), text.alias("plain"))
+    rows = with_rows(docs).select(
+        F.col("_row_id").alias("rid"), "doc_id", F.char_length(text_of()).alias("chars"), text.alias("plain"))
     rows = rows.select("rid", "doc_id", "chars", F.sha2("plain", 256).alias("text_sha256"), blocks_of(F.col("plain"), width).alias("blocks"))
     if not collide:
         rows = materialise(rows.select(
@@ -121,5 +121,5 @@ def exact_groups(docs: DataFrame, width: int = 16384, hash_bits: int = 64) -> Da
 def without_copies(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, with all their columns."""
     gone = exact_groups(docs, **options).where("NOT kept").select(F.col("rid").alias("_rid"))
-    whole = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct("*").alias("_doc"))
+    whole = with_rows(docs).select(F.col("_row_id").alias("_rid"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_doc"))
     return whole.join(gone, "_rid", "left_anti").select("_doc.*")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketpulse.llm.common import WORD, running_totals, text_of
+from marketpulse.llm.common import WORD, running_totals, text_of, with_rows
 from marketpulse.session import materialise
 
 #: Weights of the sources in code point order, repeating.
@@ -92,8 +92,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     table gives no rows. Other columns are ignored. ``docs`` must be a table read from files.
     """
     text = text_of()
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("source").cast("string").alias("source"),
+    rows = with_rows(docs).select(
+        F.col("_row_id").alias("rid"), "doc_id", F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col("doc_id"), text).alias("draw"))
     placed = running_totals(rows, "size", ["draw", "doc_id", "rid"], ["source"])
@@ -120,7 +120,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     takes = mix(docs, **options).where("words > 0 AND 2 * words >= size").select(
         F.col("rid").alias("_rid"), "position", "pass")
-    whole = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct("*").alias("_doc"))
+    whole = with_rows(docs).select(F.col("_row_id").alias("_rid"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_doc"))
     found = whole.join(takes, "_rid")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return found.repartitionByRange(n, "position", "_rid").sortWithinPartitions("position", "_rid").select("_doc.*")

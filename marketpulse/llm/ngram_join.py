@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketpulse.llm.common import components, partitions, text_of
+from marketpulse.llm.common import components, partitions, text_of, with_rows
 from marketpulse.llm.shingles import HASHES, binaries, shingles, signature, sorted_groups, roots, word_hashes
 from marketpulse.session import materialise
 
@@ -26,7 +25,6 @@ TOLERANCE = 1e-4
 BLOCK = 256
 
 
-@lru_cache(64)
 def least_matches(compared: int, threshold: float, tolerance: float) -> int:
     """Fewest equal hashes among ``compared`` with which a pair may still reach ``threshold``.
 
@@ -41,15 +39,20 @@ def least_matches(compared: int, threshold: float, tolerance: float) -> int:
     return compared
 
 
-def survivors(signs: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float):
-    """The pairs that remain when hashes are compared ROUND by ROUND and hopeless pairs are dropped after each."""
+def bounds(threshold: float, tolerance: float) -> list[int]:
+    """``least_matches`` after each round; made on the driver and sent to the tasks."""
+    return [least_matches(h + ROUND, threshold, tolerance) for h in range(0, HASHES, ROUND)]
+
+
+def survivors(signs: np.ndarray, left: np.ndarray, right: np.ndarray, least: list[int]):
+    """The pairs that remain when hashes are compared ROUND by ROUND and pairs with fewer than ``least`` equal ones are dropped after each."""
     keep_left, keep_right = [], []
     for i in range(0, len(left), 100_000):
         a, b = left[i : i + 100_000], right[i : i + 100_000]
         equal = np.zeros(len(a), np.int32)
-        for h in range(0, HASHES, ROUND):
+        for h, fewest in zip(range(0, HASHES, ROUND), least):
             equal += (signs[a, h : h + ROUND] == signs[b, h : h + ROUND]).sum(axis=1)
-            alive = equal >= least_matches(h + ROUND, threshold, tolerance)
+            alive = equal >= fewest
             a, b, equal = a[alive], b[alive], equal[alive]
             if not len(a):
                 break
@@ -58,9 +61,16 @@ def survivors(signs: np.ndarray, left: np.ndarray, right: np.ndarray, threshold:
     return np.concatenate(keep_left), np.concatenate(keep_right)
 
 
-@lru_cache(BLOCK * 2)
+_TRIANGLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _triangle(n: int):
-    return np.triu_indices(n, 1)
+    """All pairs of n rows; kept by each worker for the few sizes that blocks have."""
+    if n not in _TRIANGLES:
+        if len(_TRIANGLES) > 2 * BLOCK:
+            _TRIANGLES.clear()
+        _TRIANGLES[n] = np.triu_indices(n, 1)
+    return _TRIANGLES[n]
 
 
 def pairs_of(start: int, end: int, block: np.ndarray, lo: int, hi: int):
@@ -137,7 +147,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(signs, pa.binary())],
                 ["rid", "doc_id", "n", "d1", "d2", "sign"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_of(), "UTF-8").alias("text"))
+    rows = with_rows(docs).select(F.col("_row_id").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_of(), "UTF-8").alias("text"))
     return rows.mapInArrow(sign, "rid long, doc_id long, n long, d1 long, d2 long, sign binary")
 
 
@@ -150,7 +160,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             items = [np.unique(shingles(word_hashes(t))).tobytes() for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(items, pa.binary())], [*columns, "items"])
 
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.encode(text_of(), "UTF-8").alias("_text"))
+    texts = with_rows(docs).select(F.col("_row_id").alias("rid"), F.encode(text_of(), "UTF-8").alias("_text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema) + ", items binary"
     return texts.join(wanted, "rid").select(*columns, "_text").mapInArrow(hash_all, schema)
 
@@ -174,6 +184,7 @@ def candidate_groups(reps: DataFrame, threshold: float, tolerance: float) -> Dat
     banded = spread.select("rid", F.xxhash64("j", "part").alias("band"))
     counts = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = banded.join(counts, "band").join(reps.select("rid", "sign"), "rid")
+    least = bounds(threshold, tolerance)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in sorted_groups(batches, ["band", "lo", "hi"]):
@@ -181,7 +192,7 @@ def candidate_groups(reps: DataFrame, threshold: float, tolerance: float) -> Dat
             lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
             signs = np.frombuffer(b"".join(binaries(table, "sign")), "<u4").reshape(-1, HASHES)
             for left, right in in_runs(starts, block, lo, hi):
-                a, b = survivors(signs, left, right, threshold, tolerance)
+                a, b = survivors(signs, left, right, least)
                 root = roots(len(rids), a, b)
                 moved = np.flatnonzero(root != np.arange(len(rids)))
                 yield pa.RecordBatch.from_arrays([pa.array(rids[root[moved]]), pa.array(rids[moved])], ["a", "b"])
@@ -196,6 +207,7 @@ def link_counts(docs: DataFrame, reps: DataFrame, threshold: float, tolerance: f
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     wanted = groups.join(sizes, "root").join(reps.select("rid", "sign"), "rid").select("rid", "root", "members", "sign")
     dealt = in_blocks(shingle_sets(docs, wanted), "root", "members")
+    least = bounds(threshold, tolerance)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in sorted_groups(batches, ["root", "lo", "hi"]):
@@ -205,7 +217,7 @@ def link_counts(docs: DataFrame, reps: DataFrame, threshold: float, tolerance: f
             items = binaries(table, "items")
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 left, right = pairs_of(0, e - s, block[s:e], lo[s], hi[s])
-                a, b = survivors(signs[s:e], left, right, threshold, tolerance) if len(left) else (left, right)
+                a, b = survivors(signs[s:e], left, right, least) if len(left) else (left, right)
                 linked = similar([np.frombuffer(x, "<u8") for x in items[s:e]], a, b, threshold) if len(a) else np.zeros(0, bool)
                 a, b = a[linked], b[linked]
                 links = np.bincount(a, minlength=e - s) + np.bincount(b, minlength=e - s)
@@ -259,5 +271,5 @@ def similar_groups(docs: DataFrame, threshold: float = 0.8, tolerance: float = T
 def without_similar(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, with all its columns."""
     gone = similar_groups(docs, **options).where("NOT kept").select(F.col("rid").alias("_rid"))
-    whole = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct("*").alias("_doc"))
+    whole = with_rows(docs).select(F.col("_row_id").alias("_rid"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_doc"))
     return whole.join(gone, "_rid", "left_anti").select("_doc.*")

@@ -32,7 +32,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # Workers outlive the stage: they remember fewer words, for the stages of a later run.
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), known=200_000)
 
 
 STAGES = [

@@ -16,7 +16,7 @@ from marketpulse.llm.tokens import encoder
 from marketpulse.session import materialise
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, known: int | None = None) -> DataFrame:
     """The pieces of every document: ``rid``, ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``.
 
     A document is the ids of its whole text and the end id. One longer than ``capacity`` is cut into pieces
@@ -24,7 +24,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(tokenizer)
+        tool = encoder(tokenizer, known)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rids, doc_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -198,11 +198,13 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         *pieces.columns, (F.col("_base") + F.col("rank") - F.col("_from")).alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, known: int | None = None) -> DataFrame:
     """One row per piece of every document with its place: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
 
+    ``known`` bounds the words that a worker's encoder remembers, and so its memory; results do not depend on it.
+
     NULL texts are empty: the end id alone. Repeated rows and NULL ids are packed row by row. An empty
     table gives no rows. Other columns are ignored. ``docs`` must be a table read from files.
     """
-    pieces = materialise(token_pieces(docs, tokenizer, end_id, capacity), "pieces")
+    pieces = materialise(token_pieces(docs, tokenizer, end_id, capacity, known), "pieces")
     return pack(pieces, capacity).drop("rid")

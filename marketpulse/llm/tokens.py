@@ -38,7 +38,8 @@ class Encoder:
     together and told apart by the tokens that begin with the space or line feed.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int | None = None):
+        self.limit = limit
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,7 +78,7 @@ class Encoder:
     def _forget(self) -> None:
         """Keep the known pieces met in several steps since the last time, or none if these are too many."""
         stay = self.met > 1
-        if stay.sum() > KNOWN // 2:
+        if stay.sum() > (self.limit or KNOWN) // 2:
             stay[:] = False
         self.known = dict(zip((w for w, s in zip(self.known, stay.tolist()) if s), range(int(stay.sum()))))
         self.ids, bounds = self._ids_at(np.flatnonzero(stay))
@@ -148,7 +149,7 @@ class Encoder:
         place_of[used] = places
         ids, starts = self._ids_at(place_of[pieces])
         ids, cuts = ids.tobytes(), (4 * starts[bounds - np.arange(len(bounds))]).tolist()
-        if len(self.known) > KNOWN:
+        if len(self.known) > (self.limit or KNOWN):
             self._forget()
         found = [h + ids[a:b] for h, a, b in zip(self._one_by_one(heads), cuts, cuts[1:])]
         plain_ones, odd_ones = iter(found), iter(found[len(plain):])
@@ -166,9 +167,9 @@ class Encoder:
             start = end
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of a tokenizer file."""
+def encoder(path: str, limit: int | None = None) -> Encoder:
+    """The worker's encoder of a tokenizer file that remembers ``limit`` pieces (default: KNOWN)."""
     cache = worker_cache()
-    if ("encoder", path) not in cache:
-        cache["encoder", path] = Encoder(path)
-    return cache["encoder", path]
+    if ("encoder", path, limit) not in cache:
+        cache["encoder", path, limit] = Encoder(path, limit)
+    return cache["encoder", path, limit]

@@ -433,6 +433,16 @@ def test_compact_windows():
         assert set(zip(*(x.tolist() for x in passages.compact_windows(v, least)))) == want
 
 
+def test_run_digests():
+    rnd = np.random.default_rng(2)
+    values = rnd.integers(1, 3, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for length in (1, 5, 24):
+        starts = np.arange(len(values) - length + 1)
+        digests = passages.run_digests(values, starts, length).tolist()
+        runs = [tuple(values[i : i + length].tolist()) for i in starts]
+        assert len(set(digests)) == len(set(runs)) == len(set(zip(digests, runs)))
+
+
 def test_passages(docs, rows, empty):
     got = passages.near_passages(docs).collect()
     seen = defaultdict(set)

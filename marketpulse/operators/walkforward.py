@@ -42,8 +42,9 @@ def walk_windows(bars: DataFrame, in_days: int = 90, out_days: int = 30, step_da
 def assign_windows(rows: DataFrame, in_days: int = 90, out_days: int = 30, step_days: int = 30) -> DataFrame:
     """Each row once per window that holds it, with ``window_id`` and ``segment`` ('in' or 'out').
 
-    Windows are half-open. A row gets at most (in_days + out_days) / step_days + 1 copies.
+    Windows are half-open. A row gets at most (in_days + out_days) / step_days + 1 copies; one without symbol or time is in no window.
     """
+    rows = rows.where(F.col("ts").isNotNull())
     span = rows.groupBy("symbol").agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
     whole = in_days + out_days
     d = rows.join(sized(span), "symbol")

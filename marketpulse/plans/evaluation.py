@@ -11,6 +11,7 @@ from marketpulse.operators import cross as cr
 from marketpulse.operators import impact as im
 from marketpulse.operators import models as mo
 from marketpulse.operators import outcomes as oc
+from marketpulse.operators import strategies as sg
 from marketpulse.operators import walkforward as wf
 from marketpulse.plans.moods import _CREDIBILITY, _INFLUENCE, _decay
 from marketpulse.plans.sqlkit import DAILY, HOURLY, SENT_HOURLY, SENTIMENT, lag, rnd, strict, with_
@@ -62,6 +63,31 @@ SELECT symbol, window_id, param_id::BIGINT AS param_id, fast::BIGINT AS fast, sl
   {', '.join(rnd(c) for c in _WF_COLS)} FROM wf"""
 
 
+def q_walk_forward_strategy(spark: SparkSession, sf: str) -> DataFrame:
+    grid = {"fast": [5, 10], "slow": [20, 30, 50]}
+    out = sg.walk_forward_strategy(src.bars_daily(spark, sf), sg.ma_cross, grid, share=4)
+    out = out.withColumns({c: F.col(c).cast("bigint") for c in ("window_id", "param_id", "fast", "slow")})
+    return round_columns(out, {c: 6 for c in _WF_COLS})
+
+
+_IN_WINDOW = "PARTITION BY symbol, window_id, seg ORDER BY ts"
+_SG_GRID = [(a, b) for a in (5, 10) for b in (20, 30, 50)]
+SQL_WALK_FORWARD_STRATEGY = with_(DAILY, WF_CTES[3], WF_CTES[4], """sg AS (
+  SELECT w.symbol, window_id, CASE WHEN d.ts < e THEN 'in' ELSE 'out' END AS seg, d.ts, d.close
+  FROM wn w JOIN daily d ON d.symbol = w.symbol AND d.ts >= s AND d.ts < o)""", "m AS (SELECT *, " + ", ".join(
+    f"CASE WHEN row_number() OVER ({_IN_WINDOW}) >= {n} THEN avg(close) OVER ({_IN_WINDOW} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) "
+    f"END AS m{n}" for n in (5, 10, 20, 30, 50)) + f", close / nullif(lag(close) OVER ({_IN_WINDOW}), 0) - 1 AS ret FROM sg)", "p AS ("
+    + " UNION ALL ".join(
+        f"SELECT symbol, window_id, seg, ts, {i} AS param_id, {a} AS fast, {b} AS slow, "
+        f"coalesce(lag(coalesce((m{a} > m{b})::INT, 0)) OVER ({_IN_WINDOW}) * ret, 0) AS r FROM m"
+        for i, (a, b) in enumerate(_SG_GRID)) + ")", f"""sc AS (
+  SELECT symbol, window_id, seg, param_id, fast, slow, count(*) AS n,
+    {_grown('r')} AS returns, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 0) AS sharpe
+  FROM p GROUP BY 1, 2, 3, 4, 5, 6)""", WF_CTES[6], WF_CTES[7]) + f"""
+SELECT symbol, window_id, param_id::BIGINT AS param_id, fast::BIGINT AS fast, slow::BIGINT AS slow,
+  {', '.join(rnd(c) for c in _WF_COLS)}, 0::BIGINT AS failed FROM wf"""
+
+
 def q_walk_forward_summary(spark: SparkSession, sf: str) -> DataFrame:
     out = wf.walk_forward_summary(_windows(spark, sf), ["fast", "slow"])
     return round_columns(out, {c: 6 for c in ["total_return", "sharpe_ratio", "max_drawdown", "efficiency_ratio",
@@ -473,6 +499,7 @@ SELECT asset, ts, {', '.join(rnd(c) for c in _INDEX_PARTS)}, CASE WHEN fear_gree
 
 QUERIES = {
     "walk_forward": (q_walk_forward, SQL_WALK_FORWARD),
+    "walk_forward_strategy": (q_walk_forward_strategy, SQL_WALK_FORWARD_STRATEGY),
     "walk_forward_summary": (q_walk_forward_summary, SQL_WALK_FORWARD_SUMMARY),
     "bootstrap_outcomes": (q_bootstrap_outcomes, SQL_BOOTSTRAP_OUTCOMES),
     "outcome_stats": (q_outcome_stats, SQL_OUTCOME_STATS),

@@ -1,7 +1,6 @@
 """Frames measured in time: rolling means over hours, momentum over minutes.
 
-Both look up what a running value was some time before: an as-of join on the shifted
-time. No frame is ever held or scanned, so the cost does not depend on how many rows
+Both look up a value at a shifted time. No frame is ever held or scanned, so the cost does not depend on how many rows
 it has, and no window needs more than five minutes of one key.
 """
 
@@ -9,16 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketpulse.functions.numeric import div, num
 from marketpulse.operators.joins import asof_join
-from marketpulse.operators.series import running
+from marketpulse.operators.series import join_same, running
 from marketpulse.session import materialise
 
 SECOND = 1_000_000
-EXACT = "decimal(38,12)"
+HOUR = 3600 * SECOND
 
 
 def micros(ts: str) -> Column:
@@ -34,27 +33,59 @@ def _earlier(ts: str, seconds: int) -> Column:
     return F.col(ts) - F.make_dt_interval(secs=F.lit(seconds))
 
 
+def _ends(moments: DataFrame, hours: Sequence[int], by: list[str], width: int) -> DataFrame:
+    """Each moment with ``_pre`` and ``_suf``: per frame length the sum and count of its block up to it, and from it on.
+
+    Blocks are as long as the frame and hold whole chunks. A chunk is scanned once for all lengths; the chunks before
+    and after it in its block come from a table of totals with a row per chunk.
+    """
+    keys = [*by, "_chunk"]
+    keyed = moments.withColumn("_chunk", F.floor(F.col("_us") / width).cast("long"))
+    inside = Window.partitionBy(*keys).orderBy("_us")
+    until = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    since = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    scanned = keyed.withColumns({f"_{x}_{name}": F.sum(x).over(w) for name, w in (("until", until), ("since", since)) for x in ("s", "c")})
+    totals = keyed.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    reach = {}
+    for h in hours:
+        w = Window.partitionBy(*by, F.floor(F.col("_chunk") * width / (h * HOUR))).orderBy("_chunk")
+        for name, some in (("before", w.rowsBetween(Window.unboundedPreceding, -1)), ("after", w.rowsBetween(1, Window.unboundedFollowing))):
+            reach |= {f"_{x}_{name}_{h}": F.coalesce(F.sum(x).over(some), F.lit(0)) for x in ("s", "c")}
+    d = join_same(scanned, totals.select(*keys, *[e.alias(n) for n, e in reach.items()]), keys)
+
+    def parts(here: str, beyond: str) -> Column:
+        return F.array(*[F.struct(*[(F.col(f"_{x}_{beyond}_{h}") + F.col(f"_{x}_{here}")).alias(x) for x in ("s", "c")]) for h in hours])
+    return d.select(*by, "_us", parts("until", "before").alias("_pre"), parts("since", "after").alias("_suf"))
+
+
 def rolling_time_mean(df: DataFrame, col: str, hours: Sequence[int] = (1, 4, 24), by=("asset",), ts: str = "ts",
                       prefix: str = "mean") -> DataFrame:
-    """(by..., ts, <prefix>_1h, ...): mean of the rows in (ts - h hours, ts].
+    """(by..., ts, <prefix>_1h, ...): mean of the values in (ts - h hours, ts], a row per key and time.
+
+    Time is cut into blocks as long as the frame, so a frame is the end of one block and the beginning of the
+    next: two sums are added and none is subtracted. Values of any size keep their digits, and no frame is held
+    or scanned. The end of the earlier block is that of the first time after ts - h hours, carried back by ``running``.
 
-    Running totals at the row minus the running totals h hours before it. The totals
-    are decimals, so the difference of two large totals is exact.
+    Times with NULL values only have a row; a frame without a value has a NULL mean. NULL keys are keys; rows without time are
+    left out.
     """
-    by = list(by)
-    moments = df.where(F.col(col).isNotNull()).groupBy(*by, ts).agg(
-        F.sum(F.col(col).cast(EXACT)).alias("_s"), F.count(col).alias("_c"))
-    totals = running(moments, {"_sum": ("sum", F.col("_s").cast(EXACT)), "_n": ("sum", F.col("_c"))}, by, (ts,), dense(ts))
-    totals = materialise(totals.select(*by, ts, F.col("_sum").cast(EXACT).alias("_sum"), "_n"), "totals")
-    # All lookups of a row at once: one as-of join, one aggregation.
-    asks = totals.withColumn("_h", F.explode(F.array(*[F.lit(h) for h in hours]))).withColumn("_at", F.col(ts))
-    asks = asks.withColumn(ts, F.col(ts) - F.make_dt_interval(hours=F.col("_h")))
-    past = totals.select(*by, ts, F.col("_sum").alias("_sum0"), F.col("_n").alias("_n0"))
-    found = asof_join(asks, past, ("_sum0", "_n0"), by, ts, chunk=dense(ts), bar_ts="_past")
-    total = (F.col("_sum") - F.coalesce("_sum0", F.lit(0).cast(EXACT))).cast("double")
-    mean = div(total, (F.col("_n") - F.coalesce("_n0", F.lit(0))).cast("double"))
-    return found.groupBy(*by, F.col("_at").alias(ts)).agg(
-        *[F.max(F.when(F.col("_h") == h, mean)).alias(f"{prefix}_{h}h") for h in hours])
+    by, hours = list(by), list(hours)
+    moments = df.where(F.col(ts).isNotNull()).groupBy(*by, ts).agg(
+        F.coalesce(F.sum(F.col(col).cast("double")), num(0)).alias("s"), F.count(col).alias("c")).withColumn("_us", micros(ts))
+    ends = materialise(_ends(moments.select(*by, "_us", "s", "c"), hours, by, 300 * SECOND), "ends")
+    asks = ends.select(*by, "_us", F.posexplode("_pre").alias("_i", "_own"))
+    asks = asks.withColumn("_span", F.element_at(F.array(*[F.lit(h * HOUR) for h in hours]), F.col("_i") + 1))
+    # Time runs backwards; a question comes before an answer of the same time, which lies outside its frame.
+    asks = asks.select(*by, (F.col("_span") - F.col("_us")).alias("_back"), F.lit(0).alias("_kind"), "_us", "_i", "_own", "_span")
+    answers = ends.select(*by, (-F.col("_us")).alias("_back"), F.lit(1).alias("_kind"), F.struct("_us", "_suf").alias("_next"))
+    found = running(asks.unionByName(answers, allowMissingColumns=True), {"_first": ("last", F.col("_next"))}, by, ("_back", "_kind"),
+                    F.floor(F.col("_back") / (300 * SECOND))).where("_kind = 0")
+    block = F.floor(F.col("_us") / F.col("_span")) * F.col("_span")
+    rest = F.when(F.col("_first._us") < block, F.element_at("_first._suf", F.col("_i") + 1))
+    mean = div(F.col("_own.s") + F.coalesce(rest["s"], num(0)), (F.col("_own.c") + F.coalesce(rest["c"], F.lit(0))).cast("double"))
+    kind = df.schema[ts].dataType
+    return found.withColumn("_mean", mean).groupBy(*by, F.timestamp_micros("_us").cast(kind).alias(ts)).agg(
+        *[F.max(F.when(F.col("_i") == i, F.col("_mean"))).alias(f"{prefix}_{h}h") for i, h in enumerate(hours)])
 
 
 def time_momentum(df: DataFrame, col: str = "score", back: int = 900, within: int = 3600, by=("asset",),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketpulse.functions import frames as fr
 from marketpulse.functions.numeric import div, num, seconds_between
 from marketpulse.operators.joins import asof_join, beside, posts_of
-from marketpulse.operators.series import over_series
+from marketpulse.operators.series import over_series, running
 from marketpulse.operators.timeframes import SECOND, dense, micros
 from marketpulse.session import materialise, sized
 
@@ -60,6 +60,27 @@ def top_influencers(posts: DataFrame, floor: int = 1000) -> DataFrame:
     return influencers(posts, floor).orderBy(F.col("influence_score").desc(), "user_id")
 
 
+#: Cells of a line that one window scans.
+CELLS = 1000
+
+
+def _islands(pieces: DataFrame, eps: float) -> DataFrame:
+    """(chamber_id, _lo, _hi): pieces of a line put together where gaps are at most ``eps``, numbered from the left.
+
+    What the pieces before reach is carried over stretches of CELLS cells by ``running``, so no window holds the line.
+    """
+    stretch = F.floor(F.col("_lo") / eps / CELLS)
+    pieces = pieces.distinct()
+    # A question for each piece, asked before the piece itself counts.
+    both = pieces.select("_lo", "_hi", F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("_end")).unionByName(
+        pieces.select("_lo", "_hi", F.lit(1).alias("_kind"), F.col("_hi").alias("_end")))
+    reached = running(both, {"_reach": ("max", F.col("_end"))}, (), ("_lo", "_hi", "_kind"), stretch).where("_kind = 0")
+    parted = materialise(reached.select("_lo", "_hi", F.when(F.col("_lo") - F.col("_reach") <= eps, 0).otherwise(1).alias("_new")), "pieces")
+    numbered = running(parted, {"_count": ("sum", F.col("_new"))}, (), ("_lo", "_hi"), stretch)
+    islands = numbered.groupBy((F.col("_count") - 1).alias("chamber_id")).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    return materialise(islands, "islands")
+
+
 def chamber_members(posts: DataFrame, eps: float = 0.2, min_pts: int = 5) -> DataFrame:
     """(user_id, chamber_id, avg_sentiment, avg_engagement): density clusters of the users' mean sentiment.
 
@@ -67,41 +88,43 @@ def chamber_members(posts: DataFrame, eps: float = 0.2, min_pts: int = 5) -> Dat
     so a cell with ``min_pts`` points holds only core points and just its range is
     needed. Cells with fewer points are compared point by point with the neighbour
     cells. Clusters are ranges of core points with gaps of at most ``eps``; a border
-    point goes to the nearest range.
+    point goes to the nearest range, of two as near to the left one.
+
+    Scores may have any finite size: every join is on a cell or a chamber, and its sides are written, so that the planner knows
+    what is small. Ranges are looked up once per cell, not per user. Users without a mean (NULL or NaN) are in no chamber.
     """
     users = posts.groupBy("user_id").agg(
         F.avg("sentiment_score").alias("avg_sentiment"), F.avg("engagement").alias("avg_engagement")
-    )
-    users = materialise(users, "users").withColumn("_cell", F.floor(F.col("avg_sentiment") / eps).cast("bigint"))
+    ).where(F.col("avg_sentiment").isNotNull() & ~F.isnan("avg_sentiment"))
+    users = materialise(users.withColumn("_cell", F.floor(F.col("avg_sentiment") / eps).cast("bigint")), "users")
     x = F.col("avg_sentiment")
-    cells = users.groupBy("_cell").agg(
-        F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    dense = cells.where(F.col("_n") >= min_pts).select("_lo", "_hi")
+    cells = sized(users.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi")))
+    dense_cells = cells.where(F.col("_n") >= min_pts).select("_lo", "_hi")
 
-    # At most min_pts - 1 points per cell and 2 / eps cells: the broadcast side is bounded.
-    sparse = users.join(F.broadcast(cells.where(F.col("_n") < min_pts).select("_cell")), "_cell").select(
+    # At most min_pts - 1 points of a cell.
+    thin = users.join(cells.where(F.col("_n") < min_pts).select("_cell"), "_cell").select(
         F.col("user_id").alias("_user"), F.col("avg_sentiment").alias("_x"),
         F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1)).alias("_cell"),
     )
-    near = users.join(F.broadcast(sparse), "_cell").where(F.abs(x - F.col("_x")) <= eps)
+    near = users.select("_cell", "avg_sentiment").join(materialise(thin, "thin"), "_cell").where(F.abs(x - F.col("_x")) <= eps)
     cores = near.groupBy("_user", "_x").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pts).select(
         F.col("_x").alias("_lo"), F.col("_x").alias("_hi"))
-
-    # One row per dense cell or sparse core point: a few rows per cell in one window.
-    w = Window.partitionBy(F.lit(0)).orderBy("_lo", "_hi")
-    reach = F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ranges = dense.unionByName(cores).withColumn("_new", F.when(F.col("_lo") - reach <= eps, 0).otherwise(1))
-    ranges = ranges.withColumn("chamber_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    ranges = ranges.groupBy("chamber_id").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-
-    # Ranges are at least eps apart, so there are few: bounded broadcast again.
-    hit = users.join(F.broadcast(ranges), (x >= F.col("_lo") - eps) & (x <= F.col("_hi") + eps))
-    gap = F.greatest(F.col("_lo") - x, x - F.col("_hi"), num(0))
-    chosen = hit.where(gap <= eps).groupBy("user_id").agg(
-        F.min_by("chamber_id", F.struct(gap, F.col("chamber_id"))).alias("chamber_id"),
-        F.first("avg_sentiment").alias("avg_sentiment"), F.first("avg_engagement").alias("avg_engagement"),
-    )
-    return chosen
+    islands = _islands(dense_cells.unionByName(cores), eps)
+
+    # The last range that begins at or before a cell's first point, and those after it that begin within its reach: ranges
+    # begin more than eps apart, so two can; one more is looked at for rounding.
+    marks = islands.select(F.col("_lo").alias("_at"), F.lit(0).alias("_kind"), F.col("chamber_id").alias("_id")).unionByName(
+        cells.select(F.col("_lo").alias("_at"), F.lit(1).alias("_kind"), "_cell"), allowMissingColumns=True)
+    seen = running(marks, {"_last": ("last", F.col("_id"))}, (), ("_at", "_kind"), F.floor(F.col("_at") / eps / CELLS)).where("_kind = 1")
+    asked = seen.select("_cell", F.explode(F.sequence(F.coalesce("_last", F.lit(-1)), F.coalesce("_last", F.lit(-1)) + 3)).alias("chamber_id"))
+    ranges = sized(asked.join(islands, "chamber_id").groupBy("_cell").agg(
+        F.collect_list(F.struct("chamber_id", "_lo", "_hi")).alias("_ranges")))
+
+    def ranked(r):
+        return F.struct(F.greatest(r["_lo"] - x, x - r["_hi"], num(0)).alias("gap"), r["chamber_id"].alias("chamber_id"))
+    nearest = F.array_min(F.transform("_ranges", ranked))
+    hit = users.join(ranges, "_cell").withColumn("_nearest", nearest).where(F.col("_nearest.gap") <= eps)
+    return hit.select("user_id", F.col("_nearest.chamber_id").alias("chamber_id"), "avg_sentiment", "avg_engagement")
 
 
 def top_tags(posts: DataFrame, by: list[str], k: int = 5) -> DataFrame:

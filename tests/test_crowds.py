@@ -40,6 +40,21 @@ def test_chambers(spark, seed, eps, min_pts):
     assert got == brute_chambers(points, eps, min_pts)
 
 
+@pytest.mark.parametrize("eps,min_pts,cells", [(0.5, 3, 2), (1.0, 4, 1000), (0.25, 1, 5)])
+def test_chambers_of_any_scores(spark, monkeypatch, eps, min_pts, cells):
+    # Scores far beyond [-1, 1], many equal ones, points just eps apart, ranges over several stretches.
+    monkeypatch.setattr(cw, "CELLS", cells)
+    random.seed(6)
+    points = {f"u{i}": random.choice([float(random.randrange(2000)), random.uniform(-900, -880), 3.0, random.gauss(1e6, 2), i / 4]) for i in range(400)}
+    rows = [(u, x, 1) for u, x in points.items()] + [("none", None, 1), ("nan", float("nan"), 1)]
+    d = spark.createDataFrame(rows, "user_id string, sentiment_score double, engagement long")
+    got = cw.chamber_members(d, eps, min_pts)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan
+    assert {r["user_id"]: r["chamber_id"] for r in got.collect()} == brute_chambers(points, eps, min_pts)
+    assert cw.chamber_members(d.limit(0), eps, min_pts).collect() == []
+
+
 def test_chain(spark):
     random.seed(5)
     times = {a: sorted({random.randrange(0, 400 * 3600) * 1_000_000 for _ in range(n)}) for a, n in (("A", 300), ("B", 3), ("C", 1))}

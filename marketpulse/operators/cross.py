@@ -12,7 +12,8 @@ from pyspark.sql.types import DoubleType
 
 from marketpulse.functions import frames as fr
 from marketpulse.functions.numeric import corr, num
-from marketpulse.operators.joins import beside, lagged_pairs, market_pairs
+from marketpulse.operators.joins import beside, market_pairs
+from marketpulse.operators.lags import lag_correlations
 from marketpulse.operators.series import over_series
 from marketpulse.session import materialise
 
@@ -93,16 +94,8 @@ def corr_matrix(rets: DataFrame, value: str = "ret") -> DataFrame:
     return both.unionByName(diagonal)
 
 
-def lag_correlations(pairs: DataFrame, max_lag: int = 24, lags=None) -> DataFrame:
-    """(pair..., lag, r, n) for each lag with at least two common rows."""
-    rows = lagged_pairs(pairs, max_lag, lags=lags)
-    return rows.groupBy(*PAIR, "lag").agg(
-        corr(F.col("x"), F.col("y")).alias("r"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
-
-
-def best_lag(rets: DataFrame, max_lag: int = 24) -> DataFrame:
-    """Per pair the lag with the largest abs correlation (the smallest lag on ties) and its p value."""
-    lagged = lag_correlations(materialise(market_pairs(rets), "pairs"), max_lag)
+def strongest(lagged: DataFrame) -> DataFrame:
+    """Per pair of (pair..., lag, r, n) the lag with the largest abs correlation (the smallest lag on ties) and its p value."""
     best = lagged.groupBy(*PAIR).agg(
         F.max_by(F.struct("lag", "r", "n"), F.struct(F.round(F.abs("r"), 12), -F.col("lag"))).alias("_b"))
     d = best.select(*PAIR, F.col("_b.lag").alias("lag"), F.coalesce("_b.r", num(0)).alias("correlation"),
@@ -111,35 +104,38 @@ def best_lag(rets: DataFrame, max_lag: int = 24) -> DataFrame:
                           "p_value": p_value(F.col("correlation"), F.col("n"))})
 
 
-def directed_pairs(rets: DataFrame) -> DataFrame:
-    """Each pair both ways: market1 is the source, market2 the target."""
-    half = market_pairs(rets)
-    return half.select("ts", F.inline(F.array(
-        F.struct("market1", "market2", "x", "y"),
-        F.struct(F.col("market2").alias("market1"), F.col("market1").alias("market2"), F.col("y").alias("x"),
-                 F.col("x").alias("y")),
-    )))
+def best_lag(rets: DataFrame, max_lag: int = 24, wanted: DataFrame | None = None, **cut) -> DataFrame:
+    """(pair..., lag, correlation, n, t, p_value) of all pairs, or of those in ``wanted``; see ``lags.lag_sums``."""
+    return strongest(lag_correlations(rets, max_lag, wanted, **cut))
 
 
-def spillover(rets: DataFrame, max_lag: int = 24, threshold: float = 0.5, alpha: float = 0.05,
-              least: int = 10) -> DataFrame:
-    """Source to target effects: the strongest significant lagged correlation above the threshold.
+def spilled(lagged: DataFrame, threshold: float = 0.5, alpha: float = 0.05, least: int = 10) -> DataFrame:
+    """Source to target effects in (pair..., lag, r, n): the strongest significant lagged correlation above the threshold.
 
-    Lags are negative in ``lag_correlations``: the source is earlier.
+    At a negative lag market1 is earlier and is the source, at a positive one market2.
     """
-    lagged = lag_correlations(materialise(directed_pairs(rets), "pairs"), lags=[-k for k in range(1, max_lag + 1)])
-    tested = lagged.where(F.col("n") >= least).withColumn("p_value", p_value(F.col("r"), F.col("n")))
+    first = F.col("lag") < 0
+    source, target = (F.when(first, F.col(a)).otherwise(F.col(b)) for a, b in (PAIR, PAIR[::-1]))
+    directed = lagged.where("lag <> 0").select(
+        source.alias("source_market"), target.alias("target_market"), F.abs("lag").alias("lag"), "r", "n")
+    tested = directed.where(F.col("n") >= least).withColumn("p_value", p_value(F.col("r"), F.col("n")))
     tested = tested.where(F.col("p_value") < alpha)
-    best = tested.groupBy(*PAIR).agg(
-        F.max_by(F.struct("lag", "r", "n", "p_value"), F.struct(F.round(F.abs("r"), 12), F.col("lag"))).alias("_b"))
+    best = tested.groupBy("source_market", "target_market").agg(
+        F.max_by(F.struct("lag", "r", "n", "p_value"), F.struct(F.round(F.abs("r"), 12), -F.col("lag"))).alias("_b"))
     r = F.col("_b.r")
     return best.where(F.abs(r) > threshold).select(
-        F.col("market1").alias("source_market"), F.col("market2").alias("target_market"),
+        "source_market", "target_market",
         F.abs(r).alias("spillover_strength"), F.when(r > 0, "positive").otherwise("negative").alias("direction"),
-        (-F.col("_b.lag")).alias("lag_hours"), F.col("_b.p_value").alias("p_value"),
+        F.col("_b.lag").alias("lag_hours"), F.col("_b.p_value").alias("p_value"),
     )
 
 
+def spillover(rets: DataFrame, max_lag: int = 24, threshold: float = 0.5, alpha: float = 0.05, least: int = 10,
+              wanted: DataFrame | None = None, **cut) -> DataFrame:
+    """Source to target effects between all pairs, or those in ``wanted`` (both ways); see ``spilled``."""
+    return spilled(lag_correlations(rets, max_lag, wanted, **cut), threshold, alpha, least)
+
+
 def pair_correlations(rets: DataFrame, least: int = 10) -> DataFrame:
     return market_pairs(rets).groupBy(*PAIR).agg(
         corr(F.col("x"), F.col("y")).alias("r"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
@@ -182,8 +178,9 @@ def cross_market(bars: DataFrame, base: str, stock: str) -> DataFrame:
     rets = materialise(returns(bars), "returns")
     pairs = materialise(pair_correlations(rets), "pairs")
     two = rets.where(F.col("symbol").isin(base, stock))
-    lagged = best_lag(two).select(F.col("correlation").alias("best_correlation"), F.col("lag").alias("best_lag"))
-    spill = spillover(two).agg(F.coalesce(F.avg("spillover_strength"), num(0)).alias("spillover_index"))
+    at_lags = materialise(lag_correlations(two), "lags")
+    lagged = strongest(at_lags).select(F.col("correlation").alias("best_correlation"), F.col("lag").alias("best_lag"))
+    spill = spilled(at_lags).agg(F.coalesce(F.avg("spillover_strength"), num(0)).alias("spillover_index"))
     risk = risk_regime(rets, base, stock).withColumnRenamed("correlation", "base_correlation")
     return reduce(beside, [dominance(pairs, base), coupling(pairs), spill, risk], lagged)
 

@@ -128,7 +128,7 @@ def market_pairs(returns: DataFrame, value: str = "ret", by: str = "symbol", ts:
 
 
 def lagged_pairs(pairs: DataFrame, max_lag: int = 24, pair=("market1", "market2"), ts: str = "ts",
-                 lags: Sequence[int] | None = None) -> DataFrame:
+                 lags: Sequence[int] | None = None, chunk: Column | None = None) -> DataFrame:
     """(pair..., lag, x, y): x at row i + lag against y at row i for lag > 0, and the mirror for lag < 0.
 
     Rows come from lag columns of one window pass; the caller aggregates them at once,
@@ -143,7 +143,7 @@ def lagged_pairs(pairs: DataFrame, max_lag: int = 24, pair=("market1", "market2"
             return F.struct(F.lit(lag).alias("lag"), x.alias("x"), y.alias("y"))
         return d.withColumn("_lags", F.array(*[one(lag) for lag in lags]))
     reach = max(abs(lag) for lag in lags)
-    out = over_series(pairs, step, reach, by=pair, order=(ts,))
+    out = over_series(pairs, step, reach, by=pair, order=(ts,), chunk=chunk)
     return out.select(*pair, F.inline("_lags")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 

@@ -197,35 +197,54 @@ SELECT market1, market2, {rnd('r', 6, 'correlation')}, n FROM m"""
 
 
 def q_best_lag(spark: SparkSession, sf: str) -> DataFrame:
-    out = cr.best_lag(_returns(spark, sf)).drop("p_value").withColumn("lag", F.col("lag").cast("bigint"))
-    return round_columns(out, {"correlation": 6, "t": 5})
+    out = cr.best_lag(_returns(spark, sf)).withColumn("lag", F.col("lag").cast("bigint"))
+    return round_columns(out, {"correlation": 6, "t": 5, "p_value": 8})
 
 
 LAG_CTES = [*RET_CTES, f"""lg AS (
   SELECT a.m1, a.m2, a.rn - b.rn AS lag, {_R.format(x='a.x', y='b.y')} AS r, count(*) AS n
   FROM prn a JOIN prn b ON a.m1 = b.m1 AND a.m2 = b.m2 AND abs(a.rn - b.rn) <= 24 GROUP BY 1, 2, 3)"""]
-SQL_BEST_LAG = with_(*LAG_CTES, """bl AS (
+
+
+def tail_ctes(rows: str, out: str) -> list[str]:
+    """CTEs: ``rows`` (with t and n) plus the two-sided p of t, by the finite series in the angle atan(t / sqrt(df)).
+
+    Even df: A = sin * sum of c(j) cos^2j, c(j) = product of (2i - 1) / 2i; odd df: A = 2 / pi * (angle + sin cos * sum of
+    d(j) cos^2j), d(j) = product of 2i / (2i + 1); p = 1 - A.
+    """
+    return [f"""{out}_a AS (SELECT *, n - 2 AS df, atan(abs(t) / sqrt(n - 2)) AS angle FROM {rows} WHERE n > 2)""", f"""{out}_j AS (
+  SELECT j, sum(CASE WHEN j = 0 THEN 0 ELSE ln((2 * j - 1) / (2.0::DOUBLE * j)) END) OVER (ORDER BY j) AS even,
+    sum(CASE WHEN j = 0 THEN 0 ELSE ln(2.0::DOUBLE * j / (2 * j + 1)) END) OVER (ORDER BY j) AS odd
+  FROM (SELECT unnest(generate_series(0, (SELECT max(n) // 2 FROM {rows}))) AS j))""", f"""{out}_s AS (
+  SELECT df, angle, sum(exp((CASE WHEN df % 2 = 0 THEN even ELSE odd END) + 2 * j * ln(cos(angle)))) AS total
+  FROM (SELECT DISTINCT df, angle FROM {out}_a) JOIN {out}_j ON j <= (df - 2 - df % 2) / 2 GROUP BY 1, 2)""", f"""{out} AS (
+  SELECT r.*, CASE WHEN r.n < 3 OR r.t IS NULL THEN 1 WHEN a.df % 2 = 0 THEN 1 - sin(a.angle) * coalesce(total, 0)
+    ELSE 1 - 2 / pi() * (a.angle + sin(a.angle) * cos(a.angle) * coalesce(total, 0)) END AS p
+  FROM {rows} r LEFT JOIN (SELECT DISTINCT df, t, angle FROM {out}_a) a ON a.df = r.n - 2 AND a.t = r.t
+    LEFT JOIN {out}_s s ON s.df = a.df AND s.angle = a.angle)"""]
+
+
+BEST_CTES = [*LAG_CTES, """bl AS (
   SELECT *, row_number() OVER (PARTITION BY m1, m2 ORDER BY round(abs(r), 12) DESC, lag) AS k FROM lg)""",
-                     "bt AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM bl WHERE k = 1)") + f"""
-SELECT m1 AS market1, m2 AS market2, lag, {rnd('r', 6, 'correlation')}, n, {rnd('t', 5)} FROM bt"""
+             "bt AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM bl WHERE k = 1)"]
+SQL_BEST_LAG = with_(*BEST_CTES, *tail_ctes("bt", "bp")) + f"""
+SELECT m1 AS market1, m2 AS market2, lag, {rnd('r', 6, 'correlation')}, n, {rnd('t', 5)}, {rnd('p', 8, 'p_value')} FROM bp"""
 
 
 def q_spillover(spark: SparkSession, sf: str) -> DataFrame:
-    out = cr.spillover(_returns(spark, sf), threshold=0.05).drop("p_value")
-    return round_columns(out.withColumn("lag_hours", F.col("lag_hours").cast("bigint")), {"spillover_strength": 6})
+    out = cr.spillover(_returns(spark, sf), threshold=0.05)
+    return round_columns(out.withColumn("lag_hours", F.col("lag_hours").cast("bigint")), {"spillover_strength": 6, "p_value": 8})
 
 
-# p < 0.05 is tested through the critical t of the same degrees of freedom (normal + two correction terms).
-_Z = 1.959963984540054
-_CRIT = (f"({_Z} + ({_Z}**3 + {_Z}) / (4.0 * (n - 2)) + (5 * {_Z}**5 + 16 * {_Z}**3 + 3 * {_Z}) / (96.0 * (n - 2)**2)"
-         f" + (3 * {_Z}**7 + 19 * {_Z}**5 + 17 * {_Z}**3 - 15 * {_Z}) / (384.0 * (n - 2)**3))")
-SQL_SPILLOVER = with_(*LAG_CTES, """dir AS (
-  SELECT m1 AS s, m2 AS t, -lag AS lag, r, n FROM lg WHERE lag < 0
-  UNION ALL SELECT m2, m1, lag, r, n FROM lg WHERE lag > 0)""", f"""sg AS (
-  SELECT *, row_number() OVER (PARTITION BY s, t ORDER BY round(abs(r), 12) DESC, lag) AS k FROM dir
-  WHERE n >= 10 AND abs(r * sqrt((n - 2) / (1 - r * r))) > {_CRIT})""") + f"""
-SELECT s AS source_market, t AS target_market, {rnd('abs(r)', 6, 'spillover_strength')},
-  CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction, lag AS lag_hours FROM sg WHERE k = 1 AND abs(r) > 0.05"""
+DIRECTED = [f"""dir AS (
+  SELECT m1 AS s, m2 AS t_, -lag AS lag, r, n FROM lg WHERE lag < 0
+  UNION ALL SELECT m2, m1, lag, r, n FROM lg WHERE lag > 0)""",
+            "dt AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM dir WHERE n >= 10)", *tail_ctes("dt", "dp"), """sg AS (
+  SELECT *, row_number() OVER (PARTITION BY s, t_ ORDER BY round(abs(r), 12) DESC, lag) AS k FROM dp WHERE p < 0.05)"""]
+SQL_SPILLOVER = with_(*LAG_CTES, *DIRECTED) + f"""
+SELECT s AS source_market, t_ AS target_market, {rnd('abs(r)', 6, 'spillover_strength')},
+  CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction, lag AS lag_hours, {rnd('p', 8, 'p_value')}
+FROM sg WHERE k = 1 AND abs(r) > 0.05"""
 
 
 def q_risk_regime(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,18 +254,28 @@ def q_risk_regime(spark: SparkSession, sf: str) -> DataFrame:
     return round_columns(out, {c: 6 for c in out.columns if c != "regime"})
 
 
-SQL_RISK_REGIME = with_(*RET_CTES, f"""pc AS (
+RISK_CTES = [f"""pc AS (
   SELECT m1, m2, {_R.format(x='x', y='y')} AS r, count(*) AS n FROM prs GROUP BY 1, 2 HAVING count(*) >= 10)""", """v AS (
   SELECT (stddev_samp(ret) FILTER (symbol = 'click') + stddev_samp(ret) FILTER (symbol = 'view')) * sqrt(24) / 2 AS vol,
     (SELECT r FROM pc WHERE m1 = 'click' AND m2 = 'view') AS r,
-    (SELECT avg(abs(r)) FROM pc WHERE m1 = 'click' OR m2 = 'click') AS dom, (SELECT avg(abs(r)) FROM pc) AS cpl FROM rets)""") + f"""
-SELECT CASE WHEN r > 0.4 AND vol < 0.4 THEN 'risk_on' WHEN r < -0.2 OR vol > 0.6 THEN 'risk_off' ELSE 'neutral' END AS regime,
+    (SELECT avg(abs(r)) FROM pc WHERE m1 = 'click' OR m2 = 'click') AS dom, (SELECT avg(abs(r)) FROM pc) AS cpl FROM rets)"""]
+_RISK = f"""CASE WHEN r > 0.4 AND vol < 0.4 THEN 'risk_on' WHEN r < -0.2 OR vol > 0.6 THEN 'risk_off' ELSE 'neutral' END AS regime,
   {rnd("CASE WHEN r > 0.4 AND vol < 0.4 THEN least(r + 1 - vol, 1) WHEN r < -0.2 OR vol > 0.6 THEN least(abs(r) + vol, 1) ELSE 1 - abs(r) END", 6, 'confidence')},
-  {rnd('r', 6, 'correlation')}, {rnd('vol', 6, 'volatility_level')}, {rnd('dom', 6, 'dominance')}, {rnd('cpl', 6, 'market_coupling')} FROM v"""
+  {rnd('vol', 6, 'volatility_level')}, {rnd('dom', 6, 'dominance')}, {rnd('cpl', 6, 'market_coupling')}"""
+SQL_RISK_REGIME = with_(*RET_CTES, *RISK_CTES) + f"SELECT {_RISK}, {rnd('r', 6, 'correlation')} FROM v"
 
 
 def q_cross_market(spark: SparkSession, sf: str) -> DataFrame:
-    return cr.cross_market(materialise(src.bars_hourly(spark, sf), "bars"), "click", "view")
+    out = cr.cross_market(materialise(src.bars_hourly(spark, sf), "bars"), "click", "view")
+    out = out.withColumn("best_lag", F.col("best_lag").cast("bigint"))
+    return round_columns(out, {c: 6 for c in out.columns if c not in ("regime", "best_lag")})
+
+
+SQL_CROSS_MARKET = with_(*BEST_CTES, *DIRECTED, *RISK_CTES, """spill AS (
+  SELECT coalesce(avg(abs(r)), 0) AS index FROM sg WHERE k = 1 AND abs(r) > 0.5 AND s IN ('click', 'view') AND t_ IN ('click', 'view'))""",
+                         "bb AS (SELECT r AS best, lag FROM bt WHERE m1 = 'click' AND m2 = 'view')") + f"""
+SELECT {rnd('best', 6, 'best_correlation')}, lag AS best_lag, {rnd('spill.index', 6, 'spillover_index')}, {_RISK},
+  {rnd('r', 6, 'base_correlation')} FROM v, bb, spill"""
 
 
 QUERIES = {
@@ -261,5 +290,5 @@ QUERIES = {
     "best_lag": (q_best_lag, SQL_BEST_LAG),
     "spillover": (q_spillover, SQL_SPILLOVER),
     "risk_regime": (q_risk_regime, SQL_RISK_REGIME),
-    "cross_market": (q_cross_market, None),
+    "cross_market": (q_cross_market, SQL_CROSS_MARKET),
 }

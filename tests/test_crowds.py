@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.operators import cross as cr
 from marketpulse.operators import crowd as cw
+from marketpulse.operators import lags as lg
 from marketpulse.operators import outcomes as oc
 from marketpulse.operators import walkforward as wf
 
@@ -141,3 +142,59 @@ def test_correlated_outcomes(spark):
     d = spark.createDataFrame(rows, "symbol string, ts timestamp, ret double")
     s = oc.outcome_stats(oc.correlated_outcomes(d, ["A", "B"], 100, 300)).first()
     assert 0.05 < s["std_return"] < 0.2
+
+
+def lagged_by_hand(rows, max_lag):
+    """Per pair the aligned values, shifted one lag after the other."""
+    series = {}
+    for s, t, v in rows:
+        if s is not None and t is not None and v is not None and math.isfinite(v):
+            series.setdefault(s, {})[t] = max(v, series.get(s, {}).get(t, v))
+    out = {}
+    for a in series:
+        for b in series:
+            common = sorted(series[a].keys() & series[b].keys())
+            for lag in range(-max_lag, max_lag + 1) if a < b else ():
+                k, x, y = abs(lag), [series[a][t] for t in common], [series[b][t] for t in common]
+                x, y = (x[k:], y[: len(y) - k]) if lag >= 0 else (x[: len(x) - k], y[k:])
+                if len(x) >= 2 and len(x) == len(y):
+                    mx, my = sum(x) / len(x), sum(y) / len(y)
+                    xy = sum((p - mx) * (q - my) for p, q in zip(x, y))
+                    scale = math.sqrt(sum((p - mx) ** 2 for p in x) * sum((q - my) ** 2 for q in y))
+                    out[a, b, lag] = (None if len(set(x)) == 1 or len(set(y)) == 1 else xy / scale, len(x))
+    return out
+
+
+def gappy_series():
+    """Series with gaps, one with few times, one constant, one far from zero; odd rows between."""
+    rnd = random.Random(3)
+    rows = []
+    for s, share, shift in (("A", 0.9, 0), ("B", 0.7, 1e6), ("C", 0.08, 0), ("D", 0.5, None), ("E", 1.0, -5)):
+        rows += [(s, T0 + dt.timedelta(hours=i), 0.1 if shift is None else shift + rnd.gauss(0, 1))
+                 for i in range(400) if rnd.random() < share]
+    rows += rows[10:20] + [("A", T0 + dt.timedelta(hours=30), -99.0), (None, T0, 1.0), ("A", None, 1.0), ("B", T0, None),
+                           ("E", T0 + dt.timedelta(hours=900), float("nan")), ("A", T0 + dt.timedelta(hours=900), float("inf"))]
+    return rows
+
+
+@pytest.mark.parametrize("block,tile,max_lag", [(1, 1, 7), (50, 2, 30), (10_000, 32, 7)])
+def test_lag_correlations_by_hand(spark, block, tile, max_lag):
+    rows = gappy_series()
+    d = spark.createDataFrame(rows, "symbol string, ts timestamp, ret double").withColumn("lag", F.lit("own"))
+    got = {(r["market1"], r["market2"], r["lag"]): (r["r"], r["n"]) for r in lg.lag_correlations(d, max_lag, block=block, tile=tile).collect()}
+    want = lagged_by_hand(rows, max_lag)
+    assert got.keys() == want.keys()
+    for k, (r, n) in want.items():
+        assert got[k][1] == n and (got[k][0] is None if r is None else got[k][0] == pytest.approx(r, abs=1e-9)), k
+
+
+def test_lag_correlations_of_listed_pairs(spark):
+    d = spark.createDataFrame(gappy_series(), "symbol string, ts timestamp, ret double")
+    names = [("E", "A"), ("A", "E"), ("B", "B"), ("C", "nobody"), (None, "A"), ("B", "E")]
+    wanted = spark.createDataFrame(names, "market1 string, market2 string")
+    key = lambda rows: sorted((r["market1"], r["market2"], r["lag"], r["n"], round(r["r"], 9)) for r in rows)
+    every = [r for r in lg.lag_correlations(d, 5).collect() if (r["market1"], r["market2"]) in {("A", "E"), ("B", "E")}]
+    assert key(lg.lag_correlations(d, 5, wanted, block=50, tile=2).collect()) == key(every)
+    assert lg.lag_correlations(d.where("false"), 5).collect() == []
+    assert lg.lag_correlations(d.where("symbol = 'A'"), 5).collect() == []
+    assert lg.lag_correlations(d, 5, wanted.where("false")).collect() == []

@@ -20,7 +20,7 @@ def tokenizer() -> str:
 
 
 def op1_prefix_shards(spark, sf):
-    shards = sharding.assign_shards(table(spark, sf, "documents"), 8)
+    shards = sharding.assign_shards(table(spark, sf, "documents"), 8, together=True)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
 

@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketpulse.llm.common import running_totals, text_of
+from marketpulse.llm.common import partitions, running_totals, text_of
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 8, order: Sequence[str] = ("doc_id",)) -> DataFrame:
+def measures() -> tuple[Column, Column]:
+    """Size of a row (UTF-8 bytes of its text + 1) and checksum of its text."""
+    text = text_of()
+    return F.octet_length(text).cast("long") + 1, F.crc32(text)
+
+
+def assign_shards(docs: DataFrame, n_shards: int = 8, order: Sequence[str] = ("doc_id",), together: bool = False) -> DataFrame:
     """Shards 0 to n-1, each a contiguous run of the rows in ``order``, with byte sums as equal as whole rows allow.
 
+    ``together`` orders by checksum and size first, so that equal texts lie side by side: a group of them is in one shard unless one of
+    the n-1 cuts falls into it. A group may hold a third of all bytes and is cut then; sizes come first.
+
     Returns a row per document: the ``order`` columns, ``size`` (UTF-8 bytes + 1), ``text_crc32``,
     ``shard``, ``slot`` (place in the shard, gapless from 0) and ``start_byte`` (bytes before it).
 
@@ -23,9 +32,10 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, order: Sequence[str] = ("d
     order values follow by checksum and size; wholly equal rows are interchangeable. An empty table
     gives an empty result. Other columns are ignored, whatever their names.
     """
-    text = text_of()
-    rows = docs.select(*order, (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = running_totals(rows, "size", [*order, "text_crc32", "size"])
+    size, checksum = measures()
+    rows = docs.select(*order, size.alias("size"), checksum.alias("text_crc32"))
+    content = ["text_crc32", "size"]
+    placed = running_totals(rows, "size", [*content, *order] if together else [*order, *content])
     total = rows_total(placed)
     at = placed.join(F.broadcast(total), placed["size"] > 0).withColumn(
         "shard", F.expr(f"cast(least(((2 * before + size) * {n_shards}) div (2 * total), {n_shards - 1}) as int)"))
@@ -41,16 +51,30 @@ def rows_total(placed: DataFrame) -> DataFrame:
     return placed.agg(F.max(F.col("before") + F.col("size")).alias("total"))
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 8, key: str = "doc_id") -> None:
-    """Write the documents with all their columns to ``path/shard=k``.
+def write_shards(docs: DataFrame, path: str, n_shards: int = 8, key: str = "doc_id", together: bool = False) -> str:
+    """Write the documents with all their columns to ``path/shard=k`` and return the name of the shard column.
 
-    Shards are ranges of the key, so the first key of each shard (n rows) routes every document
-    without joining texts to the assignment. Rows with equal keys share the shard of the first.
+    Shards are ranges of the key (with ``together`` of checksum, size and key), so the first one of each shard (n rows) routes every
+    document without joining texts to the assignment. Rows equal in it stay in one shard, the last that begins with them. A shard
+    is written by several tasks. NULL keys come first. If the documents have a column ``shard``, in any case, theirs is kept and the
+    new one has underscores added. An empty table leaves an empty folder without shards.
     """
-    first = (
-        assign_shards(docs, n_shards, (key,)).groupBy("shard").agg(F.min(key).alias("first_key"))
-        .agg(F.sort_array(F.collect_list("first_key")).alias("_firsts"))
-    )
-    routed = docs.join(F.broadcast(first)).withColumn(
-        "shard", F.greatest(F.size(F.filter("_firsts", lambda x: x <= F.col(key))) - 1, F.lit(0))).drop("_firsts")
-    routed.repartition(n_shards, "shard").write.partitionBy("shard").parquet(path)
+    size, checksum = measures()
+    content = [checksum.alias("text_crc32"), size.alias("size")] if together else []
+    own = {c.lower() for c in docs.columns}
+    column = "shard"
+    while column in own:
+        column = f"_{column}"
+    place = F.struct(*content, F.col(key).alias("key"))
+    firsts = assign_shards(docs, n_shards, (key,), together).withColumn(
+        "_place", F.struct(*(["text_crc32", "size"] if together else []), F.col(key).alias("key")))
+    first = firsts.groupBy("shard").agg(F.min("_place").alias("_first")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_first"), F.col("shard")))).alias("_firsts"))
+    # The last shard that begins at or before the row; shards without rows do not occur.
+    routed = docs.withColumn("_place", place).join(F.broadcast(first)).withColumn(
+        column, F.element_at(F.filter("_firsts", lambda x: x["_first"] <= F.col("_place")), -1)["shard"])
+    tasks = partitions(docs.sparkSession)
+    parts = -(-tasks // n_shards)
+    dealt = routed.repartition(tasks, F.col(column), F.pmod(F.xxhash64("_place"), F.lit(parts)))
+    dealt.drop("_firsts", "_place").write.partitionBy(column).parquet(path)
+    return column

@@ -93,6 +93,44 @@ def test_written_shards(spark, docs, rows, tmp_path):
     assert all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
 
 
+def test_shards_with_equal_texts_together(docs, rows, empty):
+    got = sharding.assign_shards(docs, 8, together=True).collect()
+    size = {r["doc_id"]: len((r["text"] or "").encode()) + 1 for r in rows}
+    assert Counter((r["doc_id"], r["size"]) for r in got if r["doc_id"] is not None) == Counter(
+        (r["doc_id"], size[r["doc_id"]]) for r in rows if r["doc_id"] is not None)
+    assert len(got) == len(rows)
+    total, most = sum(r["size"] for r in got), max(r["size"] for r in got)
+    shards, groups = defaultdict(list), defaultdict(set)
+    for r in got:
+        shards[r["shard"]].append(r)
+        groups[r["text_crc32"], r["size"]].add(r["shard"])
+    assert all(sorted(r["slot"] for r in some) == list(range(len(some))) for some in shards.values())
+    assert all(abs(sum(r["size"] for r in some) - total / 8) <= most for some in shards.values())
+    # Seven cuts fall into seven groups at most, and each group is contiguous.
+    assert sum(len(s) > 1 for s in groups.values()) <= 7 and all(max(s) - min(s) == len(s) - 1 for s in groups.values())
+    assert sharding.assign_shards(empty, 8, together=True).collect() == []
+
+
+def test_written_shards_keep_all_columns_and_rows(spark, docs, rows, empty, tmp_path):
+    marked = docs.withColumn("shard", F.lit("mine"))
+    column = sharding.write_shards(marked, str(tmp_path / "s"), 4, together=True)
+    assert column == "_shard"
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert set(back.columns) == {*marked.columns, "_shard"}
+    assert Counter(tuple(r) for r in back.select(*marked.columns).collect()) == Counter(tuple(r) for r in marked.collect())
+    placed = defaultdict(set)
+    for r in back.collect():
+        placed[r["text"]].add(r["_shard"])
+    assert sum(len(s) > 1 for s in placed.values()) <= 3 + 1  # three cuts; NULL and empty texts count as equal
+    sizes = [r[1] for r in back.groupBy("_shard").agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).collect()]
+    most = max(len((r["text"] or "").encode()) + 1 for r in rows)
+    assert len(sizes) == 4 and all(abs(s - sum(sizes) / 4) <= 2 * most for s in sizes)
+    few = docs.where("doc_id IN (3, 4)")
+    sharding.write_shards(few, str(tmp_path / "few"), 8)
+    assert spark.read.parquet(str(tmp_path / "few")).count() == 2
+    assert sharding.write_shards(empty, str(tmp_path / "none"), 4) == "shard"
+
+
 def test_toxicity(spark, docs, empty, labels):
     got = toxicity.score_documents(docs, labels).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)

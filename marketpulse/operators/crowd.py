@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.functions import frames as fr
 from marketpulse.functions.numeric import div, num, seconds_between
+from marketpulse.operators.chains import spaced
 from marketpulse.operators.joins import asof_join, beside, posts_of
 from marketpulse.operators.series import over_series, running
 from marketpulse.operators.timeframes import SECOND, dense, micros
@@ -152,42 +152,6 @@ def echo_chambers(posts: DataFrame, eps: float = 0.2, min_pts: int = 5) -> DataF
     return facts.join(top_tags(tagged, ["chamber_id"]), "chamber_id", "left")
 
 
-def _chain(candidates: DataFrame, hours: float) -> DataFrame:
-    """Of the candidate times per asset: the first, then always the first more than ``hours`` later.
-
-    Each time gets its successor by one forward as-of join; reachable times are then
-    marked by pointer jumping: a round makes the known part of the chain four times as
-    long and is written out. The chain has at most one time per ``hours``, so the
-    number of rounds is known, and each round adds new chain positions only.
-    """
-    span = int(hours * 3600 * SECOND)
-    times = materialise(candidates.select("asset", "_t").distinct(), "times")
-    # Forward as-of as a backward one on the negated axis: the first time above _t + span.
-    asks = times.select("asset", (-(F.col("_t") + span + 1)).alias("_key"), F.col("_t").alias("_from"))
-    keys = times.select("asset", (-F.col("_t")).alias("_key"), F.col("_t").alias("_next"))
-    chunk = F.floor(F.col("_key") / (300 * SECOND))
-    jump = asof_join(asks, keys, ("_next",), ("asset",), "_key", chunk=chunk, bar_ts="_at").select(
-        "asset", F.col("_from").alias("_t"), "_next").where(F.col("_next").isNotNull())
-    jump = materialise(jump, "jump")
-    limits = times.groupBy("asset").agg((F.max("_t") - F.min("_t")).alias("_s")).agg(F.max("_s")).first()[0]
-    rounds = max(1, math.ceil(math.log((limits or 0) / span + 2, 4)))
-
-    def follow(rows: DataFrame, step: DataFrame) -> DataFrame:
-        return rows.join(step, ["asset", "_t"]).select("asset", F.col("_next").alias("_t"))
-
-    def twice(a: DataFrame, b: DataFrame) -> DataFrame:
-        far = b.select("asset", F.col("_t").alias("_next"), F.col("_next").alias("_far"))
-        return a.join(far, ["asset", "_next"]).select("asset", "_t", F.col("_far").alias("_next"))
-    reached = times.groupBy("asset").agg(F.min("_t").alias("_t"))
-    for i in range(rounds):
-        two = twice(jump, jump)
-        steps = [follow(reached, jump), follow(reached, two), follow(reached, twice(two, jump))]
-        reached = materialise(reduce(DataFrame.unionByName, steps, reached), "reached")
-        if i + 1 < rounds:
-            jump = materialise(twice(two, two), "jump")
-    return reached
-
-
 def cascades(posts: DataFrame, hours: float = 6, window: int = 20, sigma: float = 2.0, least_users: int = 5,
              least_move: float = 0.3) -> DataFrame:
     """Sentiment cascades per asset.
@@ -204,7 +168,7 @@ def cascades(posts: DataFrame, hours: float = 6, window: int = 20, sigma: float
     rows = materialise(rows.select("asset", "ts", "_t", "event_id", "_rn", "user_id", "rolling", "change"), "rolling")
     spread = rows.groupBy("asset").agg((F.stddev_samp("change") * sigma).alias("_limit"))
     jumps = rows.join(sized(spread), "asset").where(F.abs("change") > F.col("_limit"))
-    starts = _chain(jumps, hours)
+    starts = spaced(jumps, int(hours * 3600 * SECOND) + 1, ("asset",))
     first = jumps.groupBy("asset", "_t").agg(F.min_by(F.struct("_rn", "rolling", "ts"), "_rn").alias("_s"))
     opened = starts.join(first, ["asset", "_t"]).select(
         "asset", "_t", F.col("_s._rn").alias("_first"), F.col("_s.rolling").alias("initial_sentiment"),

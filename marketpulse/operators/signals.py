@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from marketpulse.functions import frames as fr
 from marketpulse.functions.numeric import fixed, num
 from marketpulse.functions.scoring import to_index
-from marketpulse.operators.series import last_rows, over_series
+from marketpulse.operators.chains import spaced
+from marketpulse.operators.series import join_same, last_rows, over_series
+from marketpulse.operators.timeframes import SECOND, micros
+from marketpulse.session import materialise
 
 # Index thresholds, position limits and the confidence floor.
 THRESHOLDS = {"extreme_fear": 25.0, "fear": 40.0, "neutral": 60.0, "greed": 75.0}
@@ -68,12 +71,13 @@ def reason_of(action: Column, index: Column, score: Column, confidence: Column)
 
 
 def signals(df: DataFrame, thresholds: dict[str, float] | None = None, min_confidence: float = MIN_CONFIDENCE,
-            flow: DataFrame | None = None, max_per_day: int | None = None) -> DataFrame:
+            flow: DataFrame | None = None, max_per_day: int | None = None, cooldown: float | None = None) -> DataFrame:
     """Signals of rows (symbol, ts, sentiment_score, source_count[, fear_greed_index]).
 
     Without an index it is derived from the score. ``flow`` (symbol, ts, flow_strength,
     recommendation) blends the confidence 0.6 / 0.4 and turns a strongly contradicted
-    action into HOLD. ``max_per_day`` is off by default.
+    action into HOLD. Off by default: ``cooldown`` (minutes between the signals of a symbol that trade; a HOLD neither starts one nor is
+    held back) and ``max_per_day``, which counts what the cooldown leaves, of equal times the surest signal first.
     """
     base = df if "fear_greed_index" in df.columns else df.withColumn("fear_greed_index", F.lit(None).cast("double"))
     d = base.withColumn("fear_greed_index", F.coalesce("fear_greed_index", to_index(F.col("sentiment_score"))))
@@ -99,12 +103,32 @@ def signals(df: DataFrame, thresholds: dict[str, float] | None = None, min_confi
         "position_size": position_size(F.col("strength"), F.col("confidence")),
         "reasoning": reason_of(F.col("action"), index, score, F.col("confidence")),
     })
+    if cooldown is not None:
+        d = materialise(d, "signals")
+        holds = F.col("action") == "HOLD"
+        d = d.where(holds).unionByName(cooled(d.where(~holds), cooldown))
     if max_per_day is not None:
-        w = Window.partitionBy("symbol", F.to_date("ts")).orderBy("ts")
+        order = ["ts", F.col("confidence").desc(), "action", "strength", "fear_greed_index", "sentiment_score"]
+        w = Window.partitionBy("symbol", F.to_date("ts")).orderBy(*order)
         d = d.withColumn("_pos", F.row_number().over(w)).where(F.col("_pos") <= max_per_day).drop("_pos")
     return d
 
 
+def cooled(df: DataFrame, minutes: float, by=("symbol",), ts: str = "ts") -> DataFrame:
+    """The first signal of each series, then always the first at least ``minutes`` after the last one kept.
+
+    Of signals at the same time the one with the highest confidence counts, then the first action, then the first row as text; wholly
+    equal rows count once. NULL keys are a series; signals without a time are left out; an empty table gives an empty result.
+    """
+    by = list(by)
+    row = F.struct(*df.columns)
+    rank = F.struct(-F.coalesce("confidence", num(-1)), "action", F.to_json(row))
+    timed = df.where(F.col(ts).isNotNull()).groupBy(*by, micros(ts).alias("_t")).agg(F.min_by(row, rank).alias("_row"))
+    timed = materialise(timed, "timed")
+    kept = spaced(timed, round(minutes * 60 * SECOND), by)
+    return join_same(timed, kept, [*by, "_t"]).select("_row.*")
+
+
 def recent_signals(df: DataFrame, n: int = 100) -> DataFrame:
     """The last n signals of each symbol."""
     return last_rows(df, n)

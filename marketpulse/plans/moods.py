@@ -181,6 +181,24 @@ SELECT symbol, ts, action, {rnd('strength')}, {rnd('confidence')}, {rnd('positio
 FROM sig"""
 
 
+def q_signals_cooled(spark: SparkSession, sf: str) -> DataFrame:
+    hourly = src.sentiment_hourly(spark, sf).select(
+        "symbol", "ts", F.col("sentiment").alias("sentiment_score"), F.col("posts").alias("source_count"))
+    out = sg.signals(hourly, min_confidence=0.5, cooldown=150, max_per_day=3)
+    return round_columns(out.select("symbol", "ts", "action", "confidence"), {"confidence": 6})
+
+
+# The check walks from signal to signal.
+SQL_SIGNALS_COOLED = "WITH RECURSIVE " + ",\n".join([*SIGNAL_CTES, "act AS (SELECT * FROM sig WHERE action <> 'HOLD')", """walk AS (
+  SELECT symbol, min(ts) AS ts FROM act GROUP BY 1
+  UNION ALL
+  SELECT w.symbol, n.ts FROM walk w, LATERAL (SELECT min(a.ts) AS ts FROM act a
+    WHERE a.symbol = w.symbol AND a.ts >= w.ts + INTERVAL 150 MINUTE) n WHERE n.ts IS NOT NULL)""", """lft AS (
+  SELECT * FROM sig WHERE action = 'HOLD' UNION ALL SELECT act.* FROM act JOIN walk USING (symbol, ts))""", """dy AS (
+  SELECT *, row_number() OVER (PARTITION BY symbol, ts::DATE ORDER BY ts) AS rn FROM lft)"""]) + f"""
+SELECT symbol, ts, action, {rnd('confidence')} FROM dy WHERE rn <= 3"""
+
+
 def q_signal_summary(spark: SparkSession, sf: str) -> DataFrame:
     return round_columns(sg.signal_summary(trade_signals(spark, sf)), {"avg_confidence": 6})
 
@@ -304,6 +322,7 @@ QUERIES = {
     "source_breakdown": (q_source_breakdown, SQL_SOURCE_BREAKDOWN),
     "fear_greed_index": (q_fear_greed_index, SQL_FEAR_GREED_INDEX),
     "signals": (q_signals, SQL_SIGNALS),
+    "signals_cooled": (q_signals_cooled, SQL_SIGNALS_COOLED),
     "signal_summary": (q_signal_summary, SQL_SIGNAL_SUMMARY),
     "signals_per_day": (q_signals_per_day, SQL_SIGNALS_PER_DAY),
     "recent_signals": (q_recent_signals, SQL_RECENT_SIGNALS),

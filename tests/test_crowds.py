@@ -12,6 +12,7 @@ from marketpulse.operators import crowd as cw
 from marketpulse.operators import lags as lg
 from marketpulse.operators import outcomes as oc
 from marketpulse.operators import walkforward as wf
+from marketpulse.operators.chains import spaced
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -61,7 +62,7 @@ def test_chain(spark):
     times = {a: sorted({random.randrange(0, 400 * 3600) * 1_000_000 for _ in range(n)}) for a, n in (("A", 300), ("B", 3), ("C", 1))}
     d = spark.createDataFrame([(a, t) for a, ts in times.items() for t in ts], "asset string, _t long")
     got = {}
-    for r in cw._chain(d, 6).collect():
+    for r in spaced(d, 6 * 3600 * 1_000_000 + 1, ("asset",)).collect():
         got.setdefault(r["asset"], []).append(r["_t"])
     for a, ts in times.items():
         want, reach = [], -1
@@ -128,20 +129,6 @@ def test_outcomes_are_repeatable(spark):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
     mean = sum(a.values()) / 50
     assert 0.4 < mean < 1.6  # (1 + 0.0025) ** 252 - 1 is about 0.88
-    normal = oc.outcome_stats(oc.parametric_outcomes(spark, 0.001, 0.01, 252, 400)).first()
-    assert normal["simulations"] == 400 and 0.15 < normal["mean_return"] < 0.45
-    assert normal["ci95_low"] < normal["median_return"] < normal["ci95_high"]
-
-
-def test_correlated_outcomes(spark):
-    random.seed(2)
-    rows = []
-    for i in range(200):
-        z = random.gauss(0, 0.01)
-        rows += [("A", T0 + dt.timedelta(days=i), z), ("B", T0 + dt.timedelta(days=i), z + random.gauss(0, 0.001))]
-    d = spark.createDataFrame(rows, "symbol string, ts timestamp, ret double")
-    s = oc.outcome_stats(oc.correlated_outcomes(d, ["A", "B"], 100, 300)).first()
-    assert 0.05 < s["std_return"] < 0.2
 
 
 def lagged_by_hand(rows, max_lag):

@@ -31,4 +31,4 @@ def test_entry_has_rows(spark):
 
 def test_unchecked_queries_are_few():
     free = set(catalog.queries()) - set(catalog.oracle_sql())
-    assert free == {"cross_market", "text_classifier"}
+    assert free == {"text_classifier"}

@@ -3,7 +3,8 @@
 ``percentile_approx`` brackets each wanted rank, everything below the bracket is
 only counted, and the values inside it (a small share of the group, duplicates
 collapsed) are ranked exactly. A group with at most ``accuracy`` rows is its own
-bracket.
+bracket; for larger ones the rows below and inside each bracket are counted first, and a side
+that misses the wanted rank is moved to the end of the group.
 """
 
 from __future__ import annotations
@@ -18,13 +19,28 @@ from marketpulse.operators.joins import join_or_beside
 from marketpulse.session import sized
 
 ACCURACY = 100_000
+#: Width of a bracket to each side, in parts of the accuracy.
+MARGIN = 3.0
+
+
+def _widened(rows: DataFrame, bounds: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """``bounds`` with every bracket wide enough for the ranks around its probability."""
+    v, lo, hi, n = (F.col(c) for c in ("_v", "_lo", "_hi", "_n"))
+    facts = [*by, "_n", "_min", "_max", "_i", "_lo", "_hi"]
+    counted = join_or_beside(rows, bounds, by).select(*by, "_n", "_min", "_max", "_v", F.inline("_b")).groupBy(*facts).agg(
+        F.count_if(v < lo).alias("_below"), F.count_if(v <= hi).alias("_upto"))
+    p = F.element_at(F.array(*[num(x) for x in probs]), F.col("_i") + 1)
+    first, last = F.floor(p * (n - 1)), F.least(F.floor(p * n) + 1, n - 1)
+    bracket = F.struct("_i", F.when(F.col("_below") > first, F.col("_min")).otherwise(lo).alias("_lo"),
+                       F.when(F.col("_upto") <= last, F.col("_max")).otherwise(hi).alias("_hi"))
+    return counted.groupBy(*by, "_n", "_min", "_max").agg(F.collect_list(bracket).alias("_b"))
 
 
 def _ranked(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], accuracy: int) -> DataFrame:
     """Per key and probability: the bracketed values with their 0-based rank range."""
     by = list(by)
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    margin = 3.0 / accuracy
+    margin = MARGIN / accuracy
     lows = [max(p - margin, 0.0) for p in probs]
     highs = [min(p + margin, 1.0) for p in probs]
     sketch = rows.groupBy(*by).agg(
@@ -44,7 +60,10 @@ def _ranked(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]
         )
         for i in range(k)
     ])
-    bounds = sized(sketch.select(*by, "_n", brackets.alias("_b")))
+    bounds = sized(sketch.select(*by, "_n", "_min", "_max", brackets.alias("_b")))
+    large = bounds.where(F.col("_n") > accuracy)
+    if not large.isEmpty():
+        bounds = sized(bounds.where(F.col("_n") <= accuracy).unionByName(_widened(rows, large, by, probs)))
     joined = join_or_beside(rows, bounds, by)
     # Map-side: each row meets the wanted ranks; rows below a bracket share one NULL value.
     hits = (

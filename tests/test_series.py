@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.functions import frames as fr
 from marketpulse.operators import indicators as ind
+from marketpulse.operators import quantiles
 from marketpulse.operators.quantiles import exact_quantiles, value_at_share
 from marketpulse.operators.series import last_rows, number_rows, over_series, running
 
@@ -105,6 +106,21 @@ def test_exact_quantiles(spark, accuracy):
         assert cut[k] == (i, pytest.approx(sorted(vs)[i]))
 
 
+@pytest.mark.parametrize("margin", [-1.0, 0.0])
+def test_quantile_brackets_that_miss_are_widened(spark, monkeypatch, margin):
+    monkeypatch.setattr(quantiles, "MARGIN", margin)
+    rng = np.random.default_rng(2)
+    groups = {"many": rng.normal(size=3000), "ties": np.round(rng.normal(size=800)), "few": rng.normal(size=7)}
+    d = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double").repartition(3)
+    probs = [0.05, 0.5, 0.95]
+    got = {(r["k"], r["p"]): r["q"] for r in exact_quantiles(d, ["k"], "v", probs, 40).collect()}
+    assert got == {(k, p): pytest.approx(np.quantile(vs, p), abs=1e-12) for k, vs in groups.items() for p in probs}
+    whole = np.concatenate(list(groups.values()))
+    assert {r["p"]: r["q"] for r in exact_quantiles(d, [], "v", probs, 40).collect()} == {
+        p: pytest.approx(np.quantile(whole, p), abs=1e-12) for p in probs}
+    assert exact_quantiles(d.where("false"), ["k"], "v", probs, 40).collect() == []
+
+
 def test_drawdown_duration(spark):
     def run(values):
         d = spark.createDataFrame([("p", i, float(v)) for i, v in enumerate(values)], "portfolio_id string, seq int, equity double")

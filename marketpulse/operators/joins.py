@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketpulse.functions.numeric import seconds_between
-from marketpulse.operators.series import over_series, running
+from marketpulse.operators.series import join_same, over_series, running
 
 GRID = 4096
 
@@ -153,8 +153,8 @@ def beside(df: DataFrame, one: DataFrame) -> DataFrame:
 
 
 def join_or_beside(df: DataFrame, side: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join of aggregates on their keys; without keys the side has one row."""
-    return df.join(side, list(by)) if by else beside(df, side)
+    """Join of aggregates on their keys, NULL keys too; without keys the side has one row."""
+    return join_same(df, side, list(by)) if by else beside(df, side)
 
 
 def checked(dim: DataFrame, max_rows: int = 200_000) -> DataFrame:

@@ -121,6 +121,14 @@ def test_quantile_brackets_that_miss_are_widened(spark, monkeypatch, margin):
     assert exact_quantiles(d.where("false"), ["k"], "v", probs, 40).collect() == []
 
 
+@pytest.mark.parametrize("accuracy", [3, 100000])
+def test_quantiles_of_a_null_key(spark, accuracy):
+    rows = [(k, float(i)) for k in ("a", None) for i in range(9)] + [("none", None)]
+    d = spark.createDataFrame(rows, "k string, v double")
+    got = {(r["k"], r["p"]): r["q"] for r in exact_quantiles(d, ["k"], "v", [0.5, 1.0], accuracy).collect()}
+    assert got == {(k, p): q for k in ("a", None) for p, q in ((0.5, 4.0), (1.0, 8.0))}
+
+
 def test_drawdown_duration(spark):
     def run(values):
         d = spark.createDataFrame([("p", i, float(v)) for i, v in enumerate(values)], "portfolio_id string, seq int, equity double")

@@ -30,6 +30,20 @@ def name_table(names: DataFrame, name: str = "name") -> DataFrame:
     return low.withColumn("n_words", F.regexp_count("name", F.lit(f"{WORD}+"))).where("n_words > 0")
 
 
+def name_starts(names: DataFrame) -> DataFrame:
+    """(name): the first one, two, ... words of each name, with one letter for both small sigmas.
+
+    Small sigma alone has another form at the end of a word, which a name cut short may end with.
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(r"\w+")
+        for batch in batches:
+            starts = {name[: m.end()].replace("\u03c2", "\u03c3") for name in batch.column(0).to_pylist() for m in word.finditer(name)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(starts), pa.string())], ["name"])
+
+    return names.select("name").mapInArrow(cut, "name string").distinct()
+
+
 def hash_map(names: DataFrame) -> bytes:
     """One bit per hash value that a name has; its size does not depend on the number of names."""
     pages = names.select(F.pmod(F.xxhash64("name"), F.lit(1 << BITS)).alias("p")).groupBy(F.expr(f"p div {PAGE}").alias("page")).agg(
@@ -41,10 +55,10 @@ def hash_map(names: DataFrame) -> bytes:
     return bytes(whole)
 
 
-def word_runs(posts: DataFrame, most: int, bits: bytes, key: str, col: str) -> DataFrame:
+def word_runs(posts: DataFrame, most: int, bits: bytes, starts_bits: bytes, key: str, col: str) -> DataFrame:
     """(key, start, end, name): runs of one to ``most`` words whose hash a name has, with what stands between the words.
 
-    A pass over the words of each post where it is read; the hash is Spark's ``xxhash64``.
+    A run grows while its hash is that of the start of a name (``starts_bits``). A pass over the words of each post where it is read; the hash is Spark's ``xxhash64``.
     """
     kind = posts.schema[key].dataType.simpleString()
 
@@ -57,6 +71,9 @@ def word_runs(posts: DataFrame, most: int, bits: bytes, key: str, col: str) -> D
                 for i, (start, _) in enumerate(spans):
                     for _, end in spans[i : i + most]:
                         name = text[start:end].lower()
+                        at = xxhash.xxh64_intdigest(name.replace("\u03c2", "\u03c3").encode(), seed=42) & last
+                        if not starts_bits[at >> 3] >> (at & 7) & 1:
+                            break
                         at = xxhash.xxh64_intdigest(name.encode(), seed=42) & last
                         if bits[at >> 3] >> (at & 7) & 1:
                             rows.append(row)
@@ -86,7 +103,7 @@ def longest_first(found: Column) -> Column:
 def phrase_mentions(posts: DataFrame, names: DataFrame, most: int | None = None, key: str = "post_id", col: str = "text") -> DataFrame:
     """(key, name, start, end) of each name of ``names`` (name) that a post holds as whole words, in any case.
 
-    Every run of up to ``most`` words (default: of the longest name) is hashed and looked up in a bit map of the names' hashes; only runs
+    Runs of up to ``most`` words (default: of the longest name), grown while they begin a name, are hashed and looked up in a bit map of the names' hashes; only runs
     that hit leave the post as narrow rows and are joined to the names by their whole text, so the cost does not grow with the
     number of names, and no text is shuffled. Overlaps are resolved from the left, longer names first.
 
@@ -95,7 +112,6 @@ def phrase_mentions(posts: DataFrame, names: DataFrame, most: int | None = None,
     """
     table = sized(name_table(names))
     longest = most or table.agg(F.max("n_words")).first()[0] or 1
-    bits = hash_map(table)
-    met = word_runs(posts, longest, bits, key, col).join(table.select("name"), "name")
+    met = word_runs(posts, longest, hash_map(table), hash_map(name_starts(table)), key, col).join(table.select("name"), "name")
     kept = met.groupBy("_key").agg(longest_first(F.collect_set(F.struct("start", "end", "name"))).alias("_kept"))
     return kept.select(F.col("_key").alias(key), F.inline("_kept")).select(key, "name", "start", "end")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.functions import text as tx
+from marketpulse.session import sized
 
 
 def preprocess(posts: DataFrame, min_len: int = 10, max_len: int = 500, truncate: bool = False,
@@ -33,6 +34,25 @@ def preprocess(posts: DataFrame, min_len: int = 10, max_len: int = 500, truncate
     })
 
 
+def token_counts(posts: DataFrame, key: str = "post_id", col: str = "tokens") -> DataFrame:
+    """(token, n, posts): how often each token occurs, and in how many different keys.
+
+    A key's tokens are counted where they are read: a post whose key no other row has counts once for each of its
+    tokens, so only one row per token and task is shuffled. Rows that share a key are first put together; keys
+    met twice have a known number, so few of them do not move the others.
+    """
+    twice = sized(posts.groupBy(F.col(key).alias("_twice")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_twice", F.lit(True).alias("_shared")))
+    rows = posts.select(key, F.sort_array(col).alias("_t")).join(twice, F.col(key).eqNullSafe(F.col("_twice")), "left")
+    each = rows.select(key, "_shared", "_t", F.posexplode("_t").alias("_at", "token"))
+    fresh = F.coalesce(F.expr("get(_t, _at - 1)") != F.col("token"), F.lit(True))
+    each = each.select(key, "_shared", "token", fresh.alias("_fresh"))
+    counted = F.count_if(F.col("_fresh") & F.col("_shared").isNull() & F.col(key).isNotNull())
+    single = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), counted.alias("posts"))
+    several = each.where(F.col("_fresh") & F.col("_shared")).where(F.col(key).isNotNull()).select("token", key).distinct()
+    several = several.groupBy("token").agg(F.lit(0).cast("long").alias("n"), F.count(F.lit(1)).alias("posts"))
+    return single.unionByName(several).groupBy("token").agg(F.sum("n").alias("n"), F.sum("posts").alias("posts"))
+
+
 def dedupe_posts(posts: DataFrame, key: str = "post_id", col: str = "text") -> DataFrame:
     """One post per distinct text: the one with the smallest key, and the number of copies.
 

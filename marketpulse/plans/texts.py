@@ -77,10 +77,7 @@ FROM tk"""
 
 
 def q_post_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    d = po.preprocess(src.posts(spark, sf))
-    return d.select("post_id", F.explode("tokens").alias("token")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("post_id").alias("posts")
-    )
+    return po.token_counts(po.preprocess(src.posts(spark, sf)))
 
 
 SQL_POST_TOKENS = with_(POSTS, CLEANED, f"tk AS (SELECT post_id, unnest({_TOKENS}) AS token FROM cleaned)") + """

@@ -75,12 +75,20 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
+def word_count(text: Column) -> Column:
+    """Number of ``words``, counted without making them."""
+    return F.regexp_count(text, F.lit(r"\S+"))
+
+
+def bare_word(word: Column) -> Column:
+    """A word without outer ASCII punctuation; a word of punctuation only stays as it is."""
+    inner = F.btrim(word, F.lit(string.punctuation))
+    return F.when(inner == "", word).otherwise(inner)
+
+
 def bare_words(text: Column) -> Column:
     """Words in lower case without outer ASCII punctuation; words of punctuation only stay as they are."""
-    def bare(word: Column) -> Column:
-        inner = F.btrim(word, F.lit(string.punctuation))
-        return F.when(inner == "", word).otherwise(inner)
-    return F.transform(words(F.lower(text)), bare)
+    return F.transform(words(F.lower(text)), bare_word)
 
 
 def tokens(cleaned: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
@@ -111,6 +119,20 @@ def cashtags(text: Column) -> Column:
     return F.regexp_extract_all(F.upper(text), F.lit(r"\$([A-Z]{2,5})" + EDGE), F.lit(1))
 
 
+def _whole_words(listed: Sequence[str]) -> str:
+    """A pattern of the listed words. Where no word's first letter stands, the dearer look behind is not tried."""
+    firsts = {w[:1] for w in listed}
+    ahead = f"(?=[{''.join(sorted(firsts))}])" if all(x.isalnum() for x in firsts) else ""
+    return f"{ahead}(?<!{WORD})({'|'.join(listed)}){EDGE}"
+
+
+def has_any(lowered: Column, listed: Sequence[str], match: str = "word") -> Column:
+    """Whether ``word_hits`` has any: stops at the first one and makes no list."""
+    if match == "word":
+        return lowered.rlike(_whole_words(listed))
+    return reduce(lambda a, b: a | b, [F.coalesce(contains_word(lowered, word, match), F.lit(False)) for word in listed])
+
+
 def word_hits(lowered: Column, listed: Sequence[str], match: str = "word") -> Column:
     """The distinct listed words that occur in the text.
 
@@ -118,8 +140,7 @@ def word_hits(lowered: Column, listed: Sequence[str], match: str = "word") -> Co
     because they may overlap.
     """
     if match == "word":
-        pattern = f"(?<!{WORD})({'|'.join(listed)}){EDGE}"
-        return F.array_distinct(F.regexp_extract_all(lowered, F.lit(pattern), F.lit(1)))
+        return F.array_distinct(F.regexp_extract_all(lowered, F.lit(_whole_words(listed)), F.lit(1)))
     found = [F.when(contains_word(lowered, word, match), F.lit(word)) for word in listed]
     return F.filter(F.array(*found), lambda t: t.isNotNull())
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketpulse.functions.numeric import clip, div, num
-from marketpulse.functions.text import bare_words, is_ascii, lookup, word_hits, words
+from marketpulse.functions.text import bare_word, has_any, is_ascii, lookup, word_count, word_hits
 from marketpulse.operators.joins import checked
 
 # Fear and greed words with their weights.
@@ -77,11 +77,11 @@ def _weight(lowered: Column, table: dict[str, float], match: str) -> Column:
 
 def fear_greed_score(posts: DataFrame, match: str = "word", fear=None, greed=None, prefix: str = "fg_") -> DataFrame:
     """Weighted fear and greed words of a text: positive, negative, neutral, compound, confidence."""
-    lowered = F.lower("text")
-    out = posts.withColumns({
+    lowered = F.col("_lowered")
+    out = posts.withColumn("_lowered", F.lower("text")).withColumns({
         f"{prefix}positive": _weight(lowered, greed or GREED_WORDS, match),
         f"{prefix}negative": _weight(lowered, fear or FEAR_WORDS, match),
-    })
+    }).drop("_lowered")
     up, down = F.col(f"{prefix}positive"), F.col(f"{prefix}negative")
     return out.withColumns({
         f"{prefix}neutral": 1 - F.greatest(up, down),
@@ -97,11 +97,22 @@ def _boost(word: Column) -> Column:
     )
 
 
-def _neighbours(bare: Column) -> Column:
-    """Each word with the three words before it."""
-    return F.transform(bare, lambda t, i: F.struct(t.alias("token"), *[
-        F.get(F.col("_w"), i - k).alias(f"b{k}") for k in (1, 2, 3)
-    ]))
+def _hits(texts: DataFrame, lexicon: DataFrame, key: list[str], col: str, every: bool = False) -> DataFrame:
+    """(key..., valence, _first, b1, b2, b3): the words of each text that the lexicon has, with the three words before them.
+
+    ``every`` keeps the first word of each text, NULL texts too, whether the lexicon has it or not; ``_first`` tells which it is. Splitting, looking up and filtering are one
+    generated loop over the words: words that the lexicon lacks are never made rows of.
+    """
+    split = F.split(F.lower(col), r"\s+")
+    rows = texts.select(*key, split.alias("_w")).select(*key, "_w", (F.posexplode_outer if every else F.posexplode)("_w").alias("_at", "_word"))
+    # White space at the ends of a text leaves empty words there.
+    before = [F.expr(f"nullif(get(_w, _at - {k}), '')").alias(f"_r{k}") for k in (1, 2, 3)]
+    rows = rows.select(*key, "_at", bare_word(F.nullif(F.col("_word"), F.lit(""))).alias("token"), *before)
+    met = rows.join(checked(lexicon), "token", "left" if every else "inner")
+    first = F.coalesce("_at", F.lit(0)) == 0
+    if every:
+        met = met.where(F.col("valence").isNotNull() | first)
+    return met.select(*key, "valence", first.alias("_first"), *[bare_word(F.col(f"_r{k}")).alias(f"b{k}") for k in (1, 2, 3)])
 
 
 def _adjusted() -> Column:
@@ -120,8 +131,7 @@ def valence_hits(texts: DataFrame, lexicon: DataFrame, key: list[str], col: str
     Words travel with their neighbours, so nothing is shuffled to find them; a lexicon
     that is small enough to broadcast joins on the map side as well.
     """
-    rows = texts.select(*key, bare_words(F.col(col)).alias("_w")).select(*key, F.inline(_neighbours(F.col("_w"))))
-    return rows.join(checked(lexicon), "token").select(*key, _adjusted().alias("v"))
+    return _hits(texts, lexicon, key, col).select(*key, _adjusted().alias("v"))
 
 
 def _normalise(total: Column) -> Column:
@@ -144,9 +154,8 @@ def lexicon_score(posts: DataFrame, lexicon: DataFrame, key: str = "post_id", co
     keep = [key, *[c for c in posts.columns if c not in (key, col)]]
     text = F.col(col)
     rows = posts.select(
-        F.monotonically_increasing_id().alias("_post"), *keep, (F.length(F.trim(text)) == 0).alias("_empty"), F.size(words(text)).alias("_n"), bare_words(text).alias("_w"),
-    ).select("_post", *keep, "_empty", "_n", F.inline_outer(_neighbours(F.col("_w"))))
-    scored = rows.join(checked(lexicon), "token", "left").withColumn("v", _adjusted())
+        F.monotonically_increasing_id().alias("_post"), *keep, (F.length(F.trim(text)) == 0).alias("_empty"), word_count(text).alias("_n"), text.alias("_text"))
+    scored = _hits(rows, lexicon, ["_post", *keep, "_empty", "_n"], "_text", every=True).withColumn("v", _adjusted())
     v = F.col("v")
     sums = scored.groupBy("_post", *keep, "_empty", "_n").agg(
         F.sum(v).alias("_total"),
@@ -218,20 +227,19 @@ def sarcasm(posts: DataFrame, lexicon: DataFrame, key: str = "post_id", match: s
     Contradicting neighbour sentences x 0.4, patterns x 0.3, context x 0.3 (and a
     model score x 0.3 when its column is given); above 0.5 the sentiment is flipped.
     """
-    text, lowered = F.col("text"), F.lower("text")
+    text, lowered = F.col("text"), F.col("_lowered")
     whole = compound(posts, lexicon, [key]).withColumnRenamed("compound", "_compound")
 
     sentences = posts.select(key, F.posexplode(F.split("text", r"[.!?]+")).alias("_pos", "text")).where(
         F.col("text").rlike(r"\S")
     )
-    marked = sentences.join(compound(sentences, lexicon, [key, "_pos"]), [key, "_pos"], "left")
+    # Every sentence has a first word, so the sums have all sentences; rows of equal keys count as often as they are.
+    spoken = _hits(sentences, lexicon, [key, "_pos"], "text", every=True).groupBy(key, "_pos").agg(
+        _normalise(F.sum(_adjusted())).alias("_s"), F.count_if("_first").alias("_rows"))
     w = Window.partitionBy(key).orderBy("_pos")
-    score = F.coalesce("compound", num(0))
-    steps = marked.withColumn("_s", score).withColumn("_next", F.lead("_s").over(w))
+    steps = spoken.withColumn("_next", F.lead("_s").over(w))
     turn = ((F.col("_s") > 0.3) & (F.col("_next") < -0.3)) | ((F.col("_s") < -0.3) & (F.col("_next") > 0.3))
-    contradiction = steps.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_sentences"), F.count_if(turn).alias("_turns")
-    )
+    contradiction = steps.groupBy(key).agg(F.sum("_rows").alias("_sentences"), F.count_if(turn).alias("_turns"))
 
     quotes = posts.select(
         key, F.posexplode(F.regexp_extract_all("text", F.lit("[\"']([^\"']+)[\"']"), F.lit(1))).alias("_pos", "text")
@@ -241,11 +249,11 @@ def sarcasm(posts: DataFrame, lexicon: DataFrame, key: str = "post_id", match: s
     )
 
     phrases = _count([F.contains(lowered, F.lit(p)) for p in SARCASTIC])
-    strong = F.size(word_hits(lowered, INTENSIFIERS, match)) > 0
-    caps = F.regexp_count(text, F.lit(r"(?<![\p{L}\p{N}_])[A-Z]{2,}(?![\p{L}\p{N}_])"))
+    strong = has_any(lowered, INTENSIFIERS, match)
+    caps = F.regexp_count(text, F.lit(r"(?=[A-Z]{2})(?<![\p{L}\p{N}_])[A-Z]{2,}(?![\p{L}\p{N}_])"))
     rhetorical = F.when(F.contains(text, F.lit("?")), _count([lowered.rlike(p) for p in RHETORICAL])).otherwise(0)
     # All tests of the text itself run where it is read; the text goes no further.
-    d = posts.select(
+    d = posts.withColumn("_lowered", F.lower(text)).select(
         key, F.regexp_count(text, F.lit("!")).alias("_shouts"), F.regexp_count(text, F.lit(r"\?")).alias("_asks"),
         phrases.alias("_phrases"), strong.alias("_strong"), caps.alias("_caps"),
         F.contains(text, F.lit("...")).alias("_dots"), F.size(word_hits(lowered, HYPERBOLE, match)).alias("_hyper"),
@@ -296,14 +304,14 @@ def sarcasm(posts: DataFrame, lexicon: DataFrame, key: str = "post_id", match: s
 
 def image_text_flags(df: DataFrame, match: str = "substring") -> DataFrame:
     """is_chart, is_meme and has_text of the text read from an image."""
-    lowered = F.lower("text")
+    lowered = F.col("_lowered")
     caps = div(F.regexp_count("text", F.lit(r"\p{Lu}")).cast("double"), F.greatest(F.length("text"), F.lit(1)))
-    shouted = (caps > 0.7) & (F.length("text") < 100)
-    return df.withColumns({
-        "is_chart": F.size(word_hits(lowered, CHART_WORDS, match)) > 0,
-        "is_meme": (F.size(word_hits(lowered, MEME_WORDS, match)) > 0) | shouted,
+    shouted = (F.length("text") < 100) & (caps > 0.7)
+    return df.withColumn("_lowered", F.lower("text")).withColumns({
+        "is_chart": has_any(lowered, CHART_WORDS, match),
+        "is_meme": has_any(lowered, MEME_WORDS, match) | shouted,
         "has_text": F.length(F.trim("text")) > 0,
-    })
+    }).drop("_lowered")
 
 
 def image_text_sentiment(df: DataFrame, text_score: str, colour_score: str, match: str = "substring") -> DataFrame:

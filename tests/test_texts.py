@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketpulse.functions import text as tx
 from marketpulse.operators import lexicon as lex
 from marketpulse.operators import mentions as ment
+from marketpulse.operators import phrases as ph
 from marketpulse.operators import posts as po
 from marketpulse.operators import sentiment as se
 
@@ -167,3 +168,40 @@ def test_native_words(spark):
     got = {r["post_id"]: (r["native_score"], r["native_confidence"]) for r in lex.native_score(d).collect()}
     assert got[0] == (pytest.approx(1 / 3), pytest.approx(0.6))
     assert got[1] == (0, 0) and got[2] == (1, pytest.approx(0.8))
+
+
+def test_token_counts_of_shared_and_missing_keys(spark):
+    rows = [(1, ["a", "b", "a"]), (1, ["a", "c"]), (2, ["a"]), (None, ["a", "b"]), (None, ["a"]), (3, []), (4, None)]
+    got = po.token_counts(spark.createDataFrame(rows, "post_id long, tokens array<string>"))
+    assert {tuple(r) for r in got.select("token", "n", "posts").collect()} == {("a", 6, 2), ("b", 2, 1), ("c", 1, 1)}
+
+
+def test_word_runs_stop_where_no_name_goes_on(spark):
+    names = spark.createDataFrame([("alpha beta",), ("alpha beta gamma delta",), ("ΟΔΟΣ. one",), ("beta",)], "name string")
+    posts = spark.createDataFrame([(1, "Alpha  beta alpha beta gamma beta"), (2, "alpha BETA gamma Delta"), (3, "x ΟΔΟΣ. One"), (4, None)], "post_id long, text string")
+    table = ph.name_table(names)
+    starts = {r["name"] for r in ph.name_starts(table).collect()}
+    assert {"alpha", "alpha beta", "alpha beta gamma", "alpha beta gamma delta", "οδοσ", "οδοσ. one", "beta"} == starts
+    got = {(r["post_id"], r["name"], r["start"], r["end"]) for r in ph.phrase_mentions(posts, names).collect()}
+    assert {(1, "beta", 7, 11), (1, "alpha beta", 12, 22), (1, "beta", 29, 33), (2, "alpha beta gamma delta", 0, 22)} <= got
+    assert {g for g in got if g[0] != 3} == {(1, "beta", 7, 11), (1, "alpha beta", 12, 22), (1, "beta", 29, 33), (2, "alpha beta gamma delta", 0, 22)}
+
+
+def test_lexicon_looks_words_up_before_they_are_rows(spark):
+    """Only hits and first words reach the sums, and neighbours are those of the whole text."""
+    lexicon = spark.createDataFrame([("good", 2.0), ("!!", 1.0)], "token string, valence double")
+    posts = spark.createDataFrame([(1, "  not (very) GOOD, good"), (2, ""), (3, None), (4, "plain words only"), (5, "!! x ")], "post_id long, text string")
+    hits = lex._hits(posts, lexicon, ["post_id"], "text", every=True)
+    got = sorted((r["post_id"], r["valence"] or 0, r["b1"] or "", r["b2"] or "", r["b3"] or "") for r in hits.collect())
+    assert got == [(1, 0, "", "", ""), (1, 2.0, "good", "very", "not"), (1, 2.0, "very", "not", ""), (2, 0, "", "", ""), (3, 0, "", "", ""),
+                   (4, 0, "", "", ""), (5, 1.0, "", "", "")]
+    assert hits.groupBy("post_id").agg(F.count_if("_first").alias("n")).where("n <> 1").count() == 0
+    score = {r["post_id"]: r for r in lex.lexicon_score(posts, lexicon).collect()}
+    assert len(score) == 5 and score[2]["confidence"] == 0 and score[4]["neutral"] == 1 and score[1]["compound"] < 0
+
+
+def test_word_lists_agree_with_and_without_hits(spark):
+    texts = spark.createDataFrame([("so it is",), ("also",), ("x so-so",), ("",), (None,)], "t string")
+    got = [tuple(r) for r in texts.select(tx.has_any(F.col("t"), ["so", "very"]), F.size(tx.word_hits(F.col("t"), ["so", "very"])) > 0,
+                                          tx.has_any(F.col("t"), ["so"], "substring")).collect()]
+    assert got == [(True, True, True), (False, False, True), (True, True, True), (False, False, False), (None, None, False)]

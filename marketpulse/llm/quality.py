@@ -10,10 +10,8 @@ from marketpulse.session import materialise
 
 #: Buckets of the hashed n-grams: the size of both multinomials, whatever the corpus.
 BUCKETS = 8192
-#: Most trusted documents that the target multinomial is fitted on, chosen by hash.
-TRUSTED = 20000
-#: Most trusted documents whose scores set the threshold, chosen by hash.
-SAMPLE = 5000
+#: Bits of the map that tells which hashes the trusted ids have: 2**24, in at most 2**18 rows.
+BITS = 24
 #: A document is dropped if its ratio lies this many standard deviations below the trusted mean.
 DEVIATIONS = 6.0
 #: Pseudo-count of every bucket.
@@ -63,27 +61,46 @@ def features(buckets: int) -> Column:
     return F.transform(F.concat("_hashes", pairs), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
-def chosen(trusted: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` distinct trusted ids, by hash: so many longs are broadcast."""
+def chosen(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(doc_id, _text) of all rows of ``docs`` whose id is trusted, written out: both rules are learned from them.
+
+    A bit map of the hashes of the ids, of the same size for any number of them, is sent to all tasks. Only texts
+    whose id meets a bit are shuffled; they are joined to the ids themselves.
+    """
     ids = trusted.select(F.col("doc_id").alias("_trusted")).where("_trusted IS NOT NULL").distinct()
-    return ids.orderBy(F.xxhash64("_trusted"), "_trusted").limit(most)
+    ids = materialise(ids, "trusted_ids")
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} % 64 AS int))")
+    bits = ids.select(spot(F.col("_trusted").cast("long")).alias("_at")).groupBy(F.expr("_at div 64").alias("_group")).agg(F.bit_or(bit("_at")).alias("_bits"))
+    own = docs.select("doc_id", text_of().alias("_text"), spot(F.col("doc_id").cast("long")).alias("_spot"))
+    near = own.join(F.broadcast(bits), F.expr("_spot div 64 = _group")).where(F.col("_bits").bitwiseAND(bit("_spot")) != 0)
+    # The ids are distinct, so this join keeps rows as a semi join does; that one the optimizer moves below the bit map.
+    return materialise(near.join(ids.hint("merge"), F.col("doc_id") == F.col("_trusted")).select("doc_id", "_text"), "trusted")
+
 
+def bucket_counts(texts: DataFrame, text: Column, buckets: int, out: str) -> DataFrame:
+    """(bucket, ``out``): words and word pairs of all ``texts`` by bucket."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    hashed = texts.select(words.alias("_hashes")).select(F.explode(features(buckets)).alias("bucket"))
+    return hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias(out))
 
-def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, most: int = TRUSTED) -> DataFrame:
+
+def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row: ``ratios``, the log ratio of target to corpus probability of each bucket.
 
-    Both multinomials are smoothed by one count. The corpus counts all documents; the target counts
-    the ``trusted`` ids, at most ``most`` of them.
+    Both multinomials are smoothed by one count. The corpus counts all documents, the target all
+    documents with ``trusted`` ids.
     """
-    ids = chosen(trusted, most).withColumn("_hit", F.lit(1))
-    words = F.transform(F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
-    marked = docs.select("doc_id", words.alias("_hashes")).join(F.broadcast(ids), F.col("doc_id") == F.col("_trusted"), "left")
-    counts = (
-        marked.select(F.coalesce("_hit", F.lit(0)).alias("hit"), F.explode(features(buckets)).alias("bucket"))
-        .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("hit").alias("target"))
-    )
+    return ratios_of(docs, chosen(docs, trusted), buckets)
+
+
+def ratios_of(docs: DataFrame, own: DataFrame, buckets: int) -> DataFrame:
+    """``ratio_table`` of the documents and the rows that ``chosen`` found."""
+    raw = bucket_counts(docs, text_of(), buckets, "raw")
+    target = bucket_counts(own, F.col("_text"), buckets, "target")
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    filled = every.join(F.broadcast(counts), "bucket", "left").select(
+    # Both counts have at most ``buckets`` rows.
+    filled = every.join(F.broadcast(raw), "bucket", "left").join(F.broadcast(target), "bucket", "left").select(
         "bucket", (F.coalesce("raw", F.lit(0)) + SMOOTHING).alias("raw"), (F.coalesce("target", F.lit(0)) + SMOOTHING).alias("target"))
     lists = filled.agg(
         F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"),
@@ -102,21 +119,20 @@ def scores(docs: DataFrame, ratios: DataFrame, buckets: int) -> DataFrame:
 
 
 def judge(docs: DataFrame, trusted: DataFrame, keep: list[str] | None = None, buckets: int = BUCKETS,
-          most: int = TRUSTED, sample: int = SAMPLE, deviations: float = DEVIATIONS) -> DataFrame:
+          deviations: float = DEVIATIONS) -> DataFrame:
     """One row per document: ``doc_id``, the base counts, ``base_failed``, ``score``, ``threshold``, ``kept``, ``_row``.
 
     ``_row`` holds the columns of ``docs`` (or those in ``keep``), so their names cannot clash. ``score`` is
     the log-likelihood ratio of a document's words and word pairs between the trusted and the corpus
     multinomial, divided by their number. The threshold lies ``deviations`` standard deviations below
-    the mean of at most ``sample`` trusted documents that pass the base rules, chosen by hash: one number for
-    every document, from the data alone. ``kept`` needs the base rules and the threshold.
+    the mean of all trusted documents that pass the base rules: one number for every document, from
+    the data alone. ``kept`` needs the base rules and the threshold.
 
     NULL and empty texts have no words and fail the base rules. Without trusted documents no document
     falls below the threshold. Repeated rows and NULL ids are judged row by row.
     """
-    ratios = ratio_table(docs, trusted, buckets, most)
-    own = docs.select("doc_id", text_of().alias("_text")).join(
-        F.broadcast(chosen(trusted, sample)), F.col("doc_id") == F.col("_trusted"), "left_semi")
+    own = chosen(docs, trusted)
+    ratios = ratios_of(docs, own, buckets)
     passed = F.when(~F.col("base_failed"), F.col("score"))
     low = scores(own, ratios, buckets).agg(
         F.coalesce(F.avg(passed) - deviations * F.stddev_pop(passed), F.lit(float("-inf"))).alias("threshold"))

@@ -363,6 +363,22 @@ def test_likelihood_ratio(spark, tmp_path):
     assert got[9]["score"] < got[0]["score"]
 
 
+def test_all_trusted_documents_count(spark, tmp_path):
+    """More trusted documents than any sample of ids: all are counted, and all set the threshold."""
+    path = str(tmp_path / "d")
+    n = 20500
+    words = F.transform(F.sequence(F.lit(1), F.lit(50)), lambda k: F.concat(F.lit("w"), ((F.col("id") * 31 + k * (F.col("id") % 7 + 1)) % 400).cast("string")))
+    spark.range(n).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text")).write.parquet(path)
+    docs = spark.read.parquet(path)
+    ratios = quality.ratio_table(docs, docs.select("doc_id")).first()["ratios"]
+    assert max(map(abs, ratios)) < 1e-12  # the target is the corpus
+    half = docs.where("doc_id % 41 <> 0").select("doc_id")
+    got = quality.judge(docs, half).drop("_row").collect()
+    scores = np.array([r["score"] for r in got if r["doc_id"] % 41 and not r["base_failed"]])
+    assert len(scores) > 10000 and len({r["threshold"] for r in got}) == 1
+    assert abs(got[0]["threshold"] - (scores.mean() - quality.DEVIATIONS * scores.std())) < 1e-9
+
+
 def max_count(data):
     grams = Counter()
     for i, t in data[:6]:

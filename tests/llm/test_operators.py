@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 from marketpulse.llm import (
     common, exact_dedup, mixing, ngram_join, packing, passages, quality, sharding, token_files, tokens, toxicity, url_rules,
 )
+from marketpulse.llm.scratch import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid long, size string, score int, block int, kept string"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -558,3 +559,29 @@ def test_components(spark):
         lo, hi = sorted((find(a), find(b)))
         parent[hi] = lo
     assert got == {x: find(x) for x in parent}
+
+
+def test_windows_that_miss_the_head_meet_each_other(spark):
+    """Every two windows of one key with a run of ``least`` in common are joined to one document."""
+    rnd, least = random.Random(3), 10
+    windows = []
+    for key in range(60):
+        for rid in range(rnd.randint(2, 7)):
+            for _ in range(rnd.choice([1, 1, 2])):
+                before = rnd.randint(0, 12)
+                after = rnd.randint(max(0, least - 1 - before), 12)
+                windows.append((key, rid, 100 - before, 100, 100 + after, 0))
+    # Each key has documents of its own, so that links tell their key.
+    windows = [(k, 100 * k + r, a, p, b, 100 * k) for k, r, a, p, b, _ in windows]
+    with Scratch(spark) as scratch:
+        met = spark.createDataFrame(windows, "key long, rid long, lo int, place int, hi int, hub long")
+        found = passages.candidates(met, scratch, least).collect()
+    assert all(r["hi"] - r["lo"] == r["hhi"] - r["hlo"] >= least - 1 for r in found)
+    links = {(r["rid"], r["hub"]) for r in found}
+    for key in range(60):
+        mine = [w for w in windows if w[0] == key]
+        met_by = lambda rid: {h for r, h in links if r == rid} | {rid}
+        for a in mine:
+            for b in mine:
+                if a[1] < b[1] and min(100 - a[2], 100 - b[2]) + min(a[4], b[4]) - 100 + 1 >= least:
+                    assert met_by(a[1]) & met_by(b[1])
